@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_prints, simhash, token_files
+from . import chat_format, chunk_prints, embedding_dedup, license_scan, mixing, piece_codes, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op2_mixing": mixing.query,
     "op3_token_files": token_files.query,
+    "op4_embedding_dedup": embedding_dedup.query,
     "op5_chunk_prints": chunk_prints.query,
+    "op6_license_scan": license_scan.query,
+    "op7_piece_codes": piece_codes.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_simhash": simhash.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {"op1_chat_format": chat_format.ORACLE}
