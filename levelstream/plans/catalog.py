@@ -1,13 +1,634 @@
-"""Every query on the tables of the driver, with the SQL that states the same."""
+"""Every query on the tables of the driver, with the SQL that states the same.
+
+The events table is the stream: segment = user, signal = type. Its gaps are hours, so windows and lags are days here,
+and levels are divided where an operator expects mmol/L.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from levelstream.functions.units import convert
+from levelstream.operators import asof, fitting, metrics, models, routing, scores, windows
+from levelstream.operators import events as E
+from levelstream.plans import chain
+from levelstream.sources import device_files, logs
+
 FLAGSHIP = "signal_error"
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+DAY_US = 86_400_000_000
+EVENTS = "(select user_id as segment_id, event_type as signal_id, ts as device_time, value as level, event_id as seq from events)"
+
+
+def signal_sql(name: str) -> str:
+    return f"(select user_id as segment_id, ts as device_time, max_by(value, event_id) as level, max(event_id) as seq from events where event_type = '{name}' group by 1, 2)"
+
+
+def asked_sql(name: str, value: str = "expected", shift: float = 0.0) -> str:
+    moved = f"ts + to_microseconds({round(shift * DAY_US)})" if shift else "ts"
+    return f"(select user_id as segment_id, {moved} as device_time, event_id as seq, value as {value} from events where event_type = '{name}')"
+
+
+def line_sql(asked: str, knots: str, name: str, shift: float = 0.0) -> str:
+    """``asked`` with the line interpolation of ``knots`` and its slope, at times ``shift`` days later."""
+    at = f"q.device_time + to_microseconds({round(shift * DAY_US)})" if shift else "q.device_time"
+    gap = "(epoch_us(y.device_time) - epoch_us(x.device_time))"
+    return f"""(select q.*, case when x.device_time = y.device_time then x.level when x.device_time is not null and y.device_time is not null
+      then x.level + (epoch_us({at}) - epoch_us(x.device_time)) * ((y.level - x.level) / {gap}) end as {name},
+      case when x.device_time < y.device_time then (y.level - x.level) / {gap} * 86400e6 end as {name}_slope
+      from {asked} q asof left join {knots} x on q.segment_id = x.segment_id and {at} >= x.device_time
+      asof left join {knots} y on q.segment_id = y.segment_id and {at} <= y.device_time)"""
+
+
+PAIRS = f"(select segment_id, device_time, seq, expected, calculated from {line_sql(asked_sql('view'), signal_sql('click'), 'calculated')} where calculated is not null)"
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pairs(spark, d) -> DataFrame:
+    return scores.pairs(E.read_events(spark, d), "view", "click")
+
+
+def _click(spark, d) -> DataFrame:
+    return E.last_written(E.signal(E.read_events(spark, d), "click"))
+
+
+def _asked(spark, d, name: str = "view", value: str = "expected") -> DataFrame:
+    return E.signal(E.read_events(spark, d), name).withColumnRenamed("level", value)
+
+
+# --- scored signals
+
+
+@query(f"""select segment_id, count(*) as n, avg(abs(expected - calculated)) as avg_abs, max(abs(expected - calculated)) as max_abs, sqrt(avg((expected - calculated) ^ 2)) as rmse
+  from {PAIRS} group by rollup(segment_id)""")
+def signal_error(spark, d):
+    gap = F.col("expected") - F.col("calculated")
+    return _pairs(spark, d).rollup("segment_id").agg(F.count("*").alias("n"), F.avg(F.abs(gap)).alias("avg_abs"), F.max(F.abs(gap)).alias("max_abs"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+
+
+@query(f"""select segment_id, count(*) as n, avg(d) as avg_abs, max(d) as max_abs, count(*) filter (where d > 0.95)::double as over_threshold, sqrt(avg(d)) as root_mean,
+  case when avg(d * d) > 0 then count(*) * ln(avg(d * d)) end as aic, avg(case when calculated + 95 < expected then d * (1 + d) else d end) as exp_weighted
+  from (select *, abs(expected - calculated) as d from {PAIRS}) group by segment_id""")
+def metrics_simple(spark, d):
+    return metrics.simple(_pairs(spark, d), ["segment_id"], metrics.Options())
+
+
+@query(f"""select segment_id, count(*) as n, avg(d) as avg_abs, max(d) as max_abs, count(*) filter (where d > 0.5)::double as over_threshold, sqrt(avg(d)) as root_mean,
+  case when avg(d * d) > 0 then count(*) * ln(avg(d * d)) end as aic, avg(case when calculated + 50 < expected then d * (1 + d) else d end) as exp_weighted
+  from (select *, case when expected <> 0 then abs(expected - calculated) / abs(expected) else 1000 end ^ 2 as d from {PAIRS}) group by segment_id""")
+def metrics_relative_squared(spark, d):
+    return metrics.simple(_pairs(spark, d), ["segment_id"], metrics.Options(relative=True, squared=True, threshold=50.0))
+
+
+@query(f"""select segment_id, case when var_pop(expected) > 0 then sum(abs(expected - calculated) ^ 4) / (var_pop(expected) * count(*)) end as leal from {PAIRS} group by segment_id""")
+def metric_leal(spark, d):
+    return metrics.leal(_pairs(spark, d), ["segment_id"], metrics.Options())
+
+
+@query(f"""with a as (select segment_id, abs(expected - calculated) as d from {PAIRS}),
+  b as (select *, row_number() over (partition by segment_id order by d) - 1 as i, count(*) over (partition by segment_id) as n, lag(d) over (partition by segment_id order by d) as p from a),
+  c as (select segment_id, any_value(n) as n, sum(d) filter (where i >= floor(n * 0.1) and i < ceil(n - n * 0.1)) as s, sum(d * d) filter (where i >= floor(n * 0.1) and i < ceil(n - n * 0.1)) as ss,
+    count(*) filter (where i >= floor(n * 0.1) and i < ceil(n - n * 0.1)) as m, sum((p + d) / 2) filter (where i > floor(n * 0.1) and i < ceil(n - n * 0.1)) as area,
+    max(d) filter (where i = case when floor(n * 0.1 + 0.5) > 0 then least(floor(n * 0.1 + 0.5), n - 1) - (case when least(floor(n * 0.1 + 0.5), n - 1) > 0 then 1 else 0 end) else 0 end) as percentile from b group by segment_id),
+  e as (select *, case when n > 1.5 then n - 1.5 + 1 / (8.0 * (n - 1)) else n end as div from c),
+  f as (select *, coalesce(s, 0) / div as mean, greatest(0.0, (coalesce(ss, 0) - 2 * coalesce(s, 0) / div * coalesce(s, 0) + m * (coalesce(s, 0) / div) ^ 2) / div) as variance from e)
+  select segment_id, percentile, variance, sqrt(variance) as std_dev, mean + sqrt(variance) as avg_plus_sd, case when mean > 0 and variance > 0 then ln(mean) + ln(sqrt(variance)) end as avg_pow_sd,
+    case when m > 0 then coalesce(area, 0) / (n * n) end as integral_cdf from f""")
+def metrics_ordered(spark, d):
+    return metrics.ordered(_pairs(spark, d), ["segment_id"], metrics.Options(threshold=10.0))
+
+
+@query(f"""with a as (select segment_id, expected, calculated, lag(expected) over w as e0, lag(calculated) over w as c0, (epoch_us(device_time) - lag(epoch_us(device_time)) over w) / 86400e6 as dt from {PAIRS} window w as (partition by segment_id order by device_time, seq))
+  select segment_id, abs(coalesce(sum(sqrt(dt * dt + (calculated - e0) ^ 2) + sqrt(dt * dt + (expected - c0) ^ 2) - sqrt(dt * dt + (expected - e0) ^ 2)), 0)) / count(*) as crosswalk from a group by segment_id""")
+def metric_crosswalk(spark, d):
+    return metrics.crosswalk(_pairs(spark, d), ["segment_id"], metrics.Options())
+
+
+@query(f"""select segment_id, device_time, seq, avg(abs(expected - calculated)) over (partition by segment_id order by device_time, seq rows unbounded preceding) as metric from {PAIRS}""")
+def metric_running(spark, d):
+    return metrics.running_average(_pairs(spark, d), ["segment_id"])
+
+
+@query(f"""with a as (select *, epoch_us(device_time) as t from {EVENTS} where signal_id in ('view', 'click')),
+  b as (select *, coalesce((level - lag(level) over w) / ((t - lag(t) over w)), 0) as slope from a window w as (partition by segment_id, signal_id order by device_time, seq)),
+  c as (select segment_id, device_time, seq, t, last_value(case when signal_id = 'view' then {{'t': t, 'level': level, 'slope': slope}} end ignore nulls) over w as r,
+    last_value(case when signal_id = 'click' then {{'t': t, 'level': level, 'slope': slope}} end ignore nulls) over w as e from b window w as (partition by segment_id order by device_time, seq rows unbounded preceding))
+  select segment_id, device_time, seq, avg(abs(r.level + r.slope * (t - r.t) - e.level - e.slope * (t - e.t))) over (partition by segment_id order by device_time, seq rows unbounded preceding) as metric
+  from c where r is not null and e is not null""")
+def online_error(spark, d):
+    return scores.online_error(E.read_events(spark, d), "view", "click")
+
+
+# --- interpolation
+
+
+@query(f"select segment_id, device_time, seq, expected, value from {line_sql(asked_sql('view'), signal_sql('click'), 'value')}")
+def line_value(spark, d):
+    return asof.interpolate(_asked(spark, d), _click(spark, d))
+
+
+@query(f"select segment_id, device_time, seq, expected, value_slope as slope from {line_sql(asked_sql('view'), signal_sql('click'), 'value')}")
+def line_slope(spark, d):
+    return models.at(_asked(spark, d), _click(spark, d), 0.0, "slope", slope=True)
+
+
+@query(f"""with k as (select segment_id, epoch_us(device_time)::double as t, level as y, device_time from {signal_sql('click')}),
+  n as (select *, row_number() over w as i, count(*) over (partition by segment_id) as n, {', '.join(f"lag({c}, {o}) over w as {c}m{o}, lead({c}, {o}) over w as {c}p{o}" for c in 'ty' for o in (1, 2, 3))} from k window w as (partition by segment_id order by device_time)),
+  p as (select *, (ym1 - ym2) / (tm1 - tm2) as d1, (y - ym1) / (t - tm1) as d2, (yp1 - y) / (tp1 - t) as d3, (yp2 - yp1) / (tp2 - tp1) as d4 from n),
+  s as (select segment_id, device_time, t, y, case when n < 5 then null
+    when i = 1 then y * (2 * t - tp1 - tp2) / ((t - tp1) * (t - tp2)) + yp1 * (2 * t - t - tp2) / ((tp1 - t) * (tp1 - tp2)) + yp2 * (2 * t - t - tp1) / ((tp2 - t) * (tp2 - tp1))
+    when i = n then ym2 * (2 * t - tm1 - t) / ((tm2 - tm1) * (tm2 - t)) + ym1 * (2 * t - tm2 - t) / ((tm1 - tm2) * (tm1 - t)) + y * (2 * t - tm2 - tm1) / ((t - tm2) * (t - tm1))
+    when i = 2 or i = n - 1 then ym1 * (2 * t - t - tp1) / ((tm1 - t) * (tm1 - tp1)) + y * (2 * t - tm1 - tp1) / ((t - tm1) * (t - tp1)) + yp1 * (2 * t - tm1 - t) / ((tp1 - tm1) * (tp1 - t))
+    when abs(d1 - d2) + abs(d3 - d4) > 0 then (abs(d3 - d4) * d2 + abs(d1 - d2) * d3) / (abs(d1 - d2) + abs(d3 - d4))
+    else ((tp1 - t) * d2 + (t - tm1) * d3) / (tp1 - tm1) end as f from p),
+  q as (select a.*, x.t as t0, x.y as y0, x.f as f0, z.t as t1, z.y as y1, z.f as f1, epoch_us(a.device_time) - x.t as u, z.t - x.t as w from {asked_sql('view')} a
+    asof left join s x on a.segment_id = x.segment_id and a.device_time >= x.device_time asof left join s z on a.segment_id = z.segment_id and a.device_time <= z.device_time)
+  select segment_id, device_time, seq, expected, case when f0 is null or f1 is null then null when w = 0 then y0
+    else y0 + u * (f0 + u * ((3 * (y1 - y0) / w - 2 * f0 - f1) / w + u * (f0 + f1 - 2 * (y1 - y0) / w) / (w * w))) end as value from q""")
+def akima_value(spark, d):
+    return asof.akima(_asked(spark, d), _click(spark, d))
+
+
+# --- routing
+
+
+_MASK = "11011110"
+
+
+@query(f"select seq, case when signal_id = 'click' then 'tap' else signal_id end as signal_id, level from {EVENTS} where signal_id <> 'error'")
+def map_and_drop(spark, d):
+    return routing.map_signal(routing.map_signal(E.read_events(spark, d), "click", "tap"), "error", None).select("seq", "signal_id", "level")
+
+
+@query(f"select seq, case when signal_id = 'click' and ((level * 2 + 1 > 200) <> (level < 300)) then 'odd' else signal_id end as signal_id from {EVENTS}")
+def decouple_move(spark, d):
+    return routing.decouple(E.read_events(spark, d), "click", "odd", "(is_level_event && level * 2 + 1 > 200) ^ (level < 300)").select("seq", "signal_id")
+
+
+@query(f"select seq, signal_id, level from {EVENTS} union all select seq, 'large', level from {EVENTS} where level >= 250")
+def decouple_copy(spark, d):
+    return routing.decouple(E.read_events(spark, d), None, "large", "is_level_event && !(level < 250)", copy=True).select("seq", "signal_id", "level")
+
+
+@query(f"select seq, signal_id, level from {EVENTS} where not (signal_id = 'view' and (level <= 10 or level != level or level >= 400))")
+def decouple_drop(spark, d):
+    return routing.decouple(E.read_events(spark, d), "view", None, "level <= 10 || level >= 400 || is_info_event").select("seq", "signal_id", "level")
+
+
+@query(f"""select seq, signal_id, case when signal_id = 'click' and substr('{_MASK}', ((row_number() over (partition by segment_id, signal_id order by device_time, seq) - 1) % 8)::int + 1, 1) = '0' then 'Masked_Level' else 'Level' end as event_code from {EVENTS}""")
+def mask_levels(spark, d):
+    return routing.mask(E.read_events(spark, d), "click", _MASK).select("seq", "signal_id", "event_code")
+
+
+@query(f"select seq, signal_id, 'Level' as event_code from {EVENTS}")
+def unmask_levels(spark, d):
+    return routing.unmask(routing.mask(E.read_events(spark, d), "click", _MASK), "click").select("seq", "signal_id", "event_code")
+
+
+@query()
+def noise(spark, d):
+    return routing.add_noise(E.read_events(spark, d), "click", 2.0).select("seq", "signal_id", "level")
+
+
+@query(f"select seq, level from (select *, lag(level) over (partition by segment_id, signal_id order by device_time, seq) as b from (select segment_id, signal_id, device_time, seq, floor(level / 100) as level from {EVENTS})) where b is null or b <> level")
+def drop_repeats(spark, d):
+    return routing.drop_repeats(E.read_events(spark, d).withColumn("level", F.floor(F.col("level") / 100).cast("double"))).select("seq", "level")
+
+
+@query(f"select seq, signal_id, level from {EVENTS} union all select seq, 'bolus', level * 0.0667 from {EVENTS} where signal_id = 'purchase'")
+def boluses_of_carbs(spark, d):
+    return routing.boluses_of_carbs(E.read_events(spark, d), "purchase", "bolus", 0.0667).select("seq", "signal_id", "level")
+
+
+_CHAIN = """
+[01 map]
+source = signup
+to = basal
+
+[02 decouple]
+source = basal
+to = fast
+when = level > $(LIMIT)
+
+[03 mean_response]
+signal = fast
+seconds = 432000.0
+"""
+
+
+@query(f"select seq, avg(level) over (partition by segment_id order by epoch_us(device_time) range between {5 * DAY_US} preceding and current row) as level from {EVENTS} where signal_id = 'signup' and level > 100")
+def configured_chain(spark, d):
+    return chain.apply(E.read_events(spark, d), _CHAIN, {"LIMIT": "100"}).select("seq", "level")
+
+
+# --- windows
+
+
+@query(f"select seq, avg(level) over (partition by segment_id order by device_time range between interval 3 day preceding and current row) as level from {EVENTS} where signal_id = 'click'")
+def mean_response(spark, d):
+    return windows.mean_response(E.read_events(spark, d), "click", 3 * E.DAY).select("seq", "level")
+
+
+@query(f"select seq, avg(level) over (partition by segment_id order by device_time, seq rows unbounded preceding) as level from {EVENTS} where signal_id = 'click'")
+def mean_response_of_all(spark, d):
+    return windows.mean_response(E.read_events(spark, d), "click", None).select("seq", "level")
+
+
+@query(f"select seq, median(level) over (partition by segment_id order by device_time range between interval 3 day preceding and current row) as level from {EVENTS} where signal_id = 'click'")
+def median_response(spark, d):
+    return windows.median_response(E.read_events(spark, d), "click", 3 * E.DAY).select("seq", "level")
+
+
+_PERIODS = f"(select segment_id, signal_id, seq, (epoch_us(device_time) - lag(epoch_us(device_time)) over (partition by segment_id, signal_id order by device_time, seq)) / 86400e6 as period from {EVENTS})"
+
+
+@query(f"select seq, period from {_PERIODS} where period is not null")
+def periods(spark, d):
+    return windows.periods(E.read_events(spark, d)).select("seq", "period")
+
+
+_RUNS = f"""(with a as (select *, epoch_us(device_time) as t, level > 100 as hit from {EVENTS} where signal_id = 'click'),
+  b as (select *, lag(t) over w as p, lead(t) over w as f, case when hit <> coalesce(lag(hit) over w, false) then 1 else 0 end as new from a window w as (partition by segment_id order by device_time, seq)),
+  c as (select *, sum(new) over (partition by segment_id order by device_time, seq rows unbounded preceding) as run from b)
+  select segment_id, min(device_time) as first_time, max(device_time) as last_time, count(*) as n_levels, (max(t + f) / 2 - min(coalesce((p + t) / 2, t))) / 86400e6 as duration
+  from c where hit group by segment_id, run having count(f) = count(*))"""
+
+
+@query(f"select * from {_RUNS}")
+def episodes(spark, d):
+    return windows.episodes(E.read_events(spark, d), "click", "level > 100")
+
+
+@query(f"""select a.segment_id, evaluated, matched, coalesce(episodes, 0) as episodes, avg_levels, avg_duration, max_duration
+  from (select segment_id, count(*) as evaluated, count(*) filter (where level > 100) as matched from {EVENTS} where signal_id = 'click' group by 1) a
+  left join (select segment_id, count(*) as episodes, avg(n_levels) as avg_levels, avg(duration) as avg_duration, max(duration) as max_duration from {_RUNS} group by 1) b on a.segment_id = b.segment_id""")
+def decoupling_stats(spark, d):
+    return scores.decoupling_stats(E.read_events(spark, d), "click", "level > 100")
+
+
+@query(f"""with a as (select *, epoch_us(device_time) as t, last_value(case when signal_id = 'click' then epoch_us(device_time) end ignore nulls) over (partition by segment_id order by device_time, seq rows between unbounded preceding and 1 preceding) as l from {EVENTS}),
+  b as (select *, case when t > l + {2 * DAY_US} then 1 else 0 end as late from a),
+  c as (select *, case when late = 1 and lag(late) over w = 1 and lag(signal_id) over w <> 'click' then 0 else late end as broken from b window w as (partition by segment_id order by device_time, seq)),
+  e as (select *, sum(broken) over (partition by segment_id order by device_time, seq rows unbounded preceding)::bigint as part from c),
+  f as (select *, count(*) filter (where signal_id = 'click') over (partition by segment_id, part) as n, count(*) filter (where signal_id = 'purchase') over (partition by segment_id, part) as m from e)
+  select segment_id, seq, part from f where n >= 3 and m > 0""")
+def cut_segments(spark, d):
+    return windows.cut_segments(E.read_events(spark, d), "click", 2 * E.DAY, 3, "purchase").select("segment_id", "seq", "part")
+
+
+@query(f"""with a as (select 'Level' as event_code, segment_id, device_time, seq from {EVENTS} union all select 'Time_Segment_Start', segment_id, min(device_time), null from {EVENTS} group by 2
+  union all select 'Time_Segment_Stop', segment_id, max(device_time), null from {EVENTS} group by 2)
+  select event_code, segment_id, device_time, seq, row_number() over (partition by segment_id order by device_time, case event_code when 'Time_Segment_Start' then 0 when 'Level' then 1 else 2 end, seq) as place from a""")
+def replayed(spark, d):
+    return windows.replay(E.read_events(spark, d)).select("event_code", "segment_id", "device_time", "seq", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""with i as (select segment_id, device_time as start, device_time + interval 6 hour as stop, level, lead(device_time) over (partition by segment_id order by device_time) as nx from {EVENTS} where signal_id = 'purchase')
+  select segment_id, start as device_time, level, 'temporary' as origin from i
+  union all select i.segment_id, stop, b.level, 'base' from i asof join {signal_sql('view')} b on i.segment_id = b.segment_id and i.stop >= b.device_time where nx is null or nx > stop""")
+def interval_levels(spark, d):
+    e = E.read_events(spark, d)
+    spans = E.signal(e, "purchase").select("segment_id", F.col("device_time").alias("start"), E.moved(F.col("device_time"), 6 * 3600.0).alias("stop"), "level")
+    return windows.intervals_to_levels(spans, E.last_written(E.signal(e, "view")))
+
+
+# --- statistics
+
+_STATS = "count({c}) as n, avg({c}) as avg, stddev_pop({c}) as sd, (avg({c} ^ 3) - 3 * avg({c}) * avg({c} ^ 2) + 2 * avg({c}) ^ 3) / stddev_pop({c}) ^ 3 as skewness, kurtosis_pop({c}) as kurtosis, min({c}) as least, quantile_cont({c}, 0.25) as p25, median({c}) as median, quantile_cont({c}, 0.75) as p75, quantile_cont({c}, 0.95) as p95, quantile_cont({c}, 0.99) as p99, max({c}) as most"
+
+
+@query(f"select segment_id, {_STATS.format(c='level')} from {EVENTS} where signal_id = 'click' group by rollup(segment_id)")
+def signal_stats(spark, d):
+    return scores.signal_stats(E.read_events(spark, d), "click")
+
+
+@query(f"select segment_id, {_STATS.format(c='period')} from {_PERIODS} where signal_id = 'click' and period is not null group by rollup(segment_id)")
+def period_stats(spark, d):
+    return scores.period_stats(E.read_events(spark, d), "click")
+
+
+def _inside_sql(corners, x: str, y: str) -> str:
+    edges = [f"(case when ({y1}.0 > {y}) <> ({y2}.0 > {y}) and {x} < ({y} - {y1}) * {(x2 - x1) / (y2 - y1)!r} + {x1} then 1 else 0 end)" for (x1, y1), (x2, y2) in zip(corners, (*corners[1:], corners[0]), strict=True) if y1 != y2]
+    return f"(({' + '.join(edges)}) % 2 = 1)"
+
+
+def _grid_sql(grid: str) -> str:
+    cases = " ".join(f"when {_inside_sql(c, 'x', 'y')} then '{z}'" for z, c in scores.GRIDS[grid])
+    return f"""with a as (select segment_id, expected / 18.0 * {scores.MGDL} as x, calculated / 18.0 * {scores.MGDL} as y from {PAIRS}), z as (select segment_id, case {cases} end as zone from a),
+      s as (select segment_id, count(*) as n, {', '.join(f"count(*) filter (where zone = '{k.upper()}') / count(*) as {k}" for k in 'bcde')} from z group by rollup(segment_id))
+      select segment_id, n, 1 - (b + c + d + e) as a, b, c, d, e, 1 - (b + c + d + e) + b as a_and_b from s"""
+
+
+def _grid(spark, d, grid: str) -> DataFrame:
+    rows = _pairs(spark, d).withColumns({"expected": F.col("expected") / 18.0, "calculated": F.col("calculated") / 18.0})
+    return scores.grid_shares(rows, grid)
+
+
+@query(_grid_sql("clarke"))
+def clarke_grid(spark, d):
+    return _grid(spark, d, "clarke")
+
+
+@query(_grid_sql("parkes_1"))
+def parkes_grid_1(spark, d):
+    return _grid(spark, d, "parkes_1")
+
+
+@query(_grid_sql("parkes_2"))
+def parkes_grid_2(spark, d):
+    return _grid(spark, d, "parkes_2")
+
+
+@query(f"""with a as (select *, abs(expected - calculated) / expected as error from {PAIRS} where expected <> 0)
+  select segment_id, device_time, error, case when error > 0 then ln(error) / ln(1000.0) + 1 end as x, (row_number() over (partition by segment_id order by error) - 1) / count(*) over (partition by segment_id) as p from a where error < 1""")
+def error_ecdf(spark, d):
+    return scores.error_ecdf(_pairs(spark, d))
+
+
+def _quartile_sql(p: float) -> str:
+    return f"(max(level) filter (where i = least(floor(n * {p}), n - 1)) + max(level) filter (where i = least(ceil(n * {p}), n - 1))) / 2"
+
+
+@query(f"""with a as (select level, seq, ((hour(device_time) * 60 + minute(device_time)) // 5)::int as bin from {EVENTS} where signal_id = 'click'),
+  b as (select *, row_number() over (partition by bin order by level, seq) - 1 as i, count(*) over (partition by bin) as n from a)
+  select bin, any_value(n) as n, min(level) as least, {_quartile_sql(0.25)} as q1, {_quartile_sql(0.5)} as median, {_quartile_sql(0.75)} as q3, max(level) as most from b group by bin""")
+def day_profile(spark, d):
+    return scores.day_profile(E.read_events(spark, d), "click")
+
+
+@query(f"""select segment_id, case when level * 0.05 < 3.8 then 'below' when level * 0.05 > 10.8 then 'high' when level * 0.05 > 7.0 then 'elevated' else 'in_range' end as range_class, count(*) as n from {EVENTS} where signal_id = 'click' group by 1, 2""")
+def range_classes(spark, d):
+    return scores.range_classes(E.read_events(spark, d), "click", 0.05)
+
+
+@query(f"""with a as (select segment_id, greatest(2.8, least(6.1, min(level) * 0.05)) as low, greatest(6.1, least(22.2, max(level) * 0.05)) as high from {EVENTS} where signal_id = 'click' group by 1)
+  select *, ['A', 'lower B', 'lower C', 'upper B', 'B', 'lower D', 'upper C', 'upper D', 'E'][(case when high < 10 then 0 when high < 16.7 then 1 else 2 end) * 3 + (case when low > 5 then 0 when low > 3.9 then 1 else 2 end) + 1] as cell from a""")
+def variability_grid(spark, d):
+    return scores.variability_grid(E.read_events(spark, d), "click", 0.05)
+
+
+# --- models
+
+_P = models.Diffusion()
+
+
+def _small(spark, d, name: str = "click") -> DataFrame:
+    return E.last_written(E.signal(E.read_events(spark, d), name)).withColumn("level", F.col("level") / 18.0)
+
+
+def _small_sql(name: str = "click") -> str:
+    return f"(select segment_id, device_time, level / 18.0 as level, seq from {signal_sql(name)})"
+
+
+def _blood_sql(p, present: str, future: str, clamp: bool) -> str:
+    disc = f"(({p.p} - ({p.cg}) * {present}) ^ 2 - 4 * ({p.cg}) * ({p.c} - {future}))"
+    root = f"sqrt(greatest({disc}, 0))" if clamp else f"case when {disc} >= 0 then sqrt(greatest({disc}, 0)) end"
+    return f"(({root}) - ({p.p} - ({p.cg}) * {present})) / (2 * ({p.cg}))"
+
+
+_NOW = line_sql(asked_sql("view"), _small_sql(), "present")
+
+
+@query(f"select segment_id, device_time, seq, {_blood_sql(_P, 'present', 'future', False)} as value from {line_sql(_NOW, _small_sql(), 'future', _P.dt)}")
+def diffusion_blood(spark, d):
+    return models.diffusion_blood(_asked(spark, d), _small(spark, d)).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""select segment_id, device_time, seq, {_P.p} * b + ({_P.cg}) * b * (b - present) + ({_P.c}) as value from {line_sql(line_sql(asked_sql('view'), _small_sql(), 'present', -_P.dt), _small_sql('purchase'), 'b', -_P.dt)}""")
+def diffusion_interstitial(spark, d):
+    return models.diffusion_interstitial(_asked(spark, d), _small(spark, d), _small(spark, d, "purchase")).select("segment_id", "device_time", "seq", "value")
+
+
+_Q = models.PREDICTIVE
+
+
+@query(f"""select segment_id, device_time, seq, {_Q.p} * blood + ({_Q.cg}) * blood * (blood - present) + {_Q.c} as value from (select *, {_blood_sql(_P, 'present', 'future', True)} as blood
+  from {line_sql(line_sql(asked_sql('view'), _small_sql(), 'future', -_Q.dt), _small_sql(), 'present', -_Q.dt - _P.dt)})""")
+def diffusion_prediction(spark, d):
+    return models.diffusion_prediction(_asked(spark, d), _small(spark, d)).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""select a.segment_id, a.device_time, a.seq, (0.00576459 * present_slope + present - 0.00576459 * 0.02 - 0.02 * (epoch_us(a.device_time) - epoch_us(coalesce(c.device_time, f.first))) / 86400e6) / (1 / 1.02164072) as value
+  from {line_sql(asked_sql('view'), _small_sql(), 'present')} a asof left join {signal_sql('purchase')} c on a.segment_id = c.segment_id and a.device_time >= c.device_time
+  left join (select segment_id, min(device_time) as first from {signal_sql('click')} group by 1) f on a.segment_id = f.segment_id""")
+def steil_rebrin(spark, d):
+    calibration = E.last_written(E.signal(E.read_events(spark, d), "purchase"))
+    return models.steil_rebrin(_asked(spark, d), _small(spark, d), calibration, gamma=0.02).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""select segment_id, device_time, seq, 0.00116362 * blood - 7.20151e-11 * blood * (blood - present) + 0.0794574 as value from (select *, 850.437 * 0.00630974 * present_slope + 850.437 * present as blood from {line_sql(asked_sql('view'), _small_sql(), 'present', -0.010417)})""")
+def steil_rebrin_prediction(spark, d):
+    return models.steil_rebrin_prediction(_asked(spark, d), _small(spark, d)).select("segment_id", "device_time", "seq", "value")
+
+
+def _lags_sql(asked: str, knots: str, step: float, count: int, name: str = "lags") -> str:
+    grid = f"(select q.*, k, q.device_time - to_microseconds(k * {round(step * DAY_US)}) as then_at from {asked} q, (select unnest(range({count})) as k))"
+    moved = f"(select * exclude (device_time, then_at), then_at as device_time, device_time as asked_at from {grid})"
+    return f"(select segment_id, asked_at as device_time, seq, list(v order by k) as {name} from {line_sql(moved, knots, 'v')} group by all)"
+
+
+_WEIGHTS = [0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.02, 0.02, 0.02, 0.02, 0.02]
+
+
+@query(f"""select segment_id, device_time + interval 1 hour as device_time, seq, {' + '.join(f'{w} * lags[{i + 1}]' for i, w in enumerate(_WEIGHTS))} as value from {_lags_sql(asked_sql('view', shift=-1 / 24), _small_sql(), 0.25, 12)}""")
+def weighted_average(spark, d):
+    return models.weighted_average(_asked(spark, d), _small(spark, d), _WEIGHTS, 1 / 24, 0.25).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"select segment_id, device_time, seq, case when len(list_filter(lags, lambda x: x < 4.0)) > 0 then 0.0 else 1.3 end as value from {_lags_sql(asked_sql('view'), _small_sql(), 0.5, 6)}")
+def low_glucose_suspend(spark, d):
+    return models.low_glucose_suspend(_asked(spark, d), _small(spark, d), duration=3.0, step=0.5).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""with a as (select h.segment_id, h.device_time, h.seq, list_max(h.h) as hr, list_max(s.s) as eda from {_lags_sql(asked_sql('view'), signal_sql('click'), 0.5, 6, 'h')} h join {_lags_sql(asked_sql('view'), _small_sql('purchase'), 0.5, 6, 's')} s on h.seq = s.seq)
+  select segment_id, device_time, seq, case when hr > 65 then (least(hr, 200) - 65) / 135.0 else 0 end * case when eda > 10 then 1 + (least(eda, 20) - 10) / 11.0 * 0.25 when eda is not null then 0.75 else 1 end as value from a""")
+def physical_activity(spark, d):
+    return models.physical_activity(_asked(spark, d), _click(spark, d), _small(spark, d, "purchase"), step=0.5).select("segment_id", "device_time", "seq", "value")
+
+
+_T = "((epoch_us(a.device_time) - epoch_us(b.device_time)) / 86400e6 * 1440)"
+_SCALED = f"({_T} * 180 / 4320.0)"
+_TAU = 1800 * (1 - 1800 / 4320) / (1 - 2 * 1800 / 4320)
+_A = 2 * _TAU / 4320
+_S = 1 / (1 - _A + (1 + _A) * 2.718281828459045 ** (-4320 / _TAU))
+_KERNEL_SQL = {
+    "bilinear": f"case when {_SCALED} < 75 then 1 + 0.001852 * ({_SCALED} / 5 + 1) * (1 - ({_SCALED} / 5 + 1)) when {_SCALED} < 180 then 0.55556 + ({_SCALED} - 75) / 5 * (0.001323 * ({_SCALED} - 75) / 5 - 0.054233) else 0 end",
+    "bilinear_activity": f"case when {_SCALED} < 75 then {_SCALED} * (2 / 4320.0) / 75 when {_SCALED} < 180 then 2 / 4320.0 * (1 - ({_SCALED} - 75) / 105) else 0 end",
+    "exponential": f"1 - {_S * (1 - _A)!r} * (({_T} * {_T} / {_TAU * 4320 * (1 - _A)!r} - {_T} / {_TAU!r} - 1) * exp(-{_T} / {_TAU!r}) + 1)",
+    "exponential_activity": f"{_S / (_TAU * _TAU)!r} * {_T} * (1 - {_T} / 4320.0) * exp(-{_T} / {_TAU!r})",
+}
+
+
+def _on_board_sql(kernel: str) -> str:
+    return f"""select a.segment_id, a.device_time, a.seq, coalesce(sum(b.level * ({_KERNEL_SQL[kernel]})), 0)::double as value from {asked_sql('view')} a
+      left join {EVENTS} b on a.segment_id = b.segment_id and b.signal_id = 'purchase' and b.device_time <= a.device_time and b.device_time > a.device_time - interval 3 day group by 1, 2, 3"""
+
+
+def _on_board(spark, d, kernel: str) -> DataFrame:
+    return models.on_board(_asked(spark, d), E.signal(E.read_events(spark, d), "purchase"), kernel, peak=1.25, dia=3.0)
+
+
+@query(_on_board_sql("bilinear"))
+def insulin_on_board(spark, d):
+    return _on_board(spark, d, "bilinear")
+
+
+@query(_on_board_sql("bilinear_activity"))
+def insulin_activity(spark, d):
+    return _on_board(spark, d, "bilinear_activity")
+
+
+@query(_on_board_sql("exponential"))
+def insulin_on_board_exponential(spark, d):
+    return _on_board(spark, d, "exponential")
+
+
+@query(_on_board_sql("exponential_activity"))
+def insulin_activity_exponential(spark, d):
+    return _on_board(spark, d, "exponential_activity")
+
+
+@query(f"""select a.segment_id, a.device_time, a.seq, coalesce(sum(b.level * ({_KERNEL_SQL['bilinear']})), 0)::double as value from {asked_sql('view')} a
+  left join {EVENTS} b on a.segment_id = b.segment_id and b.signal_id in ('purchase', 'signup') and b.device_time <= a.device_time and b.device_time > a.device_time - interval 3 day group by 1, 2, 3""")
+def carbs_on_board(spark, d):
+    e = E.read_events(spark, d)
+    return models.on_board(_asked(spark, d), E.signal(e, "purchase").union(E.signal(e, "signup")), "bilinear", peak=1.25, dia=3.0)
+
+
+@query(f"""with l as {_lags_sql(asked_sql('view'), _small_sql(), 0.1, 30)}, s as (select seq, present_slope as slope from {line_sql(asked_sql('view'), _small_sql(), 'present')}), o as (select seq, value / 1000 as iob from ({_on_board_sql('bilinear')})),
+  a as (select l.segment_id, l.device_time, l.seq, lags[1] as bg, list_sum([coalesce(5.0 - x, 0) for x in lags]) as past, slope, greatest(lags[1] - iob / 0.36, 0) / 5.0 as future, iob from l join s on l.seq = s.seq join o on l.seq = o.seq)
+  select segment_id, device_time, seq, case when bg is not null then greatest(0, least(3.5, -0.36 * (2.0 * future * (5.0 - bg) + 0.028 * future * past - 0.24 * bg / 5.0 * slope) + 1.3)) end as value from a""")
+def beta_pid(spark, d):
+    iob = _on_board(spark, d, "bilinear").select("segment_id", "device_time", "seq", (F.col("value") / 1000).alias("iob"))
+    return models.beta_pid(_asked(spark, d), _small(spark, d), iob, step=0.1).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""with a as (select segment_id, device_time, seq, level / 18.0 as level from {EVENTS} where signal_id = 'click'),
+  b as (select *, lag(level, 2) over w as o, lag(level) over w as m, lead(level) over w as nx from a window w as (partition by segment_id order by device_time, seq)),
+  c as (select *, case when m - o > 0.1 then case when not (level - m > 0.1) then 'concave' when abs(level - m) > abs(m - o) then 'accel' else 'up' end when m - o < -0.1 then case when not (level - m < -0.1) then 'convex' when abs(level - m) > abs(m - o) then 'deccel' else 'down' end
+    when level - m > 0.1 then 'steady_up' when level - m < -0.1 then 'steady_down' else 'steady' end as shape,
+    case when level >= 13 then 31 when level < 3 then 0 else floor((level - 3) / (10 / 30.0) + 0.5)::int end as band from b where o is not null)
+  select segment_id, device_time, seq, level, shape, band, last_value(nx ignore nulls) over (partition by segment_id, shape, band order by device_time, seq rows between unbounded preceding and 1 preceding) as predicted from c""")
+def pattern_prediction(spark, d):
+    return models.pattern_prediction(E.signal(E.read_events(spark, d), "click").withColumn("level", F.col("level") / 18.0))
+
+
+@query(f"""select a.segment_id, a.device_time, a.seq, coalesce(sum(b.level * (epoch_us(least(a.device_time + interval 12 hour, b.device_time + interval 18 hour)) - epoch_us(greatest(a.device_time, b.device_time))) / (18 * 3600e6)), 0) as value
+  from {asked_sql('view')} a left join {EVENTS} b on a.segment_id = b.segment_id and b.signal_id = 'purchase' and b.device_time < a.device_time + interval 12 hour and b.device_time + interval 18 hour > a.device_time group by 1, 2, 3""")
+def overlap_uptake(spark, d):
+    e = E.read_events(spark, d)
+    asked = _asked(spark, d).withColumn("until", E.moved(F.col("device_time"), 12 * 3600.0))
+    intakes = E.signal(e, "purchase").select("segment_id", F.col("device_time").alias("start"), E.moved(F.col("device_time"), 18 * 3600.0).alias("stop"), F.col("level").alias("amount"))
+    return models.overlap_uptake(asked, intakes)
+
+
+_FIT = f"(select segment_id, count(*) as n, regr_slope(calculated - expected, calculated) as slope, regr_intercept(calculated - expected, calculated) as off, avg(calculated - expected) as mean_gap from (select * from {line_sql(asked_sql('purchase'), signal_sql('click'), 'calculated')} where calculated is not null) group by 1 having count(*) >= 3)"
+
+
+@query(f'select segment_id, n, slope, off as "offset", mean_gap from {_FIT}')
+def sensor_calibration(spark, d):
+    return models.sensor_calibration(E.read_events(spark, d), "click", "purchase", 3)
+
+
+@query(f"""with a as (select *, level + 0.5 * (epoch_us(device_time) - min(epoch_us(device_time)) over (partition by segment_id)) / 86400e6 as drifted from {EVENTS} where signal_id = 'click')
+  select a.segment_id, device_time, seq, greatest(0, drifted - coalesce(slope * drifted + off, 0)) as level from a left join {_FIT} f on a.segment_id = f.segment_id""")
+def emulated_sensor(spark, d):
+    return models.emulated_sensor(E.read_events(spark, d), "click", "purchase", 0.5, 3)
+
+
+@query(f"""with c as (select * from (values {', '.join(f'({k}, {a}, {b}::double)' for k, (a, b) in enumerate([(0.25 + 1.75 * i / 7, -60 + 120 * j / 6) for i in range(8) for j in range(7)]))}) t(candidate, gain, bias)),
+  s as (select segment_id, candidate, gain, bias, count(*) as n, sqrt(avg((expected - (gain * calculated + bias)) ^ 2)) as fitness from {PAIRS}, c group by all)
+  select segment_id, candidate::bigint as candidate, gain, bias, n, fitness from s qualify row_number() over (partition by segment_id order by fitness, candidate) = 1""")
+def fit_per_segment(spark, d):
+    candidates = fitting.grid(spark, {"gain": (0.25, 2.0)}, 8)
+    candidates = candidates.select("gain", F.explode(F.array(*[F.lit(-60 + 120 * j / 6) for j in range(7)])).alias("bias"), (F.col("candidate") * 7).alias("c"))
+    candidates = candidates.select((F.col("c") + F.round((F.col("bias") + 60) / 20)).cast("long").alias("candidate"), "gain", "bias")
+    return fitting.best(fitting.scores(_pairs(spark, d), candidates, F.col("gain") * F.col("calculated") + F.col("bias"), ["segment_id"]), ["segment_id"])
+
+
+@query()
+def fit_refined(spark, d):
+    found, fitness = fitting.refine(_pairs(spark, d), {"gain": (0.0, 2.0), "bias": (-200.0, 400.0)}, F.col("gain") * F.col("calculated") + F.col("bias"))
+    return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
+
+
+@query()
+def fit_evolved(spark, d):
+    found, fitness = fitting.evolve(_pairs(spark, d), {"gain": (0.0, 2.0), "bias": (-200.0, 400.0)}, F.col("gain") * F.col("calculated") + F.col("bias"), rounds=6)
+    return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
+
+
+# --- sources and sinks
+
+
+@query("""select unnest([{'s': 'IG', 'l': sin(i * 5.0 * 2 * pi() / 240.0) * 2 + 6, 'k': 0}, {'s': 'BG', 'l': cos(i * 5.0 * 2 * pi() / 240.0) * 2 + 6, 'k': 1}, {'s': 'Calibration', 'l': cos(i * 5.0 * 2 * pi() / 240.0) * 2 + 6, 'k': 2}]).s as signal_id,
+  unnest([sin(i * 5.0 * 2 * pi() / 240.0) * 2 + 6, cos(i * 5.0 * 2 * pi() / 240.0) * 2 + 6, cos(i * 5.0 * 2 * pi() / 240.0) * 2 + 6]) as level, i * 3 + unnest([0, 1, 2]) as seq from range(576) t(i)""")
+def sine_and_cosine(spark, d):
+    return device_files.sine_and_cosine(spark, 2.0).select("signal_id", "level", "seq")
+
+
+@query(f"""select seq::varchar || '; ' || strftime(device_time, '%Y-%m-%d %H:%M:%S.') || lpad(((epoch_us(device_time) // 1000) % 1000)::varchar, 3, '0') || '; Level; ' || signal_id || '; ' || level::varchar || '; ' || segment_id::varchar || '; Level; ; ' || signal_id as value from {EVENTS}""")
+def log_lines(spark, d):
+    return logs.lines(E.read_events(spark, d)).select("value")
+
+
+@query(f"select seq, signal_id, segment_id, level, 'Level' as event_code from {EVENTS}")
+def log_round_trip(spark, d):
+    return logs.parse(logs.lines(E.read_events(spark, d))).select("seq", "signal_id", "segment_id", "level", "event_code")
+
+
+@query(f"select segment_id, device_time, {', '.join(f'''max_by(level, seq) filter (where signal_id = '{s}') as {s}''' for s in ('click', 'view', 'purchase'))} from {EVENTS} group by 1, 2")
+def pivot_wide(spark, d):
+    return logs.pivot_wide(E.read_events(spark, d), ["click", "view", "purchase"])
+
+
+@query(f"select segment_id, signal_id, device_time, level from {EVENTS} where signal_id in ('click', 'view')")
+def unpivot_wide(spark, d):
+    wide = logs.pivot_wide(E.read_events(spark, d), ["click", "view"])
+    return device_files.unpivot_wide(wide, "segment_id", "device_time", ["click", "view"]).select("segment_id", "signal_id", "device_time", "level")
+
+
+@query(f"select device_time as measured_at, signal_id, level as value, segment_id as time_segment_id from {EVENTS} where signal_id not in ('error', 'signup') or signal_id = 'signup'")
+def database_rows(spark, d):
+    virtual = spark.createDataFrame([("error",), ("signup",)], "signal_id string")
+    return logs.database_rows(E.read_events(spark, d), virtual, ("signup",))
+
+
+@query("select event_type as signal_id, ts as device_time, user_id as segment_id, value - 0.01 as level from events where value - 0.01 <> 0")
+def database_levels(spark, d):
+    rows = E.read_events(spark, d).select(F.col("device_time").alias("measured_at"), "signal_id", (F.col("level") - 0.01).alias("value"), F.col("segment_id").alias("time_segment_id"))
+    return device_files.database_levels(rows).select("signal_id", "device_time", "segment_id", "level")
+
+
+@query(f"select seq, level / 18.018 as mmol, (level - 32) * 5 / 9 as celsius, level * 0.01 as hundredth, level / 1440 as days, level * level + 1 as own from {EVENTS}")
+def unit_conversions(spark, d):
+    names = {"mmol": "mgdl_to_mmoll", "celsius": "fahrenheit_to_celsius", "hundredth": "hundredth", "days": "minutes_to_days", "own": "x * x + 1"}
+    return E.read_events(spark, d).select("seq", *[convert("level", c).alias(n) for n, c in names.items()])
+
+
+@query("""select o_custkey as segment_id, count(*) as n, avg(o_totalprice / 1000) as avg_level, max(o_totalprice / 1000) as most from orders group by rollup(o_custkey)""")
+def order_levels(spark, d):
+    levels = E.read_orders(spark, d)
+    return levels.rollup("segment_id").agg(F.count("*").alias("n"), F.avg("level").alias("avg_level"), F.max("level").alias("most"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
