@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CONVERSIONS = {
     "identity": "x",
     "fahrenheit_to_celsius": "(x - 32) * 5 / 9",
-    "mgdl_to_mmoll": "x / 18.018",
+    "mgdl_to_mmoll": "x / 18.0182",
     "hundredth": "x * 0.01",
     "minutes_to_days": "x / (24 * 60)",
     "seconds_to_days": "x / (24 * 60 * 60)",

@@ -9,7 +9,7 @@ from . import events as E
 from .asof import interpolate
 from .windows import episodes, periods, series
 
-MGDL = 18.018
+MGDL = 18.0182
 
 # The error grids, as corners (expected, calculated) in mg/dL; the first zone that holds a point wins.
 CLARKE = (

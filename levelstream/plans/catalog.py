@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelstream.functions.units import convert
-from levelstream.operators import asof, fitting, metrics, models, routing, scores, windows
+from levelstream.operators import asof, dosing, fitting, matching, metrics, models, routing, scores, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs
@@ -572,6 +572,51 @@ def fit_evolved(spark, d):
     return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
 
 
+# --- doses and matched levels
+
+
+@query(f"""with s as (select segment_id, min(device_time) as start from {EVENTS} group by 1), k as (select * from (values (0, 3600, 2.0), (1, 3700, 3.0), (2, 20000, 4.0)) t(k, o, dose)),
+  n as (select k, dose, max(greatest(1, ceil(o / 600.0)) - k) over (order by k) + k as step from k)
+  select segment_id, k, start + to_seconds((step * 600)::int) as device_time, dose as level from s, n""")
+def scheduled_boluses(spark, d):
+    starts = E.read_events(spark, d).groupBy("segment_id").agg(F.min("device_time").alias("start"))
+    schedule = spark.createDataFrame([(0, 3600.0, 2.0), (1, 3700.0, 3.0), (2, 20000.0, 4.0)], "k int, offset_seconds double, dose double")
+    return dosing.scheduled_boluses(starts, schedule, 600.0)
+
+
+_STOPS = f"""(with a as (select *, level <= 20 as low, epoch_us(device_time) as t from {EVENTS} where signal_id = 'click'),
+  b as (select *, coalesce(lag(low) over w, false) as was, t - lag(t) over w as since, lead(device_time) over w as nx from a window w as (partition by segment_id order by device_time, seq)),
+  c as (select *, sum(case when not was or since >= {2 * DAY_US} then 1 else 0 end) over (partition by segment_id order by device_time, seq rows unbounded preceding) as run from b where low)
+  select segment_id, min(device_time) as start, max(least(device_time + interval 2 day, coalesce(nx, device_time + interval 2 day))) as stop from c group by segment_id, run)"""
+
+
+@query(f"select * from {_STOPS}")
+def suspensions(spark, d):
+    return dosing.suspensions(E.signal(E.read_events(spark, d), "click"), 20.0, 2 * E.DAY)
+
+
+@query(f"select a.seq, greatest(a.device_time, coalesce(b.stop, a.device_time)) as device_time from {EVENTS} a asof left join {_STOPS} b on a.segment_id = b.segment_id and a.device_time >= b.start where a.signal_id = 'purchase'")
+def postponed_doses(spark, d):
+    e = E.read_events(spark, d)
+    doses = E.signal(e, "purchase").select("segment_id", "device_time", F.col("seq").cast("double").alias("level"))
+    return dosing.postponed(doses, dosing.suspensions(E.signal(e, "click"), 20.0, 2 * E.DAY)).select(F.col("level").cast("long").alias("seq"), "device_time")
+
+
+@query()
+def basal_to_boluses(spark, d):
+    return dosing.basal_to_boluses(E.read_events(spark, d), "click", 0.05, 1.0)
+
+
+@query()
+def nearest_pairs(spark, d):
+    return matching.nearest_pairs(E.read_events(spark, d), "view", "click")
+
+
+@query()
+def temporal_error(spark, d):
+    return matching.temporal_error(matching.nearest_pairs(E.read_events(spark, d), "view", "click"))
+
+
 # --- sources and sinks
 
 
@@ -614,7 +659,7 @@ def database_levels(spark, d):
     return device_files.database_levels(rows).select("signal_id", "device_time", "segment_id", "level")
 
 
-@query(f"select seq, level / 18.018 as mmol, (level - 32) * 5 / 9 as celsius, level * 0.01 as hundredth, level / 1440 as days, level * level + 1 as own from {EVENTS}")
+@query(f"select seq, level / 18.0182 as mmol, (level - 32) * 5 / 9 as celsius, level * 0.01 as hundredth, level / 1440 as days, level * level + 1 as own from {EVENTS}")
 def unit_conversions(spark, d):
     names = {"mmol": "mgdl_to_mmoll", "celsius": "fahrenheit_to_celsius", "hundredth": "hundredth", "days": "minutes_to_days", "own": "x * x + 1"}
     return E.read_events(spark, d).select("seq", *[convert("level", c).alias(n) for n, c in names.items()])
