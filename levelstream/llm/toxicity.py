@@ -9,7 +9,7 @@ worst window of a document by the model so far and learns from that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ SAMPLE_WINDOWS = 32
 #: Words and trigrams that get vectors, the most frequent of the sample.
 WORDS, TRIGRAMS = 20_000, 20_000
 SIZE, HIDDEN = 8, 8
-ROUNDS, BATCH, RATE = 8, 64, 0.02
+ROUNDS, BATCH, RATE = 6, 64, 0.02
 #: Words whose features a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„"
 
 
@@ -133,11 +133,11 @@ class Network:
         return g, d_inputs
 
 
-def _frequent(lists: list[list[str]], labels: list[int], most: int) -> tuple[dict[str, int], np.ndarray]:
+def _frequent(sets: Iterable[set[str]], labels: list[int], most: int) -> tuple[dict[str, int], np.ndarray]:
     """Items of at least two documents, by falling frequency, from 1 on; and the log odds of the label given each."""
     counts: dict[str, list[int]] = {}
-    for items, label in zip(lists, labels, strict=True):
-        for item in set(items):
+    for items, label in zip(sets, labels, strict=True):
+        for item in items:
             counts.setdefault(item, [0, 0])[label] += 1
     kept = sorted((i for i, c in counts.items() if sum(c) > 1), key=lambda i: (-sum(counts[i]), i))[:most]
     total = np.array([labels.count(0), labels.count(1)]) + 1.0
@@ -151,8 +151,10 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
     if sample:
         sample = sample + [([[]], 0)] * (1 + len(sample) // 50)
     labels = [label for _, label in sample]
-    words, word_odds = _frequent([[w for x in windows for w in x] for windows, _ in sample], labels, WORDS)
-    grams, gram_odds = _frequent([[g for x in windows for w in x for g in trigrams(w)] for windows, _ in sample], labels, TRIGRAMS)
+    words_of = ({w for x in windows for w in x} for windows, _ in sample)
+    words, word_odds = _frequent(words_of, labels, WORDS)
+    grams_in = ({g for w in {w for x in windows for w in x} for g in trigrams(w)} for windows, _ in sample)
+    grams, gram_odds = _frequent(grams_in, labels, TRIGRAMS)
     net = Network(words, grams, seed)
     # The first component starts at the log odds, so that the first rounds look at the right windows.
     net.p["words"][1:, 0], net.p["grams"][1:, 0] = np.clip(word_odds, -3, 3), np.clip(gram_odds, -3, 3)
@@ -162,25 +164,36 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
         return net
     known = sorted({w for windows, _ in sample for x in windows for w in x})
     number = {w: k + 1 for k, w in enumerate(known)}
-    found = [(0, [0])] + [net.indices(w) for w in known]
-    word_of = np.array([i for i, _ in found])
-    widest = max(len(g) for _, g in found)
-    grams_of = np.array([g + [-1] * (widest - len(g)) for _, g in found])
-    there = (grams_of >= 0).astype(np.float32)
-    grams_of = np.maximum(grams_of, 0)
-    share = there / there.sum(axis=1, keepdims=True)
-    share[0] = 0
+    word_of = np.array([0] + [words.get(w, 0) for w in known], np.int32)
+    lists = [[0]] + [net.indices(w)[1] for w in known]
+    count = np.array([len(g) for g in lists])
+    begin = np.cumsum(count) - count
+    flat = np.fromiter((i for g in lists for i in g), np.int32, int(count.sum()))
+    del lists
+
+    def trigrams_of(ids):
+        """The trigrams of words, one after another, and the word that each belongs to."""
+        n = count[ids]
+        row = np.repeat(np.arange(len(ids)), n)
+        return flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[ids][row]], row
+
+    def means(values, ids):
+        at, _ = trigrams_of(ids)
+        return np.add.reduceat(values[at], np.cumsum(count[ids]) - count[ids], axis=0) / count[ids].reshape(-1, *[1] * (values.ndim - 1))
+
     owner = np.array([d for d, (windows, _) in enumerate(sample) for _ in windows])
-    tokens = np.zeros((len(owner), WINDOW), np.int64)
+    tokens = np.zeros((len(owner), WINDOW), np.int32)
     for row, x in enumerate(x for windows, _ in sample for x in windows):
         tokens[row, : len(x)] = [number[w] for w in x]
     label_of = np.array(labels, np.float32)
 
     def vectors(ids):
-        return np.concatenate([net.p["words"][word_of[ids]], np.einsum("...k,...ks->...s", share[ids], net.p["grams"][grams_of[ids]])], axis=-1).astype(np.float32)
+        """Input vectors of words; the number 0 is no word."""
+        there = (ids > 0)[:, None]
+        return (np.concatenate([net.p["words"][word_of[ids]], means(net.p["grams"], ids)], axis=1) * there).astype(np.float32)
 
     def logits(rows):
-        gates = net.project(vectors(np.arange(len(found))))
+        gates = net.project(vectors(np.arange(len(count))))
         return np.concatenate([net.forward(gates[tokens[rows[k : k + 2048]]], (tokens[rows[k : k + 2048]] > 0).astype(np.float32)) for k in range(0, len(rows), 2048)])
 
     def worst(score):
@@ -190,8 +203,8 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
         return rows[np.unique(owner[rows], return_index=True)[1]]
 
     rng = np.random.default_rng(seed)
-    odds = np.zeros(len(found))
-    odds[1:] = np.concatenate([[0], word_odds])[word_of[1:]] + (np.concatenate([[0], gram_odds])[grams_of[1:]] * share[1:]).sum(axis=1)
+    everyone = np.arange(len(count))
+    odds = (np.concatenate([[0], word_odds])[word_of] + means(np.concatenate([[0], gram_odds]), everyone)) * (everyone > 0)
     score = odds[tokens].max(axis=1)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second, step = {k: np.zeros_like(v) for k, v in net.p.items()}, 0
@@ -206,16 +219,21 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
         rows = rows[rng.permutation(len(rows))]
         for k in range(0, len(rows), BATCH):
             part = rows[k : k + BATCH]
-            ids = tokens[part]
-            dropped = rng.random(ids.shape) < 0.1  # as if the word were unknown, so that its characters are learnt
-            mask = (ids > 0).astype(np.float32)
-            x = vectors(ids)
+            own, place = np.unique(tokens[part], return_inverse=True)
+            place = place.reshape(len(part), WINDOW)
+            mask = (tokens[part] > 0).astype(np.float32)
+            x = vectors(own)[place]
+            dropped = rng.random(mask.shape) < 0.1  # as if the word were unknown, so that its characters are learnt
             x[..., :SIZE] *= ~dropped[..., None]
             g, d_x = net.gradient(x, mask, label_of[owner[part]])
             d_x *= mask[..., None]
+            d_x[..., :SIZE] *= ~dropped[..., None]
+            d_own = np.zeros((len(own), 2 * SIZE), np.float32)
+            np.add.at(d_own, place, d_x)
             g["words"], g["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
-            np.add.at(g["words"], word_of[ids], d_x[..., :SIZE] * ~dropped[..., None])
-            np.add.at(g["grams"], grams_of[ids], share[ids][..., None] * d_x[..., None, SIZE:])
+            np.add.at(g["words"], word_of[own], d_own[:, :SIZE])
+            at, row = trigrams_of(own)
+            np.add.at(g["grams"], at, d_own[row, SIZE:] / count[own][row][:, None])
             g["words"][0] = g["grams"][0] = 0
             step += 1
             for name, value in net.p.items():
@@ -246,28 +264,22 @@ class Scorer:
         self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
 
     def _learn(self, words: set[str]):
-        if len(self.number) + len(words) > REMEMBERED:
-            self._forget()
         fresh = sorted(words)
+        if not fresh:
+            return
         n = len(self.number) + 1
         while len(self.gates) < n + len(fresh):
             self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
         self.gates[n : n + len(fresh)] = self.net.project(self.net.vectors([clean(w) for w in fresh]))
         self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(set(words) if len(self.number) > REMEMBERED // 2 else set(words) - self.number.keys())
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-
-    def windows(self, words: list[str]) -> Iterator[np.ndarray]:
-        """Gates of the windows, some hundreds at a time."""
+    def windows(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Gates and masks of the windows of known words, some hundreds at a time."""
         starts = window_starts(len(words))
         for k in range(0, len(starts), 256):
             part = starts[k : k + 256]
-            ids = self.ids(words[part[0] : part[-1] + WINDOW])
+            some = words[part[0] : part[-1] + WINDOW]
+            ids = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
             place = np.array(part)[:, None] - part[0] + np.arange(WINDOW)
             inside = place < len(ids)
             rows = np.where(inside, ids[np.minimum(place, max(0, len(ids) - 1))] if len(ids) else 0, 0)
@@ -282,8 +294,15 @@ class Scorer:
                 np.maximum.at(best, np.array(owner), logit)
                 held.clear(), masks.clear(), owner.clear()
 
-        for d, text in enumerate(texts):
-            for gates, mask in self.windows(text.lower().split()):
+        lists = [text.lower().split() for text in texts]
+        wanted = set().union(*lists)
+        missing = wanted - self.number.keys()
+        if len(self.number) + len(missing) > REMEMBERED:
+            self._forget()
+            missing = wanted
+        self._learn(missing)
+        for d, words in enumerate(lists):
+            for gates, mask in self.windows(words):
                 held.append(gates)
                 masks.append(mask)
                 owner.extend([d] * len(mask))
@@ -325,10 +344,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Network:
     rows = [tuple(r) for r in chosen[0].union(chosen[1]).collect()]
     ids = documents.sparkSession.createDataFrame(rows, "doc_id long, toxic int")
     texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-    windows = texts.mapInArrow(_sample_windows, "doc_id long, toxic int, words string").toPandas()
+    windows = texts.mapInArrow(_sample_windows, "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"])
     sample: dict[int, tuple[list[list[str]], int]] = {}
-    for doc, toxic, words in sorted(windows.itertuples(index=False, name=None)):
-        sample.setdefault(doc, ([], toxic))[0].append(words.split(" ") if words else [])
+    pool: dict[str, str] = {}  # one string for each word, however often it comes
+    for doc, toxic, words in windows.itertuples(index=False, name=None):
+        sample.setdefault(doc, ([], toxic))[0].append([pool.setdefault(w, w) for w in words.split(" ")] if words else [])
+    del windows
     return train([sample[d] for d in sorted(sample)])
 
 
@@ -344,7 +365,7 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
         scorer = Scorer(model.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            values = np.concatenate([scorer.scores([t or "" for t in texts.slice(k, 500).to_pylist()]) for k in range(0, batch.num_rows, 500)]) if batch.num_rows else np.zeros(0)
+            values = np.concatenate([scorer.scores([t or "" for t in texts.slice(k, 250).to_pylist()]) for k in range(0, batch.num_rows, 250)]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
