@@ -171,7 +171,7 @@ def on_board(asked: DataFrame, doses: DataFrame, kernel: str = "bilinear", peak:
     return rows.groupBy("segment_id", "device_time", "seq").agg(F.sum(part).alias(name))
 
 
-def beta_pid(asked: DataFrame, ist: DataFrame, on_board_now: DataFrame, version: int = 1, kp: float = 2.0, ki: float = 0.028, kd: float = 0.24, isf: float = 0.36, basal: float = 1.3, step: float = MINUTE, count: int = 30, target: float = 5.0, name: str = "value") -> DataFrame:
+def beta_pid(asked: DataFrame, ist: DataFrame, on_board_now: DataFrame, kp: float = 2.0, ki: float = 0.028, kd: float = 0.24, isf: float = 0.36, basal: float = 1.3, step: float = MINUTE, count: int = 30, target: float = 5.0, name: str = "value") -> DataFrame:
     """An insulin rate, 0 to 3.5: proportional, integral (``count`` steps) and derivative of target less level.
 
     ``on_board_now`` has (segment_id, device_time, seq, iob) for the asked times; without level or insulin on board
@@ -186,6 +186,35 @@ def beta_pid(asked: DataFrame, ist: DataFrame, on_board_now: DataFrame, version:
     return rows.withColumn(name, F.when(bg.isNotNull() & F.col("iob").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(3.5), rate)))).drop("lags", "slope", "iob")
 
 
+def beta_pid_smooth(asked: DataFrame, ist: DataFrame, known: DataFrame, target: float, kp: float = 2.0, ki: float = 0.028, kd: float = 0.24, basal: float = 1.3, decay: float | None = None, step: float = 5 * MINUTE, count: int = 12, name: str = "value") -> DataFrame:
+    """The later regulators: the derivative is a five-point one over the last steps (0 if any of them is not known).
+
+    ``known`` has (segment_id, device_time, seq, iob, cob, isf, cr). Without ``decay`` the integral is a plain sum and
+    kp weighs the proportional part alone; with it, older errors count less by step and kp weighs all parts. A rate
+    needs all of ``known`` and the level.
+    """
+    names = ["iob", "cob", "isf", "cr"]
+    rows = lag_grid(asked, ist, step, count).join(known.select("segment_id", "device_time", "seq", *names), ["segment_id", "device_time", "seq"], "left")
+    lag = lambda i: F.col("lags")[i]
+    error = lambda x: target - x
+    past = F.aggregate(F.reverse("lags"), F.lit(0.0), lambda s, x: s * (1.0 if decay is None else decay) + F.coalesce(error(x), F.lit(0.0)))
+    five = (-error(lag(0)) + 8 * error(lag(1)) - 8 * error(lag(3)) + error(lag(4))) / (12 * step)
+    slope = F.when(lag(0).isNotNull() & lag(1).isNotNull() & lag(2).isNotNull() & lag(3).isNotNull() & lag(4).isNotNull(), five).otherwise(0.0)
+    future = F.greatest(lag(0) - (F.col("iob") - F.col("cob") * F.col("cr")) / F.col("isf"), F.lit(0.0)) / target
+    turn = kd * lag(0) / target * slope
+    law = kp * future * error(lag(0)) + ki * future * past + turn if decay is None else kp * (future * (error(lag(0)) + ki * past) + turn)
+    rate = F.greatest(F.lit(0.0), F.least(F.lit(3.5), -F.col("isf") * law + basal))
+    there = lag(0).isNotNull()
+    for n in names:
+        there = there & F.col(n).isNotNull()
+    return rows.withColumn(name, F.when(there, rate)).drop("lags", *names)
+
+
+def constant(asked: DataFrame, value: float = 6.66, name: str = "value") -> DataFrame:
+    """The same level at every asked time; sensitivities and ratios are such models too."""
+    return asked.withColumn(name, F.lit(value))
+
+
 LOW_BAND, HIGH_BAND, BANDS, STEADY = 3.0, 13.0, 30, 0.1
 
 

@@ -81,3 +81,16 @@ def boluses_of_carbs(events: DataFrame, carbs: str, bolus: str, ratio: float) ->
     """For each carbohydrate intake also the bolus of carbs times ratio at the same time."""
     mine = E.is_level() & (F.col("signal_id") == carbs)
     return events.unionByName(events.where(mine).withColumns({"signal_id": F.lit(bolus), "level": F.col("level") * ratio}))
+
+
+def with_last(events: DataFrame, signals: list[str]) -> DataFrame:
+    """Each level event with the last level, time and slope (per day) of each signal: what a script per level needs.
+
+    Columns are NAME_level, NAME_time and NAME_slope; the event itself counts for its own signal.
+    """
+    own, all_ = _order(), Window.partitionBy("segment_id").orderBy("device_time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.where(E.is_level()).withColumn("last_slope", (F.col("level") - F.lag("level").over(own)) / (E.micros() - F.lag(E.micros()).over(own)) * (E.DAY * 1e6))
+    marks = {s: F.last(F.when(F.col("signal_id") == s, F.struct("level", "device_time", "last_slope")), ignorenulls=True).over(all_) for s in signals}
+    rows = rows.withColumns({f"{s}_last": m for s, m in marks.items()})
+    parts = {"level": "level", "time": "device_time", "slope": "last_slope"}
+    return rows.withColumns({f"{s}_{k}": F.col(f"`{s}_last`")[v] for s in signals for k, v in parts.items()}).drop("last_slope", *[f"{s}_last" for s in signals])

@@ -517,6 +517,39 @@ def beta_pid(spark, d):
     return models.beta_pid(_asked(spark, d), _small(spark, d), iob, step=0.1).select("segment_id", "device_time", "seq", "value")
 
 
+def _smooth_sql(target: float, basal: float, decay: float | None) -> str:
+    e = [f"({target} - lags[{i}])" for i in range(1, 6)]
+    past = "list_sum([coalesce(%s - x, 0) for x in lags])" % target if decay is None else " + ".join(f"coalesce({target} - lags[{i + 1}], 0) * {decay ** i!r}" for i in range(12))
+    five = f"case when lags[1] is not null and lags[2] is not null and lags[3] is not null and lags[4] is not null and lags[5] is not null then (-{e[0]} + 8 * {e[1]} - 8 * {e[3]} + {e[4]}) / (12 * 0.1) else 0 end"
+    turn = f"0.24 * bg / {target} * slope"
+    law = f"2.0 * future * ({target} - bg) + 0.028 * future * past + {turn}" if decay is None else f"2.0 * (future * ({target} - bg + 0.028 * past) + {turn})"
+    return f"""with l as {_lags_sql(asked_sql('view'), _small_sql(), 0.1, 12)}, o as (select seq, value / 1000 as iob from ({_on_board_sql('bilinear')})),
+      a as (select l.segment_id, l.device_time, l.seq, lags[1] as bg, {past} as past, {five} as slope, greatest(lags[1] - (iob - 1.5 * 0.0667) / 0.36, 0) / {target} as future from l join o on l.seq = o.seq)
+      select segment_id, device_time, seq, case when bg is not null then greatest(0, least(3.5, -0.36 * ({law}) + {basal})) end as value from a"""
+
+
+def _smooth(spark, d, target: float, decay: float | None) -> DataFrame:
+    known = _on_board(spark, d, "bilinear").select("segment_id", "device_time", "seq", (F.col("value") / 1000).alias("iob"), F.lit(1.5).alias("cob"), F.lit(0.36).alias("isf"), F.lit(0.0667).alias("cr"))
+    return models.beta_pid_smooth(_asked(spark, d), _small(spark, d), known, target, decay=decay, step=0.1).select("segment_id", "device_time", "seq", "value")
+
+
+@query(_smooth_sql(6.66, 1.3, None))
+def beta_pid_2(spark, d):
+    return _smooth(spark, d, 6.66, None)
+
+
+@query(_smooth_sql(5.5, 1.3, 0.95))
+def beta_pid_3(spark, d):
+    return _smooth(spark, d, 5.5, 0.95)
+
+
+@query(f"""with a as (select *, (level - lag(level) over w) / (epoch_us(device_time) - lag(epoch_us(device_time)) over w) * 86400e6 as slope from {EVENTS} window w as (partition by segment_id, signal_id order by device_time, seq)),
+  b as (select seq, {', '.join(f"last_value(case when signal_id = '{n}' then {{'l': level, 't': device_time, 's': slope}} end ignore nulls) over (partition by segment_id order by device_time, seq rows unbounded preceding) as {n}" for n in ('click', 'view'))} from a)
+  select seq, click.l as click_level, click.t as click_time, click.s as click_slope, view.l as view_level, view.t as view_time, view.s as view_slope from b""")
+def last_of_signals(spark, d):
+    return routing.with_last(E.read_events(spark, d), ["click", "view"]).select("seq", *[f"{s}_{k}" for s in ("click", "view") for k in ("level", "time", "slope")])
+
+
 @query(f"""with a as (select segment_id, device_time, seq, level / 18.0 as level from {EVENTS} where signal_id = 'click'),
   b as (select *, lag(level, 2) over w as o, lag(level) over w as m, lead(level) over w as nx from a window w as (partition by segment_id order by device_time, seq)),
   c as (select *, case when m - o > 0.1 then case when not (level - m > 0.1) then 'concave' when abs(level - m) > abs(m - o) then 'accel' else 'up' end when m - o < -0.1 then case when not (level - m < -0.1) then 'convex' when abs(level - m) > abs(m - o) then 'deccel' else 'down' end
