@@ -10,7 +10,11 @@ licence of its own inherits from the nearest directory above it that has one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -51,9 +55,9 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, license string, wording string")
-    return rows.select("template", "license", F.explode(terms(F.col("wording"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+def _python_terms(text: str) -> list[str]:
+    """The terms of a template wording, which holds ASCII only."""
+    return re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -65,17 +69,21 @@ def scan(documents: DataFrame) -> DataFrame:
     repeated rows are each returned; an empty table gives an empty one; other columns are ignored.
     """
     spark = documents.sparkSession
-    wordings = _templates(spark)
-    vocabulary = F.array(*[F.lit(r.term) for r in wordings.select("term").distinct().orderBy("term").collect()])  # of the fixed templates
+    wordings = [Counter(_python_terms(w)) for _, w in TEMPLATES]
+    vocabulary = sorted({w for c in wordings for w in c})
     rows = documents.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select(F.explode(F.array_intersect(F.split(F.lower("text"), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])"), vocabulary)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = F.greatest(F.lit(1), F.coalesce(F.col("documents"), F.lit(1)))
-    weight = (F.log(total / F.coalesce("df", F.lit(1))) + 1).alias("weight")
-    count = rows.agg(F.count("*").alias("documents"))
-    idf = materialize(wordings.select("term").distinct().join(found, "term", "left").join(F.broadcast(count)).select("term", weight, (F.log(total) + 1).alias("unknown")), "idf")
-    vectors = wordings.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("weight"))
-    norms = Window.partitionBy("template")
-    vectors = vectors.select("template", "license", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norms))).alias("w"))
+    own_terms = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])"), F.array(*map(F.lit, vocabulary)))
+    counted = rows.select(F.explode(F.concat(own_terms, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = {r.term: r.df for r in counted.collect()}  # a row for each term of the fixed templates; the empty one counts documents
+    total = max(1, df.get("", 0))
+    weight = {w: math.log(total / max(1, df.get(w, 0))) + 1 for w in vocabulary}
+    unknown = math.log(total) + 1
+    entries = []
+    for k, (c, (name, _)) in enumerate(zip(wordings, TEMPLATES, strict=True)):
+        norm = math.sqrt(sum((n * weight[w]) ** 2 for w, n in c.items()))
+        entries += [(k, name, w, n * weight[w] / norm) for w, n in sorted(c.items())]
+    vectors = spark.createDataFrame(entries, "template int, license string, term string, v double")
+    idf = spark.createDataFrame(sorted(weight.items()), "term string, weight double")
 
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(TRIGGER)))
     said = rows.where(F.regexp_like("text", F.lit(TRIGGER))).select("doc_id", "path", F.xxhash64("text").alias("hash"), F.size(terms(F.col("text"))).alias("words"), F.posexplode(lines).alias("line", "said"))
@@ -84,10 +92,9 @@ def scan(documents: DataFrame) -> DataFrame:
     passages = materialize(spread.select("doc_id", "path", "hash", "words", "line", F.posexplode(spans).alias("span", "terms")).where(F.size("terms") > 0).distinct(), "passages")
     key = ["doc_id", "path", "hash", "line", "span"]
     each = passages.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    unknown = idf.agg(F.max("unknown").alias("unknown"))
-    each = each.join(F.broadcast(idf.select("term", "weight")), "term", "left").join(F.broadcast(unknown)).withColumn("w", F.col("tf") * F.coalesce("weight", "unknown"))
+    each = each.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(unknown)))
     sizes = each.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = each.join(F.broadcast(vectors.withColumnRenamed("w", "v")), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = each.join(F.broadcast(vectors), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
     scored = dots.alias("a").join(sizes.alias("b"), same[0] & same[1] & same[2] & same[3] & same[4])
     scored = scored.select(*[F.col(f"a.{c}").alias(c) for c in key], "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= SIMILAR)
