@@ -10,12 +10,16 @@ appear once, on any store that Spark can write.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +29,8 @@ from .shared import materialize
 MAGIC, CHUNK, RANK = b"DAC1", 8, 512
 #: Ids in a shard after which it is closed; a document is never split.
 SHARD_IDS = 1 << 20
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker process remembers, from task to task.
+REMEMBERED = 800_000
 _SCHEMA = "part int, seq int, doc_ids array<long>, starts array<long>, n_ids long, payload binary"
 
 
@@ -99,51 +103,74 @@ class Codes:
 class WordTable(dict):
     """Word to its ids as little-endian bytes, encoded by the library when first seen.
 
-    The tokenizer cuts at white space and drops it, so a text's ids are those of its words in turn. A word that
-    ends in one full stop or comma after a letter is cut there too, as the tokenizer itself does.
+    The tokenizer lower-cases, cuts at white space and drops it, so a text's ids are those of its words in turn, and
+    ASCII letters may be lower-cased before. A word that ends in one full stop or comma after a letter is cut there,
+    as the tokenizer itself does.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if word[-1:] in (".", ",") and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def _learn(self, words: list[str]) -> None:
+        stopped = [w for w in words if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
+        plain = list(({*words, *(w[:-1] for w in stopped), ".", ","} - {*stopped}) - self.keys())
+        for word, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            self[word] = array("I", found.ids).tobytes()
+        for word in stopped:
+            self[word] = self[word[:-1]] + self[word[-1]]
+
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text: words are split and numbered in Arrow, and looked up once for all their places."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        missing = [w for w in distinct if w not in self]
+        if missing:
+            if len(self) + len(missing) > REMEMBERED:
+                self.clear()
+                missing = distinct
+            self._learn(missing)
+        found = [self[w] for w in distinct]
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        number = coded.indices.to_numpy()
+        many = size[number]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        flat = ids[np.repeat(first[number] - ends[:-1], many) + np.arange(ends[-1])] if len(number) else ids[:0]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _word_table(path: str) -> WordTable:
+    """Spark reuses worker processes, and a word's ids never change."""
+    return WordTable(path)
 
 
 def _writer(path: Callable[[], str], end_id: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seq = WordTable(path()), TaskContext.get().partitionId(), 0
+        words, part, seq = _word_table(path()), TaskContext.get().partitionId(), 0
         docs, starts, held, n = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
 
         def shard() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            cells = [[part], [seq], [docs], [starts], [n], [encode(ids)]]
+            cells = [[part], [seq], [docs], [starts], [n], [encode(np.concatenate(held))]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "seq", "doc_ids", "starts", "n_ids", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.text(text or "") + end
-                docs.append(doc)
-                starts.append(n)
-                held.append(ids)
-                n += len(ids) // 4
-                if n >= SHARD_IDS:
-                    yield shard()
-                    docs, starts, held, n, seq = [], [], [], 0, seq + 1
+            for k in range(0, batch.num_rows, 1000):
+                for doc, ids in zip(batch.column(0).slice(k, 1000).to_pylist(), words.texts(batch.column(1).slice(k, 1000)), strict=True):
+                    docs.append(doc)
+                    starts.append(n)
+                    held += [ids, end]
+                    n += len(ids) + 1
+                    if n >= SHARD_IDS:
+                        yield shard()
+                        docs, starts, held, n, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
 

@@ -24,8 +24,9 @@ SAMPLE_WINDOWS = 32
 #: Words and trigrams that get vectors, the most frequent of the sample.
 WORDS, TRIGRAMS = 20_000, 20_000
 SIZE, HIDDEN = 8, 8
-ROUNDS, BATCH, RATE = 6, 64, 0.02
-#: Words whose features a task remembers.
+#: Rounds at least, and steps at least (small samples get more rounds); of STUDY documents one only places the threshold.
+ROUNDS, STEPS, BATCH, RATE, STUDY = 6, 600, 64, 0.02, 5
+#: Words whose features a worker process remembers, from task to task.
 REMEMBERED = 300_000
 _MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„"
 
@@ -211,10 +212,18 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
     everything = np.arange(len(owner))
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
     copies = np.array([max(1, round(weight[label])) for label in labels])
-    for round_ in range(ROUNDS):
+    # Of each label, in turn, one document in STUDY is kept apart from the steps.
+    turn = np.zeros(len(labels), int)
+    for label in (0, 1):
+        turn[label_of == label] = np.arange((label_of == label).sum())
+    apart = (turn % STUDY == STUDY - 1) if min(np.bincount(labels, minlength=2)) >= STUDY else np.zeros(len(labels), bool)
+    per_round = -(-int(copies[~apart].sum() * 1.5) // BATCH)
+    rounds = max(ROUNDS, -(-STEPS // per_round))
+    for round_ in range(rounds):
         picked = worst(score)
+        picked = picked[~apart[owner[picked]]]
         random = everything[rng.permutation(len(owner))]
-        clean_rows = random[label_of[owner[random]] == 0][: len(picked) // 2]
+        clean_rows = random[(label_of[owner[random]] == 0) & ~apart[owner[random]]][: len(picked) // 2]
         rows = np.concatenate([np.repeat(picked, copies[owner[picked]]), clean_rows])
         rows = rows[rng.permutation(len(rows))]
         for k in range(0, len(rows), BATCH):
@@ -223,7 +232,7 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
             place = place.reshape(len(part), WINDOW)
             mask = (tokens[part] > 0).astype(np.float32)
             x = vectors(own)[place]
-            dropped = rng.random(mask.shape) < 0.1  # as if the word were unknown, so that its characters are learnt
+            dropped = rng.random(mask.shape) < 0.2  # as if the word were unknown, so that its characters are learnt
             x[..., :SIZE] *= ~dropped[..., None]
             g, d_x = net.gradient(x, mask, label_of[owner[part]])
             d_x *= mask[..., None]
@@ -240,15 +249,19 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
                 d = g[name] + 1e-4 * value
                 first[name] += 0.1 * (d - first[name])
                 second[name] += 0.01 * (d * d - second[name])
-                rate = RATE * (1 - round_ / ROUNDS) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                rate = RATE * (1 - round_ / rounds) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 value -= (rate * first[name] / (np.sqrt(second[name]) + 1e-6)).astype(np.float32)
         score = logits(everything)
-    best = score[worst(score)]
-    # The middle of the gap between the labels gets the score THRESHOLD.
-    order = np.argsort(best)
-    wrong = np.cumsum(label_of[order] * weight[1]) + ((1 - label_of) * weight[0]).sum() - np.cumsum((1 - label_of[order]) * weight[0])
-    cut = int(np.argmin(wrong[:-1])) if len(order) > 1 else 0
-    net.shift = float((best[order[cut]] + best[order[min(cut + 1, len(order) - 1)]]) / 2 - np.log(THRESHOLD / (1 - THRESHOLD)))
+    # The middle of the gap that parts the labels best, among the documents kept apart, gets the score THRESHOLD.
+    judged = np.flatnonzero(apart) if apart.any() else np.arange(len(labels))
+    best, truth = score[worst(score)][judged], label_of[judged]
+    order = np.argsort(best, kind="stable")
+    missed = np.concatenate([[0], np.cumsum(truth[order])]) * weight[1]
+    blamed = np.concatenate([np.cumsum((1 - truth[order])[::-1])[::-1], [0]]) * weight[0]
+    edge = np.concatenate([[best.min() - 2], best[order], [best.max() + 2]])
+    cuts = np.flatnonzero(missed + blamed == (missed + blamed).min())
+    cut = cuts[np.argmax(edge[cuts + 1] - edge[cuts])]
+    net.shift = float((edge[cut] + edge[cut + 1]) / 2 - np.log(THRESHOLD / (1 - THRESHOLD)))
     return net
 
 
@@ -362,7 +375,8 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
     model = documents.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        net = model.value  # one object for all tasks of a worker process
+        scorer = net.scorer = getattr(net, "scorer", None) or Scorer(net)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             values = np.concatenate([scorer.scores([t or "" for t in texts.slice(k, 250).to_pylist()]) for k in range(0, batch.num_rows, 250)]) if batch.num_rows else np.zeros(0)
