@@ -24,6 +24,8 @@ SAMPLE_WINDOWS = 32
 #: Words and trigrams that get vectors, the most frequent of the sample.
 WORDS, TRIGRAMS = 20_000, 20_000
 SIZE, HIDDEN = 8, 8
+#: Documents of the usual share of labels that a word or trigram counts as having besides its own.
+SHRINK = 5.0
 #: Rounds at least, and steps at least (small samples get more rounds); of STUDY documents one only places the threshold.
 ROUNDS, STEPS, BATCH, RATE, STUDY = 6, 600, 64, 0.02, 5
 #: Words whose features a worker process remembers, from task to task.
@@ -135,15 +137,15 @@ class Network:
 
 
 def _frequent(sets: Iterable[set[str]], labels: list[int], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Items of at least two documents, by falling frequency, from 1 on; and the log odds of the label given each."""
+    """Items of at least two documents, by falling frequency, from 1 on; and the shrunken log odds of the label given each."""
     counts: dict[str, list[int]] = {}
     for items, label in zip(sets, labels, strict=True):
         for item in items:
             counts.setdefault(item, [0, 0])[label] += 1
     kept = sorted((i for i, c in counts.items() if sum(c) > 1), key=lambda i: (-sum(counts[i]), i))[:most]
-    total = np.array([labels.count(0), labels.count(1)]) + 1.0
-    have = np.array([counts[i] for i in kept], float).reshape(-1, 2) + 0.5
-    odds = np.log(have[:, 1] / total[1]) - np.log(have[:, 0] / total[0])
+    share = (np.array([labels.count(0), labels.count(1)]) + 1.0) / (len(labels) + 2.0)
+    have = np.array([counts[i] for i in kept], float).reshape(-1, 2) + SHRINK * share
+    odds = np.log(have[:, 1] / share[1]) - np.log(have[:, 0] / share[0])
     return {item: k + 1 for k, item in enumerate(kept)}, odds
 
 
