@@ -6,7 +6,7 @@ columns of documents. Extra columns are dropped by the first stage; an empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from levelstream.llm import mixing, piece_codes, simhash, substring_dedup, toxicity
@@ -57,8 +57,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, with the proof that they decode to it."""
-    return piece_codes.encode_documents(docs, piece_codes.piece_bpe)
+    """Piece ids of every text, with the proof that they decode to it.
+
+    The texts that the mix takes of one document are numbered, so that its copies differ in the merges they skip.
+    """
+    same = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.col("n_chars").desc(), "text")
+    return piece_codes.encode_documents(docs.withColumn("copy", F.row_number().over(same)), piece_codes.piece_bpe)
 
 
 STAGES = [

@@ -2,17 +2,19 @@
 
 Encoding merges characters as the model's BPE does: of all adjacent pairs whose joining is a piece, the one with
 the best score, the leftmost of equals, until none is left. A candidate merge is skipped for good if a hash keyed
-by the seed, the unit, its variant and the candidate's three borders falls below the dropout rate, so seeds and
-places vary the segmentation while a rerun agrees. All units of a batch go through this agenda together in numpy.
+by the seed, the document, its copy, the part's place in the text and the candidate's three borders falls below the
+dropout rate, so every place has its own draws while a rerun agrees. All parts of a batch go through this agenda
+together in numpy.
 
 A unit is a run of spaces and the characters up to the next space or line feed; no piece reaches over its borders,
-nor over a pair of characters that no piece holds, so units are encoded apart. Of equal units in a text one in
-VARIANTS after another has the same variant, which lets a task remember what it has encoded.
+nor over a pair of characters that no piece holds, so units are cut there into parts and these encoded apart. A
+task remembers the cut of a unit, which no draw changes, and no ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,15 +23,25 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-DROPOUT, SEED, VARIANTS = 0.1, 7, 2
-#: Units whose ids a worker process remembers for each variant, from task to task.
+DROPOUT, SEED = 0.1, 7
+#: Units whose cut a worker process remembers, from task to task.
 REMEMBERED = 250_000
+#: Rows of a step of the agenda hold about so many characters.
+AT_ONCE = 1 << 16
 SPACE, OWN = "▁", "\ud800"  # OWN stands for a text's own U+2581, which must not decode to a space
-_NEVER = np.iinfo(np.int64).max
+_NEVER = np.iinfo(np.int32).max
 _SPREAD, _BORDERS = 0x9E3779B97F4A7C15, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Each number to one whose bits all depend on all of its bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class Model:
     """Pieces, scores and joins of a SentencePiece BPE model with byte fallback."""
 
@@ -69,7 +81,7 @@ class Model:
         # An open hash table of the joins, read for whole arrays of pairs at once.
         bits = max(4, (4 * len(joins)).bit_length())
         self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64)
-        self.ranks, self.joined = np.full(1 << bits, _NEVER), np.zeros(1 << bits, np.int32)
+        self.ranks, self.joined = np.full(1 << bits, _NEVER, np.int32), np.zeros(1 << bits, np.int32)
         for key, (rank, i) in joins.items():
             slot = (key * _SPREAD % 2**64) >> int(self.shift)
             while self.slots[slot] >= 0:
@@ -102,7 +114,7 @@ class Model:
     def _candidates(self, key: np.ndarray, ids: tuple, places: tuple, limit: np.uint64) -> np.ndarray:
         """Ranks of adjacent pairs with borders ``places``; skipped and impossible ones are never taken."""
         slot = self._look(*ids)
-        rank = np.where(self.slots[slot] >= 0, self.ranks[slot], _NEVER) if len(slot) else np.zeros(0, np.int64)
+        rank = self.ranks[slot]  # of an empty slot it is never
         h = key
         for place, odd in zip(places, _BORDERS, strict=True):
             h = (h ^ (place.astype(np.uint64) + np.uint64(1))) * np.uint64(odd)
@@ -128,7 +140,7 @@ class Model:
         before = after - 2
         rows, cols = np.repeat(np.arange(n), length - 1), np.tile(np.arange(length - 1), n)
         at = rows * wide + cols
-        agenda = np.full(n * wide, _NEVER)
+        agenda = np.full(n * wide, _NEVER, np.int32)
         agenda[at] = self._candidates(keys[rows], (ids[at], ids[at + 1]), (cols, cols + 1, cols + 2), limit)
         agenda = agenda.reshape(n, wide)
         flat, alive = agenda.reshape(-1), np.ones(n * wide, bool)
@@ -173,12 +185,16 @@ class Model:
 
 
 class Encoder:
-    """Text to ids and back; remembers units."""
+    """Text to ids and back; remembers how units are cut into parts."""
 
     def __init__(self, model: Model, dropout: float = DROPOUT, seed: int = SEED):
         self.model, self.dropout, self.seed = model, dropout, seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.parts: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        #: Code points of the parts of all known units, the length of each part, and the parts of each unit.
+        self.tables = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -213,48 +229,70 @@ class Encoder:
             return unit
         return unit.replace(" ", SPACE) if unit[0] == " " else SPACE + unit
 
-    def learn(self, variant: int, units: set[str]) -> None:
-        table, parts = self.known[variant], self.parts[variant]
-        if len(table) + len(units) > REMEMBERED:
-            table.clear()
-        if len(parts) > REMEMBERED:
-            parts.clear()
-        seed, hashed, cut, by_length = self.seed * VARIANTS + variant, xxhash.xxh64_intdigest, self.model.parts, {}
-        parts_of = {}
-        for unit in units:
-            own = parts_of[unit] = cut(self.written(unit))
-            for part in own:
-                if part not in parts:
-                    parts[part] = b""
-                    by_length.setdefault(len(part), []).append(part)
-        for length, same in by_length.items():
-            size = max(1, (1 << 18) // length)
-            for k in range(0, len(same), size):
-                some = same[k : k + size]
-                keys = [hashed(p.encode("utf-8", "surrogatepass"), seed) for p in some]
-                parts.update(zip(some, self.model.encoded(some, keys, self.dropout), strict=True))
-        for unit, own in parts_of.items():
-            table[unit] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
-
-    def encode(self, texts: list[str], offsets: list[int]) -> list[np.ndarray]:
-        """The ids of texts; ``offsets`` vary the variant of a text's first unit."""
+    def learn(self, units: set[str]) -> None:
+        own = [self.model.parts(self.written(unit)) for unit in units]
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        parts = list(itertools.chain.from_iterable(own))
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = points, np.array(list(map(len, parts)), np.int64), np.array(list(map(len, own)), np.int64)
+        self.tables = tuple(map(np.concatenate, zip(self.tables, new, strict=True)))
+
+    def document_key(self, doc_id: int | None, copy: int, text: str) -> int:
+        """What tells a document and its copies apart; a text without a doc_id stands for itself."""
+        own = f"t{text}" if doc_id is None else f"d{doc_id}"
+        return xxhash.xxh64_intdigest(f"{copy} {own}".encode("utf-8", "surrogatepass"), self.seed)
+
+    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """The ids of texts; ``documents`` are the keys by which their draws differ."""
         lists = [self.units(t) for t in texts]
-        for v in range(VARIANTS):
-            table = self.known[v]
-            wanted = set()
-            for units, offset in zip(lists, offsets, strict=True):
-                wanted.update(units[(v - offset) % VARIANTS :: VARIANTS])
-            missing = wanted - table.keys()
-            if missing:
-                self.learn(v, wanted if len(table) + len(missing) > REMEMBERED else missing)
-        out = []
-        for units, offset in zip(lists, offsets, strict=True):
-            ids: list = [b""] * len(units)
-            for v in range(VARIANTS):
-                first = (v - offset) % VARIANTS
-                ids[first::VARIANTS] = map(self.known[v].__getitem__, units[first::VARIANTS])
-            out.append(np.frombuffer(b"".join(ids), "<i4"))
-        return out
+        missing = set().union(*lists) - self.known.keys()
+        if missing:
+            if len(self.known) + len(missing) > REMEMBERED:
+                self.forget()
+                missing = set().union(*lists)
+            self.learn(missing)
+        if not any(lists):
+            return [np.zeros(0, "<i4") for _ in texts]
+        points, lengths, counts = self.tables
+        starts, firsts = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
+        unit = np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, units) for units in lists), np.int64, sum(map(len, lists)))
+        # Parts of all texts in order, and the place of each in its text.
+        many = counts[unit]
+        ends = np.cumsum(many)
+        part = np.repeat(firsts[unit] - ends + many, many) + np.arange(ends[-1])
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, lists)])]
+        sizes = np.diff(bounds)
+        place = np.arange(ends[-1]) - np.repeat(bounds[:-1], sizes)
+        keys = np.repeat(np.array([xxhash.xxh64_intdigest(d.to_bytes(16, "little", signed=True), self.seed) for d in documents], np.uint64), sizes)
+        keys = spread(keys + place.astype(np.uint64) * np.uint64(_SPREAD))
+        # A place for each character; those that still start a symbol at the end are kept.
+        length = lengths[part]
+        begin = np.cumsum(length) - length
+        ids, alive = np.empty(begin[-1] + length[-1], np.int32), np.empty(begin[-1] + length[-1], bool)
+        shown = np.empty(len(ids), np.uint32)
+        order = np.argsort(length, kind="stable")
+        sorted_ = length[order]
+        edges = [0, *(np.flatnonzero(np.diff(sorted_)) + 1).tolist(), len(order)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            wide = int(sorted_[a])
+            size = max(1, AT_ONCE // wide)
+            for k in range(a, b, size):
+                rows = order[k : min(b, k + size)]
+                some = points[starts[part[rows]][:, None] + np.arange(wide)]
+                to = begin[rows][:, None] + np.arange(wide)
+                ids[to], alive[to] = self.model.segment(some, keys[rows], self.dropout)
+                shown[to] = some
+        kept = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([begin, [len(ids)]])[bounds]]
+        ids, shown = ids[alive], shown[alive]
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):  # characters without a piece are bytes
+            instead = [self.model.fallback(chr(c)) for c in shown[lost].tolist()]
+            width = np.ones(len(ids), np.int64)
+            width[lost] = list(map(len, instead))
+            ids = np.repeat(ids, width)
+            ids[ids < 0] = list(itertools.chain.from_iterable(instead))
+            kept = np.concatenate([[0], np.cumsum(width)])[kept]
+        return [ids[a:b] for a, b in itertools.pairwise(kept.tolist())]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text, without the space that encoding puts first."""
@@ -271,16 +309,19 @@ def encode_documents(documents: DataFrame, model_path: Callable[[], str], dropou
     """Per row: doc_id, n_chars, n_tokens, ids, ids_crc32, decoded_sha256, lossless.
 
     The ids of the whole text, decoded again: decoded_sha256 is of the decoded text (lowercase hex, UTF-8) and
-    lossless says that it is the text. Null text is empty and has no ids; a null doc_id counts as 0 for the
-    variant; repeated rows get equal ids; an empty table gives an empty one; other columns are ignored.
+    lossless says that it is the text. The draws differ by doc_id and by ``copy``, where there is such a column.
+    Null text is empty and has no ids; of rows with a null doc_id the draws differ by the text; rows that repeat all
+    of these get equal ids; an empty table gives an empty one; other columns are ignored.
     """
+    copy = F.col("copy").cast("long") if "copy" in documents.columns else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_path(), dropout, seed)
         for batch in batches:
             for k in range(0, batch.num_rows, 250):
                 docs, texts = batch.column(0).slice(k, 250).to_pylist(), [t or "" for t in batch.column(1).slice(k, 250).to_pylist()]
-                codes = encoder.encode(texts, [(d or 0) % VARIANTS for d in docs])
+                copies = batch.column(2).slice(k, 250).to_pylist()
+                codes = encoder.encode(texts, [encoder.document_key(*row) for row in zip(docs, copies, texts, strict=True)])
                 decoded = [encoder.decode(i) for i in codes]
                 columns = [
                     pa.array(docs, pa.int64()),
@@ -293,7 +334,7 @@ def encode_documents(documents: DataFrame, model_path: Callable[[], str], dropou
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "lossless"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return documents.select("doc_id", "text", copy.alias("copy")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def piece_bpe() -> str:

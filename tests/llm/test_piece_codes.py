@@ -89,3 +89,32 @@ def test_documents(spark, docs, rows, no_docs):
     assert P.encode_documents(no_docs, P.piece_bpe).count() == 0
     odd = spark.createDataFrame([(None, None), (1, "x"), (1, "x")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in P.encode_documents(odd, P.piece_bpe).collect())[0] == (0, 0)
+
+
+def test_every_place_document_and_copy_has_its_own_draws(spark, model):
+    encoder = P.Encoder(model)
+    forms = {tuple(encoder.encode([f"internationally{' internationally' * 200}"], [d])[0].tolist()) for d in range(4)}
+    assert len(forms) == 4
+    ids = encoder.encode(["\n".join(["internationally"] * 300)], [0])[0].tolist()
+    feed = model.library.encode("\n")[-1]
+    lines, line = set(), []
+    for i in [*ids, feed]:
+        if i == feed:
+            lines.add(tuple(line))
+            line = []
+        else:
+            line.append(i)
+    assert len(lines) > 4
+    text = "acknowledged misunderstanding " * 20
+    rows = [(1, text, 0), (3, text, 0), (1, text, 1), (1, text, 0), (None, text, 0), (None, text + "x", 0)]
+    got = [tuple(r.ids) for r in P.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, copy int").coalesce(1), P.piece_bpe).collect()]
+    assert got[0] == got[3] and len(set(got)) == 5
+
+
+def test_the_pipeline_tells_copies_apart(spark):
+    import corpus_pipeline
+
+    text = "acknowledged misunderstanding " * 20
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.pieces(spark, docs, "").collect()
+    assert len({tuple(r.ids) for r in got}) == 2 and all(r.lossless for r in got)
