@@ -1,9 +1,10 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 DataFrame functions only. Every line of every text that holds a licence word is compared; a line of more than
-SPAN words is cut into overlapping spans. A passage is a sparse vector of its terms, weighted by how few documents
-have them, over all documents for the terms of the templates (other terms weigh as if no document but its own had
-them). A document takes the licence of its best passage. A document of which half the words are such passages, or
+SPAN words is cut into overlapping spans. So is every window of a template's own length around each
+licence word, over the terms of the whole text, whatever its lines. A passage is a sparse vector of its terms,
+weighted by how few documents have them, over all documents for the terms of the templates (other terms weigh as if
+no document but its own had them). A document takes the licence of its best passage. A document of which half the words are such passages, or
 whose file is named LICENSE, LICENCE or COPYING, is a licence file and speaks for its directory; a document with no
 licence of its own inherits from the nearest directory above it that has one.
 """
@@ -43,9 +44,17 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright (CC0 1.0 Universal)"),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
+    ("Proprietary", "All rights reserved"),
+    ("MIT", "This project is licensed under the MIT License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
 )
 TRIGGER = r"(?i)licen[cs]|copyright|copying|spdx|all rights reserved|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc by\b"
 TERM = r"[\p{L}\p{N}.]*[\p{L}\p{N}]"
+#: Terms that a window is laid around.
+ANCHOR = r"licen[cs]|^(spdx|copyright|copying|reserved|permission|redistribution|creative|commons|cc0|cc)$"
+#: A text without a match holds no such term.
+ANCHORED = r"(?i)licen[cs]|copyright|copying|spdx|reserved|permission|redistribution|creative|commons|\bcc0?\b"
 SIMILAR, SPAN, FILE_SHARE = 0.6, 40, 0.5
 _NAME = r"(?i)(^|/)(licen[cs]e|copying)([.\-][^/]*)?$"
 
@@ -60,6 +69,34 @@ def _python_terms(text: str) -> list[str]:
     return re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
 
 
+def windows(rows: DataFrame, templates: DataFrame, idf: DataFrame, unknown: float) -> DataFrame:
+    """Of rows (hash, text) the windows that score SIMILAR or more: hash, start, size, license, template, score.
+
+    A window has as many terms as its template and holds a licence word; it may start anywhere before the word.
+    """
+    most = max(len(_python_terms(w)) for _, w in TEMPLATES)
+    words = rows.select("hash", terms(F.col("text")).alias("terms"))
+    places = F.filter(F.transform("terms", lambda t, k: F.when(F.regexp_like(t, F.lit(ANCHOR)), k)), lambda k: k.isNotNull())
+    first = lambda k: F.greatest(k - (most - 1), F.lit(0))
+    around = F.transform(places, lambda k: F.struct(first(k).alias("first"), (k - first(k)).alias("anchor"), F.slice("terms", first(k) + 1, k - first(k) + most).alias("near")))
+    # Equal surroundings are scored once.
+    spread = words.select("hash", F.explode(around).alias("x")).select("hash", "x.*")
+    spread = materialize(spread.withColumn("key", F.xxhash64("anchor", "near")).dropDuplicates(["hash", "first", "anchor"]), "surroundings")
+    near = spread.select("key", "anchor", "near").dropDuplicates(["key"])
+    starts = near.crossJoin(F.broadcast(templates)).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("anchor") - F.col("length") + 1), F.col("anchor"))))
+    window = starts.select("key", "template", "license", "v", "at", F.slice("near", F.col("at") + 1, F.col("length")).alias("window"))
+    dot = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.element_at("v", t)["dot"], F.lit(0.0)))
+    window = window.withColumn("dot", dot)
+    # Terms that the template lacks weigh at least 1, so that most windows are out before their norms are summed.
+    inside = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.pow(F.element_at("v", t)["weight"], F.lit(2.0)), F.lit(1.0)))
+    window = window.where(F.col("dot") >= (SIMILAR - 1e-6) * F.sqrt(inside))
+    window = window.crossJoin(F.broadcast(idf.agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))))
+    weigh = lambda t: F.coalesce(F.element_at("weights", t), F.lit(unknown))
+    norm = F.sqrt(F.aggregate(F.array_distinct("window"), F.lit(0.0), lambda n, t: n + F.pow(weigh(t) * F.size(F.filter("window", lambda x: x == t)), F.lit(2.0))))
+    scored = window.select("key", "template", "license", "at", F.size("window").alias("size"), F.round(F.col("dot") / norm, 9).alias("score")).where(F.col("score") >= SIMILAR)
+    return spread.select("hash", "first", "key").join(scored, "key").select("hash", (F.col("first") + F.col("at")).alias("start"), "size", "license", "template", "score")
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, path, text) to doc_id, path, license, score, origin.
 
@@ -85,6 +122,14 @@ def scan(documents: DataFrame) -> DataFrame:
     vectors = spark.createDataFrame(entries, "template int, license string, term string, v double")
     idf = spark.createDataFrame(sorted(weight.items()), "term string, weight double")
 
+    vectors_of = vectors.join(F.broadcast(idf), "term").groupBy("template", "license").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct((F.col("v") * F.col("weight")).alias("dot"), "weight")))).alias("v"))
+    lengths = spark.createDataFrame([(k, sum(c.values())) for k, c in enumerate(wordings)], "template int, length int")
+    anchored = rows.where(F.regexp_like("text", F.lit(ANCHORED))).withColumn("hash", F.xxhash64("text"))
+    texts = anchored.select("hash", "text")
+    found = materialize(windows(texts, vectors_of.join(F.broadcast(lengths), "template"), idf, unknown), "windows")
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))))
+    in_windows = found.groupBy("hash").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("best"), covered.alias("covered"))
+
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(TRIGGER)))
     said = rows.where(F.regexp_like("text", F.lit(TRIGGER))).select("doc_id", "path", F.xxhash64("text").alias("hash"), F.size(terms(F.col("text"))).alias("words"), F.posexplode(lines).alias("line", "said"))
     spread = said.withColumn("terms", terms(F.col("said")))
@@ -102,7 +147,12 @@ def scan(documents: DataFrame) -> DataFrame:
     told = passages.alias("a").join(scored.select(*key).distinct().alias("b"), same[0] & same[1] & same[2] & same[3] & same[4], "left_semi")
     share = told.groupBy("doc_id", "path", "hash").agg((F.sum(F.size("terms")) / F.max("words")).alias("share"))
     one = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key[:3]]
-    own = best.alias("a").join(share.alias("b"), one[0] & one[1] & one[2]).select("a.doc_id", "a.path", "a.hash", F.col("best.license").alias("license"), F.col("best.score").alias("score"), "share")
+    lined = best.alias("a").join(share.alias("b"), one[0] & one[1] & one[2]).select("a.doc_id", "a.path", "a.hash", "best", "share")
+    # The words told are those of the lines or of the windows, whichever are more.
+    stated = anchored.select("doc_id", "path", "hash", F.size(terms(F.col("text"))).alias("words")).join(in_windows, "hash")
+    windowed = stated.select("doc_id", "path", "hash", "best", (F.col("covered") / F.col("words")).alias("share"))
+    own = lined.unionByName(windowed).groupBy("doc_id", "path", "hash").agg(F.max("best").alias("best"), F.max("share").alias("share"))
+    own = own.select("doc_id", "path", "hash", F.col("best.license").alias("license"), F.col("best.score").alias("score"), "share")
     own = materialize(own, "own-licenses")
 
     folder = lambda path: F.regexp_replace(path, "(^|/)[^/]*$", "")

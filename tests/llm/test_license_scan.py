@@ -57,3 +57,16 @@ def test_long_line_and_edges(spark):
     got = sorted((r.doc_id or 0, r.license or "") for r in L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
     assert [g[0] for g in got] == [0, 1, 1]
     assert L.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_statements_within_lines_and_over_line_breaks(spark):
+    rest = "one may print and bind and sell or lend what one likes where nobody minds it much"
+    rows = [
+        (1, "a/1", "word " * 300 + APACHE + " word" * 300, "Apache-2.0"), (2, "b/2", "Copyright 2020 Jane Roe of Somewhere. All rights reserved.", "Proprietary"),
+        (3, "c/3", "This project is licensed under the MIT License - see the file for details", "MIT"), (4, "d/4", f"{rest} Licensed under the Apache License, Version 2.0 (the License); {rest}", "Apache-2.0"),
+        (5, "e/5", f"GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n{rest}", "GPL-2.0"), (6, "f/6", f"Apache License\nVersion 2.0, January 2004\n{rest}", "Apache-2.0"),
+        (7, "g/7", f"{rest}\nThis work is licensed under the GNU\nGeneral Public License,\nversion 3 {rest}", "GPL-3.0"), (8, "h/8", rest, None), (9, "i/9", f"{rest} All rights\nreserved. {rest}", "Proprietary"),
+    ]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()}
+    assert {d: r.license for d, r in got.items()} == {r[0]: r[3] for r in rows}
+    assert all(got[d].score > 0.99 for d in (1, 2, 3, 4, 5, 7, 9))
