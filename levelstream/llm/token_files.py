@@ -10,7 +10,9 @@ appear once, on any store that Spark can write.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -100,12 +102,42 @@ class Codes:
         return ids
 
 
+def cuts_at_white_space(definition: dict) -> bool:
+    """Whether a tokenizer is known to give every text the ids of its words in turn.
+
+    That holds if no added token has white space, if the text is changed by NFC (which composes nothing with white
+    space), white space to one space, and lower case by character, if every piece that the splitting pattern
+    can match is of its own words alone, and if nothing is added before or after.
+    """
+    steps = (definition.get("normalizer") or {}).get("normalizers", [])
+    kinds = [step.get("type") for step in steps]
+    spaces = [(step.get("pattern"), step.get("content")) for step in steps if step.get("type") == "Replace"]
+    pre = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    split = pre[0]
+    pattern = (split.get("pattern") or {}).get("Regex", " ")
+    # Of classes the pattern has letters, numbers, and what is neither these nor white space.
+    plain = re.sub(r"\[\\p\{L\}\]\+|\[\\p\{N\}\]|\[\^\\s\\p\{L\}\\p\{N\}\]\+", "", pattern)
+    return (
+        kinds in (["NFC", "Replace", "Lowercase"], ["NFC", "Lowercase"], ["Lowercase"])
+        and all(pair == ({"Regex": "\\s+"}, " ") for pair in spaces)
+        and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
+        and re.fullmatch(r"[a-z'|]*", plain) is not None
+        and all(step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and not step.get("use_regex") for step in pre[1:])
+        and definition.get("post_processor") is None
+        and definition.get("truncation") is None
+        and definition.get("padding") is None
+        and definition["model"].get("type") == "BPE"
+        and not definition["model"].get("dropout")
+        and all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in definition["added_tokens"])
+    )
+
+
 class WordTable(dict):
     """Word to its ids as little-endian bytes, encoded by the library when first seen.
 
-    The tokenizer lower-cases, cuts at white space and drops it, so a text's ids are those of its words in turn, and
-    ASCII letters may be lower-cased before. A word that ends in one full stop or comma after a letter is cut there,
-    as the tokenizer itself does.
+    Used where cuts_at_white_space holds; by any other tokenizer texts are encoded whole. Words are looked up as they
+    stand. Only those of a text in ASCII without the mark of an added token are lower-cased before, which the
+    tokenizer does itself, and of an ASCII word a full stop or comma after a letter is cut, where it always cuts.
     """
 
     def __init__(self, path: str):
@@ -113,9 +145,16 @@ class WordTable(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        definition = json.loads(self.tokenizer.to_str())
+        self.by_word = cuts_at_white_space(definition)
+        starts = {t["content"][:2] for t in definition["added_tokens"]}
+        self.marks = "|".join(map(re.escape, sorted(starts)))
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, np.uint32) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        stopped = [w for w in words if w[-1:] in (".", ",") and w[-2:-1].isalpha()]
+        stopped = [w for w in words if w[-1:] in (".", ",") and w[-2:-1].isalpha() and w.isascii() and not (self.marks and re.search(self.marks, w))]
         plain = list(({*words, *(w[:-1] for w in stopped), ".", ","} - {*stopped}) - self.keys())
         for word, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
             self[word] = array("I", found.ids).tobytes()
@@ -124,7 +163,13 @@ class WordTable(dict):
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text: words are split and numbered in Arrow, and looked up once for all their places."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return self.whole(texts.to_pylist())
+        simple = pc.string_is_ascii(texts)
+        if self.marks:
+            simple = pc.and_(simple, pc.invert(pc.match_substring_regex(texts, self.marks)))
+        words = pc.ascii_split_whitespace(pc.if_else(simple, pc.ascii_lower(texts), texts))
         coded = words.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         missing = [w for w in distinct if w not in self]
@@ -181,10 +226,13 @@ def write_tokens(documents: DataFrame, tokenizer_path: Callable[[], str], end_id
     """Encode every whole text and write the ids in ascending doc_id order; returns the written table.
 
     Null text is empty and has the end id alone; null ids come first; repeated rows are all written, equal ids in
-    order of their text; an empty table writes no shard; other columns are ignored.
+    order of a hash of their text, then of the text, so many rows of one id are many ranges; a very long text is a
+    shard of its own; an empty table writes no shard; other columns are ignored. The pages of the files are not
+    compressed, as the codes are read where they lie.
     """
-    rows = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(rows.mapInArrow(_writer(tokenizer_path, end_id), _SCHEMA), "tokens")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = documents.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return materialize(rows.mapInArrow(_writer(tokenizer_path, end_id), _SCHEMA), "tokens", compression="none")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
