@@ -4,15 +4,19 @@ The words of a source are cut into shards (documents by keyed hash) and the word
 order, into blocks of BLOCK words. Sainte-Laguë gives whole blocks to sources in proportion to their targets, then
 the blocks of a source to its shards in proportion to their words: of all quotients weight / (2 k - 1) the highest
 win. A shard with quota q and n blocks takes each block q // n times and q % n blocks once more: those that come
-first in a seeded order b -> (b * multiplier + shift) mod n, which needs no sort.
+first in a seeded permutation of the n blocks, which needs no sort.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -22,8 +26,8 @@ BLOCK = 32
 #: Words for which a source gets a shard, and the most shards of a source (it bounds the window over its quotas).
 SHARD_WORDS, MOST_SHARDS = 16_384, 1024
 SEED = 20
-#: Primes above any number of blocks in a shard, so that the seeded order is a permutation.
-_PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)
+#: Rounds of the permutation.
+ROUNDS = 20
 
 
 def apportion(cells: DataFrame, group: list[str], weight: str, cap: str, seats: Column) -> DataFrame:
@@ -64,20 +68,37 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return sources.select("cell", "source", "source_size", F.least(cap, F.col("weight") * level).alias("target"))
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """Per row of ``documents``: doc_id, source, size, source_size, target, taken, passes, ranges.
+def shuffled(place: Column, size: Column, keys: Column) -> Column:
+    """Where a permutation of 0 .. size - 1 puts ``place``; ``keys`` are its ROUNDS numbers below size.
+
+    Swap or not: a round pairs x with key - x modulo size and swaps the two if a hash of the round and of the
+    larger one is odd, so each round is a permutation of any size.
+    """
+
+    def swap(x: Column, key: Column) -> Column:
+        other = F.pmod(key - x, size)
+        return F.when(F.pmod(F.xxhash64(key, F.greatest(x, other)), F.lit(2)) == 1, other).otherwise(x)
+
+    return F.aggregate(keys, place.cast("long"), swap)
+
+
+def mix(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``documents``: doc_id, source, size, source_size, target, taken, passes, ranges, and ``keep``.
 
     ``passes`` whole copies of the row are in the mix, and of one more copy the words in ``ranges`` (array of
     start and length); ``taken`` counts all these words. Null or empty text has size 0 and is not taken; a null
-    source is a source, after all others; repeated rows each count; an empty table gives an empty one; other
-    columns are ignored. Equal tables give equal mixes, however they are partitioned.
+    source is a source, after all others; a null doc_id is an id; repeated rows each count, and rows of one id are
+    told apart by a hash of their text; a very long text has many blocks of its own; an empty table gives an empty
+    one; other columns are ignored. Equal tables give equal mixes, however they are partitioned.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(documents.select("doc_id", "source", size.alias("size")), "sizes")
+    kept = F.struct(F.lit(0).alias("none"), *keep).alias("kept")
+    sized = materialize(documents.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("hash"), kept), "sizes")
     sources = source_targets(sized)
     keyed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS)))
-    keyed = keyed.select("doc_id", "d.source", "size", "source_size", "target", F.col("cell").alias("origin"), F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), shards).alias("cell"))
+    cell = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "hash"), shards).alias("cell")
+    keyed = keyed.select("doc_id", "hash", "kept", "d.source", "size", "source_size", "target", F.col("cell").alias("origin"), cell)
     cells = keyed.groupBy("origin", "cell").agg(F.sum("size").alias("words"))
     cells = materialize(cells.where("words > 0").select("origin", "cell", "words", F.ceil(F.col("words") / BLOCK).alias("blocks")), "cells")
     room = cells.groupBy("origin").agg((PASSES * F.sum("blocks")).alias("room"))
@@ -87,14 +108,13 @@ def mix(documents: DataFrame) -> DataFrame:
     shard_quotas = apportion(cells.join(given, "origin").withColumn("most", PASSES * F.col("blocks")), ["origin"], "words", "most", F.col("given"))
     shard_quotas = materialize(shard_quotas.select("origin", "cell", "blocks", "quota"), "quotas")
 
-    order = Window.partitionBy("origin", "cell").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("origin", "cell").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id", "hash"), "doc_id", "hash", "size")
     placed = keyed.withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(shard_quotas, ["origin", "cell"], "left").fillna(0, ["quota"]).fillna(1, ["blocks"])
     extra = F.col("quota") % F.col("blocks")
-    multiplier = F.element_at(F.array(*[F.lit(p) for p in _PRIMES]), (F.pmod(F.xxhash64(F.lit(SEED + 2), "origin", "cell"), F.lit(len(_PRIMES))) + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit(SEED + 3), "origin", "cell"), F.col("blocks"))
-    placed = placed.withColumns({"extra": extra, "multiplier": multiplier, "shift": shift, "passes": F.floor(F.col("quota") / F.col("blocks"))})
-    chosen = lambda b: ((b * F.col("multiplier") + F.col("shift")) % F.col("blocks")) < F.col("extra")
+    keys = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(F.xxhash64(F.lit(SEED + 2), "origin", "cell", r), F.col("blocks")))
+    placed = placed.withColumns({"extra": extra, "keys": keys, "passes": F.floor(F.col("quota") / F.col("blocks"))})
+    chosen = lambda b: shuffled(b, F.col("blocks"), F.col("keys")) < F.col("extra")
     low = lambda b: F.greatest(b * BLOCK, F.col("at")) - F.col("at")
     high = lambda b: F.least((b + 1) * BLOCK, F.col("at") + F.col("size")) - F.col("at")
     blocks = F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))
@@ -102,7 +122,57 @@ def mix(documents: DataFrame) -> DataFrame:
     placed = placed.withColumn("ranges", F.when((F.col("size") > 0) & (F.col("extra") > 0), ranges).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>")))
     more = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["length"])
     taken = (F.col("passes") * F.col("size") + more).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("passes").cast("long").alias("passes"), "ranges")
+    names = ["doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("passes").cast("long").alias("passes"), "ranges"]
+    return placed.select(*names, *[F.col(f"kept.{c}").alias(c) for c in keep if c not in ("doc_id", "source")])
+
+
+def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The words in ranges (start, length) with the white space between them; ranges that do not touch are parted by a space."""
+    data = text.encode("utf-8", "surrogatepass")
+    code = np.frombuffer(data, np.uint8)
+    word = np.concatenate([[False], (code != 32) & ((code < 9) | (code > 13)), [False]])
+    starts, ends = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    joined: list[list[int]] = []
+    for start, length in ranges:
+        if joined and joined[-1][1] == start:
+            joined[-1][1] += length
+        else:
+            joined.append([start, start + length])
+    return b" ".join(data[starts[a] : ends[b - 1]] for a, b in joined).decode("utf-8", "surrogatepass")
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, size, passes, ranges, others) to a row (text, others) for each copy in the mix."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            rows, texts = [], []
+            for k, (text, size, passes, ranges) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+                copies = [text] * passes
+                if ranges:
+                    some = [(r["start"], r["length"]) for r in ranges]
+                    copies.append(text if sum(n for _, n in some) == size else cut_words(text, some))
+                texts += copies
+                rows += [k] * len(copies)
+            others = batch.select(range(4, batch.num_columns)).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *others.columns], ["text", *others.schema.names])
+
+
+def mixed_texts(documents: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """text and the columns ``keep`` of a row for each copy of a text, or of words of it, that the mix takes.
+
+    A row that is not taken has none, so null and empty texts go. Repeated rows are mixed each for itself; a null
+    doc_id is kept; other columns are ignored.
+    """
+    rows = documents.select("text", *dict.fromkeys(("doc_id", "source", *keep)), *row_key())
+    taken = mix(rows, (*keep, "row_doc", "row_hash")).where("taken > 0")
+    names = [F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
+    taken = materialize(taken.select("row_doc", "row_hash", "size", "passes", "ranges", *names), "taken")
+    # One text of rows that are equal, so that n equal rows meet n and not n * n.
+    texts = rows.select("row_doc", "row_hash", "text").dropDuplicates(["row_doc", "row_hash"])
+    joined = texts.join(taken, ["row_doc", "row_hash"]).select("text", "size", "passes", "ranges", *[f"kept_{k}" for k in range(len(keep))])
+    kinds = "".join(f", kept_{k} {rows.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    return joined.mapInArrow(_copies, f"text string{kinds}").select("text", *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

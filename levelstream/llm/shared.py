@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -44,6 +44,11 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> list[Column]:
+    """(row_doc, row_hash): what tells rows (doc_id, text) apart; neither is ever null."""
+    return [F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("row_doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("row_hash")]
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     files = table.inputFiles()

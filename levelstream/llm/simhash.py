@@ -46,13 +46,14 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        prints = np.array([fingerprint(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], [*batch.schema.names[1:], "print"])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, print): the SimHash of every row's whole text, as a signed long; null text counts as empty."""
-    return documents.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, print long")
+def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and print: the SimHash of every row's whole text, as a signed long; null text counts as empty."""
+    rows = documents.select("text", *keep)
+    return rows.mapInArrow(_fingerprints, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:]) + "print long")
 
 
 def _masks() -> list[int]:
@@ -118,21 +119,23 @@ def print_links(prints: DataFrame) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, print, component_id) of every row: component_id is the smallest doc_id that links reach.
+def near_duplicates(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, print, component_id and root of every row: component_id is the smallest doc_id that links reach.
+
+    ``keep`` holds doc_id; root is a fingerprint of the component, which names it where no doc_id does.
 
     Equal fingerprints are one node; membership stays apart, so a group of copies of any size is one row until
     the last join. A text without words has fingerprint 0 and links like any other; null text is empty;
     repeated rows are all returned; a null doc_id is returned and is nobody's smallest id unless alone; an empty
     table gives an empty one; other columns are ignored.
     """
-    prints = materialize(fingerprints(documents), "prints")
+    prints = materialize(fingerprints(documents, keep), "prints")
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "nodes")
     tree = components(print_links(nodes.select("print")))
     rooted = nodes.join(tree, nodes["print"] == tree["id"], "left").select("print", "first_id", F.coalesce("component", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("print", "component_id"), "named")
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    named = materialize(rooted.join(least, "root").select("print", "component_id", "root"), "named")
+    return prints.join(named, "print").select(*keep, "print", "component_id", "root")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

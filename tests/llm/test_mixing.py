@@ -40,6 +40,53 @@ def test_targets_and_amounts(docs, rows):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def runs(chosen):
+    return sum(b and not a for a, b in zip([False, *chosen], chosen, strict=False))
+
+
+def test_the_order_of_blocks_is_a_permutation_without_runs(spark):
+    sizes = [1, 2, 3, 93, 341, 511, 512, 2000]
+    rows = spark.createDataFrame([(n, c) for n in sizes for c in range(4)], "n long, c int")
+    keys = F.transform(F.sequence(F.lit(1), F.lit(M.ROUNDS)), lambda r: F.pmod(F.xxhash64("c", r), F.col("n")))
+    rows = rows.withColumn("keys", keys).select("n", "c", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda b: M.shuffled(b, F.col("n"), F.col("keys"))).alias("to"))
+    for r in rows.collect():
+        assert sorted(r.to) == list(range(r.n))
+        half = r.n // 2
+        if r.n > 90:  # of n places half taken at random have n / 4 runs, with a deviation of about sqrt(n) / 4
+            assert abs(runs([x < half for x in r.to]) - r.n / 4) < 1.25 * r.n**0.5, (r.n, r.c)
+            first = sum(x < half for x in r.to[:half])
+            assert abs(first - half / 2) < 1.25 * r.n**0.5, (r.n, r.c)
+
+
+def test_words_are_cut_as_they_stand():
+    text = "  déjà\n\nvu  日本語 x\ty z "
+    assert M.cut_words(text, [(0, 2)]) == "déjà\n\nvu"
+    assert M.cut_words(text, [(0, 1), (1, 1), (3, 2), (5, 1)]) == "déjà\n\nvu x\ty z"
+    assert M.cut_words(text, [(2, 1), (4, 1)]) == "日本語 y"
+
+
+def test_mixed_texts_are_the_words_taken(docs, rows):
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    want = {r.doc_id: r for r in M.mix(docs).collect()}
+    got = defaultdict(list)
+    for r in M.mixed_texts(docs, ("doc_id", "lang", "source")).collect():
+        assert r.lang == "en"
+        got[r.doc_id].append(r.text)
+    for d, text, _, source, *_ in rows:
+        some = [w for x in want[d].ranges for w in words(text)[x.start : x.start + x.length]]
+        expected = sorted([words(text)] * want[d].passes * bool(words(text)) + ([some] if some else []))
+        assert sorted(map(words, got[d])) == expected
+
+
+def test_repeated_rows_and_null_ids_are_mixed(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = spark.createDataFrame([(None, text, "s", 1)] * 30 + [(7, text + " x", "s", 1)] * 30 + [(7, "other " + text, "s", 1)] * 3, "doc_id long, text string, source string, row_hash int")
+    taken = M.mix(rows).agg(F.sum("taken")).first()[0]
+    got = M.mixed_texts(rows)
+    assert got.select(F.sum(F.size(F.split("text", " ")))).first()[0] == taken > 0
+    assert got.where("doc_id is null").count() > 0
+
+
 def test_apportionment_is_sainte_lague(spark):
     weights = [53, 24, 23, 7, 7, 1, 0]
     cells = spark.createDataFrame([(g, i, w, cap, n) for g, cap, n in ((0, 100, 15), (1, 100, 1), (2, 5, 20)) for i, w in enumerate(weights)], "g int, cell int, w long, cap long, n long")
