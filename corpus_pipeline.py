@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from levelstream.llm import mixing, piece_codes, simhash, substring_dedup, toxicity
-from levelstream.llm.shared import materialize
+from levelstream.llm.shared import materialize, row_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,14 +22,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays; rows that repeat a doc_id are one.
+    """Of each group of near copies one row stays: that of the smallest doc_id, and of its texts the least by hash.
 
-    Rows without a doc_id cannot be told apart and stay.
+    Rows without a doc_id come after all others; rows that repeat a doc_id and its text are one.
     """
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return named.union(docs.where("doc_id is null").select(*COLUMNS))
+    rows = docs.select(*COLUMNS, *row_key())
+    found = simhash.near_duplicates(rows, ("doc_id", "row_doc", "row_hash"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "row_doc", "row_hash")).alias("best")
+    kept = materialize(found.groupBy("root").agg(best).select("best.row_doc", "best.row_hash"), "kept")
+    return rows.join(kept, ["row_doc", "row_hash"], "left_semi").dropDuplicates(["row_doc", "row_hash"]).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +42,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole copy that the mix takes of a document, and one for the words it takes beyond.
 
-    The latter holds these words joined by spaces, or the whole text where they are all its words. Rows that
-    repeat a doc_id are one document; a row without a doc_id is not mixed.
+    The latter holds these words with the white space between them. Repeated rows and rows without a doc_id are
+    mixed like any other; a text without words is not taken.
     """
-    docs = docs.select(*COLUMNS).where("doc_id is not null").dropDuplicates(["doc_id"])
-    taken = materialize(mixing.mix(docs).where("taken > 0").select("doc_id", "size", "passes", "ranges"), "taken")
-    rows = docs.join(taken, "doc_id")
-    some = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["length"])
-    words = F.regexp_extract_all("text", F.lit(f"({mixing.WORD})"), F.lit(1))
-    pieces = F.transform("ranges", lambda r: F.array_join(F.slice(words, (r["start"] + 1).cast("int"), r["length"].cast("int")), " "))
-    part = F.when(some == F.col("size"), F.col("text")).otherwise(F.array_join(pieces, " "))
-    whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
-    copies = F.concat(whole, F.when(some > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    return rows.select("doc_id", F.explode(copies).alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    rows = mixing.mixed_texts(docs, ("doc_id", "lang", "source"))
+    return rows.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
