@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -24,8 +25,9 @@ def brute(texts):
 
 
 def check(spark, rows):
-    got = D.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_bytes string"), ["doc_id", "text"])
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
+    got = D.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_bytes string"), ("doc_id", "text", "n_bytes")).collect()
+    assert all(r.kept_text == (r.text or "") for r in got if not r.n_removed)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
     assert got == sorted((d, *b) for (d, _, _), b in zip(rows, brute([(t or "").encode() for _, t, _ in rows]), strict=True))
 
 
@@ -53,7 +55,7 @@ def hard(seed, n):
     return [(d, t, "x") for d, t in rows]
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 16_384), (2, 16_384), (3, 3)])
+@pytest.mark.parametrize(("seed", "group"), [(1, 512), (2, 512), (3, 3), (4, 1), (5, 2)])
 def test_against_brute_force(spark, monkeypatch, seed, group):
     monkeypatch.setattr(D, "GROUP", group)
     check(spark, hard(seed, 70))
@@ -62,7 +64,39 @@ def test_against_brute_force(spark, monkeypatch, seed, group):
 def test_repeated_rows(spark):
     text = " ".join(f"word{i}" for i in range(60))
     check(spark, [(1, text, ""), (1, text, ""), (2, text[:150] + "!" + text[150:], ""), (2, "other", "")])
-    assert D.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), ["doc_id", "text"]).count() == 0
+    assert D.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    nulls = spark.createDataFrame([(None, text), (None, text[:150] + "!" + text[150:]), (None, None), (0, text[1:])], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed) for r in D.remove_repeats(nulls, ("doc_id",)).collect())
+    texts = [b"", text[1:].encode(), text.encode(), (text[:150] + "!" + text[150:]).encode()]
+    assert got == [b[:2] for b in brute(texts)]
+
+
+def test_thousands_of_equal_rows(spark):
+    rng = random.Random(9)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(900))
+    rows = spark.createDataFrame([(1, text)] * 2500 + [(i, text) for i in range(2, 1500)] + [(0, "x " + text[:5000])], "doc_id long, text string")
+    began = time.monotonic()
+    got = D.remove_repeats(rows, ("doc_id",)).groupBy("doc_id", "n_removed").count().collect()
+    assert time.monotonic() - began < 60
+    assert sorted(map(tuple, got)) == sorted([(0, 5000, 1), (1, len(text), 2500), *((i, len(text), 1) for i in range(2, 1500))])
+
+
+@pytest.mark.parametrize("kinds", [("one place",), ("one place", "hashes")])
+def test_a_crowded_gram(spark, monkeypatch, kinds):
+    """A passage in many texts: cut into parts, and sorted by bytes where hashes say too much."""
+    monkeypatch.setattr(D, "GROUP", 4)
+    if "hashes" in kinds:
+        monkeypatch.setattr(D.Suffixes, "common", lambda s, x, y: np.minimum(s.length[x], s.length[y]) // 2)
+    rng = random.Random(10)
+    some = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = some(260)
+    rows = [(i, some(rng.randrange(150)) + passage[rng.randrange(60) :] + some(rng.randrange(150)), "") for i in range(60)]
+    check(spark, rows)
+
+
+def test_characters_cut_in_two_stay():
+    data = "aé日z".encode()
+    assert [D.without(data, [(low, high)]).decode() for low, high in ((0, 2), (1, 2), (2, 6), (1, 3), (0, 7), (4, 5))] == ["é日z", "aé日z", "aéz", "a日z", "", "aé日z"]
 
 
 def test_anchors_over_slices(monkeypatch):
