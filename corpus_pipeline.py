@@ -16,7 +16,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that score THRESHOLD or more; the network learns from the labelled rows of the stage's input."""
+    """Drop the documents that score THRESHOLD or more; the network learns from the labelled rows of the stage's input.
+
+    Null text scores like an empty one; repeated rows score alike and go or stay together.
+    """
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), net).where(F.col("toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
 
@@ -34,8 +37,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that also start elsewhere go from every text; no document does."""
-    cut = substring_dedup.remove_repeats(docs, COLUMNS)
+    """Strings of 200 bytes that also start elsewhere go from every text; no document does.
+
+    A character that is cut in two stays. Null text becomes empty; repeated rows and equal texts empty each other.
+    """
+    cut = substring_dedup.remove_repeats(docs, ("doc_id", "lang", "source"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
@@ -52,7 +58,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with the proof that they decode to it.
 
-    The texts that the mix takes of one document are numbered, so that its copies differ in the merges they skip.
+    The texts that the mix takes of one document are numbered, longest first and then by text, so that its copies
+    differ in the merges they skip. Rows without a doc_id are numbered by text; null text has no pieces.
     """
     same = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.col("n_chars").desc(), "text")
     return piece_codes.encode_documents(docs.withColumn("copy", F.row_number().over(same)), piece_codes.piece_bpe)
