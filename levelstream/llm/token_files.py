@@ -33,6 +33,8 @@ MAGIC, CHUNK, RANK = b"DAC1", 8, 512
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker process remembers, from task to task.
 REMEMBERED = 800_000
+#: Words of characters that compose with no other, and of which no lower case is two characters.
+SIMPLE = "[\\x00-\\x7f\u00a1-\u012f\u0131-\u02ff]*"
 _SCHEMA = "part int, seq int, doc_ids array<long>, starts array<long>, n_ids long, payload binary"
 
 
@@ -136,8 +138,9 @@ class WordTable(dict):
     """Word to its ids as little-endian bytes, encoded by the library when first seen.
 
     Used where cuts_at_white_space holds; by any other tokenizer texts are encoded whole. Words are looked up as they
-    stand. Only those of a text in ASCII without the mark of an added token are lower-cased before, which the
-    tokenizer does itself, and of an ASCII word a full stop or comma after a letter is cut, where it always cuts.
+    stand, but of SIMPLE words without the mark of an added token: their ASCII letters are lower-cased before, which
+    the tokenizer does itself and no composition can see, and a full stop or comma after a letter is cut off, where
+    it always cuts.
     """
 
     def __init__(self, path: str):
@@ -148,30 +151,50 @@ class WordTable(dict):
         definition = json.loads(self.tokenizer.to_str())
         self.by_word = cuts_at_white_space(definition)
         starts = {t["content"][:2] for t in definition["added_tokens"]}
+        #: Whether an id ends a piece of the split, where the model marks ends.
+        self.suffix, suffix = None, definition["model"].get("end_of_word_suffix")
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.suffix = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.suffix[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.marks = "|".join(map(re.escape, sorted(starts)))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, np.uint32) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        stopped = [w for w in words if w[-1:] in (".", ",") and w[-2:-1].isalpha() and w.isascii() and not (self.marks and re.search(self.marks, w))]
+        stopped = [w for w in words if w[-1:] in (".", ",") and w[-2:-1].isalpha() and re.fullmatch(SIMPLE, w) and not (self.marks and re.search(self.marks, w))]
         plain = list(({*words, *(w[:-1] for w in stopped), ".", ","} - {*stopped}) - self.keys())
-        for word, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+        letters = [w for w in plain if w.isalpha() and re.fullmatch(SIMPLE, w)] if self.suffix is not None else []
+        for k in range(0, len(letters), 256):
+            self._learn_letters(letters[k : k + 256])
+        rest = [w for w in plain if w not in self]
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[word] = array("I", found.ids).tobytes()
         for word in stopped:
             self[word] = self[word[:-1]] + self[word[-1]]
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone, as one text: each is one piece of the split, and ends in the only id that has the suffix."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = (4 * (np.flatnonzero(self.suffix[ids]) + 1)).tolist()
+        if len(ends) == len(words) and ends[-1] == 4 * len(ids):  # else they are encoded one by one
+            data = ids.astype("<u4").tobytes()
+            for word, a, b in zip(words, [0, *ends], ends, strict=False):
+                self[word] = data[a:b]
+
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text: words are split and numbered in Arrow, and looked up once for all their places."""
         texts = pc.fill_null(texts, "")
         if not self.by_word:
             return self.whole(texts.to_pylist())
-        simple = pc.string_is_ascii(texts)
-        if self.marks:
-            simple = pc.and_(simple, pc.invert(pc.match_substring_regex(texts, self.marks)))
-        words = pc.ascii_split_whitespace(pc.if_else(simple, pc.ascii_lower(texts), texts))
+        words = pc.ascii_split_whitespace(texts)
         coded = words.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        simple = pc.match_substring_regex(coded.dictionary, f"^(?:{SIMPLE})$")
+        if self.marks:
+            simple = pc.and_(simple, pc.invert(pc.match_substring_regex(coded.dictionary, self.marks)))
+        lower = pc.if_else(simple, pc.ascii_lower(coded.dictionary), coded.dictionary).dictionary_encode()
+        distinct, number = lower.dictionary.to_pylist(), lower.indices.to_numpy()[coded.indices.to_numpy()]
         missing = [w for w in distinct if w not in self]
         if missing:
             if len(self) + len(missing) > REMEMBERED:
@@ -181,7 +204,6 @@ class WordTable(dict):
         found = [self[w] for w in distinct]
         ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         first = np.cumsum(size) - size
-        number = coded.indices.to_numpy()
         many = size[number]
         ends = np.concatenate([[0], np.cumsum(many)])
         flat = ids[np.repeat(first[number] - ends[:-1], many) + np.arange(ends[-1])] if len(number) else ids[:0]
