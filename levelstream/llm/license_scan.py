@@ -1,12 +1,14 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Every line of every text that holds a licence word is compared; a line of more than
-SPAN words is cut into overlapping spans. So is every window of a template's own length around each
-licence word, over the terms of the whole text, whatever its lines. A passage is a sparse vector of its terms,
-weighted by how few documents have them, over all documents for the terms of the templates (other terms weigh as if
-no document but its own had them). A document takes the licence of its best passage. A document of which half the words are such passages, or
-whose file is named LICENSE, LICENCE or COPYING, is a licence file and speaks for its directory; a document with no
-licence of its own inherits from the nearest directory above it that has one.
+DataFrame functions only. A passage is a window of a text's terms, as long as a template, that holds a licence word;
+windows start every eighth of the template's length, so that one lies nearly on any statement, and run over line
+breaks. Passages and templates are sparse vectors of their terms, weighted by how few documents have them (counted
+over all documents for all terms). A passage states the licence of a template if the cosine is SIMILAR or more and it
+holds all words that name the licence in the template. An SPDX identifier states its licence by itself. A document
+takes the licence of its best passage, or of a longer one that is within MARGIN of it; ``margin`` is its lead over the
+best passage of another licence that is not a part of it. A document of which half the words are such passages, or whose file is named LICENSE, LICENCE or COPYING, is a licence
+file and speaks for its directory, unless two licences are within MARGIN; a document with no licence of its own
+inherits from the nearest directory above it that has one.
 """
 
 from __future__ import annotations
@@ -18,44 +20,16 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
-
-#: Wordings by which licences are stated in headers and licence files.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "The MIT License (MIT)"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright (CC0 1.0 Universal)"),
-    ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
-    ("Proprietary", "All rights reserved"),
-    ("MIT", "This project is licensed under the MIT License"),
-    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
-)
-TRIGGER = r"(?i)licen[cs]|copyright|copying|spdx|all rights reserved|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc by\b"
-TERM = r"[\p{L}\p{N}.]*[\p{L}\p{N}]"
-#: Terms that a window is laid around.
-ANCHOR = r"licen[cs]|^(spdx|copyright|copying|reserved|permission|redistribution|creative|commons|cc0|cc)$"
+from .license_texts import NAMING, TEMPLATES
+from .shared import discard, materialize
+
+TERM = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
+#: Terms of which a window holds one.
+ANCHOR = r"licen[cs]|^(spdx|copyright|copying|reserved|permission|permitted|redistribution|creative|commons|cc0|cc|gpl|lgpl|agpl|gnu|apache|mozilla|warranty|warranties|unencumbered)$"
 #: A text without a match holds no such term.
-ANCHORED = r"(?i)licen[cs]|copyright|copying|spdx|reserved|permission|redistribution|creative|commons|\bcc0?\b"
-SIMILAR, SPAN, FILE_SHARE = 0.6, 40, 0.5
+ANCHORED = r"(?i)licen[cs]|copy|spdx|reserved|permi|redistribution|creative|commons|\bcc|gpl|gnu|apache|mozilla|warrant|unencumbered"
+SPDX = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9.\-]+)"
+SIMILAR, MARGIN, FILE_SHARE = 0.6, 0.02, 0.5
 _NAME = r"(?i)(^|/)(licen[cs]e|copying)([.\-][^/]*)?$"
 
 
@@ -64,110 +38,115 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
-def _python_terms(text: str) -> list[str]:
+def template_terms(text: str) -> list[str]:
     """The terms of a template wording, which holds ASCII only."""
-    return re.findall(r"[a-z0-9.]*[a-z0-9]", text.lower())
+    return re.findall(r"[a-z0-9]+(?:\.[a-z0-9]+)*", text.lower())
+
+
+def step_of(length: int) -> int:
+    """How far apart the windows of a template start."""
+    return max(1, length // 8)
 
 
-def windows(rows: DataFrame, templates: DataFrame, idf: DataFrame, unknown: float) -> DataFrame:
-    """Of rows (hash, text) the windows that score SIMILAR or more: hash, start, size, license, template, score.
+def document_counts(rows: DataFrame) -> DataFrame:
+    """(term, df): in how many of the rows (text) a term occurs; the empty term counts the rows."""
+    distinct = F.array_distinct(F.concat(terms(F.col("text")), F.array(F.lit(""))))
+    return rows.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-    A window has as many terms as its template and holds a licence word; it may start anywhere before the word.
+
+def passages(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of texts (hash, terms, places of licence words) the passages: hash, start, size, license, template, score.
+
+    Three sieves that lose none: a document and a template go on if the terms that they share can reach SIMILAR at
+    all (by Cauchy and Schwarz), a window if it does with every other term weighing 1, the least, and the rest are
+    scored with all weights.
     """
-    most = max(len(_python_terms(w)) for _, w in TEMPLATES)
-    words = rows.select("hash", terms(F.col("text")).alias("terms"))
-    places = F.filter(F.transform("terms", lambda t, k: F.when(F.regexp_like(t, F.lit(ANCHOR)), k)), lambda k: k.isNotNull())
-    first = lambda k: F.greatest(k - (most - 1), F.lit(0))
-    around = F.transform(places, lambda k: F.struct(first(k).alias("first"), (k - first(k)).alias("anchor"), F.slice("terms", first(k) + 1, k - first(k) + most).alias("near")))
-    # Equal surroundings are scored once.
-    spread = words.select("hash", F.explode(around).alias("x")).select("hash", "x.*")
-    spread = materialize(spread.withColumn("key", F.xxhash64("anchor", "near")).dropDuplicates(["hash", "first", "anchor"]), "surroundings")
-    near = spread.select("key", "anchor", "near").dropDuplicates(["key"])
-    starts = near.crossJoin(F.broadcast(templates)).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("anchor") - F.col("length") + 1), F.col("anchor"))))
-    window = starts.select("key", "template", "license", "v", "at", F.slice("near", F.col("at") + 1, F.col("length")).alias("window"))
+    spark = texts.sparkSession
+    wordings = [Counter(template_terms(w)) for _, w in TEMPLATES]
+    vocabulary = spark.createDataFrame([(w,) for w in sorted({"", *(w for c in wordings for w in c)})], "term string")
+    df = {r.term: r.df for r in counts.join(F.broadcast(vocabulary), "term").collect()}  # rows of the fixed templates' terms
+    total = max(1, df.get("", 0))
+    idf = {w: math.log(total / max(1, df.get(w, 0))) + 1 for c in wordings for w in c}
+    vectors, known = [], []
+    for k, (c, (name, _)) in enumerate(zip(wordings, TEMPLATES, strict=True)):
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+        length = sum(c.values())
+        known.append((k, name, length, step_of(length), sorted(c.keys() & set(NAMING)), {w: (n * idf[w] / norm * idf[w], idf[w]) for w, n in c.items()}))
+        vectors += [(k, w, (n * idf[w] / norm) ** 2) for w, n in sorted(c.items())]
+    vectors = spark.createDataFrame(vectors, "template int, term string, share double")
+    known = spark.createDataFrame(known, "template int, license string, length int, step int, must array<string>, v map<string,struct<dot:double,weight:double>>")
+
+    held = texts.select("hash", F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(vectors), "term")
+    pairs = held.groupBy("hash", "template").agg(F.sum("share").alias("share")).where(F.col("share") >= SIMILAR**2 - 1e-9).select("hash", "template")
+    near = texts.join(pairs, "hash").join(F.broadcast(known), "template")
+    first = F.ceil(F.greatest(F.lit(0), F.col("place") - F.col("length") + 1) / F.col("step")) * F.col("step")
+    near = near.select("hash", "template", "license", "length", "step", "must", "v", "terms", F.explode("places").alias("place"))
+    near = near.withColumn("start", F.explode(F.sequence(first.cast("int"), (F.floor(F.col("place") / F.col("step")) * F.col("step")).cast("int"), "step")))
+    window = near.select("hash", "template", "license", "must", "v", "start", F.slice("terms", F.col("start") + 1, F.col("length")).alias("window"))
+    window = window.where(F.size(F.array_except("must", "window")) == 0).dropDuplicates(["hash", "template", "start"])
     dot = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.element_at("v", t)["dot"], F.lit(0.0)))
-    window = window.withColumn("dot", dot)
-    # Terms that the template lacks weigh at least 1, so that most windows are out before their norms are summed.
-    inside = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.pow(F.element_at("v", t)["weight"], F.lit(2.0)), F.lit(1.0)))
-    window = window.where(F.col("dot") >= (SIMILAR - 1e-6) * F.sqrt(inside))
-    window = window.crossJoin(F.broadcast(idf.agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))))
-    weigh = lambda t: F.coalesce(F.element_at("weights", t), F.lit(unknown))
-    norm = F.sqrt(F.aggregate(F.array_distinct("window"), F.lit(0.0), lambda n, t: n + F.pow(weigh(t) * F.size(F.filter("window", lambda x: x == t)), F.lit(2.0))))
-    scored = window.select("key", "template", "license", "at", F.size("window").alias("size"), F.round(F.col("dot") / norm, 9).alias("score")).where(F.col("score") >= SIMILAR)
-    return spread.select("hash", "first", "key").join(scored, "key").select("hash", (F.col("first") + F.col("at")).alias("start"), "size", "license", "template", "score")
+    least = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.pow(F.element_at("v", t)["weight"], F.lit(2.0)), F.lit(1.0)))
+    window = window.withColumn("dot", dot).where(F.col("dot") >= (SIMILAR - 1e-6) * F.sqrt(least)).select("hash", "template", "license", "start", "dot", "window")
+    window = materialize(window, "windows")
+    key = ["hash", "template", "license", "start", "dot", "size"]
+    count = lambda t: F.struct(t.alias("term"), F.size(F.filter("window", lambda x: x == t)).alias("tf"))
+    each = window.withColumn("size", F.size("window")).select(*key, F.explode(F.transform(F.array_distinct("window"), count)).alias("t")).select(*key, "t.term", "t.tf")
+    weight = F.log(F.lit(float(total)) / F.col("df")) + 1
+    norms = each.join(counts, "term").groupBy(*key).agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0)))).alias("norm"))
+    scored = norms.select("hash", "start", "size", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    return scored.where(F.col("score") >= SIMILAR)
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, path, text) to doc_id, path, license, score, origin.
-
-    origin is "own", "inherited" or null; score is the cosine of the own passage, or of the licence file
-    inherited from. Ties go to the earlier template, and among licence files of a directory to the higher score,
-    then the smaller path. Null or empty text has no licence of its own; a null path is a file of no directory;
-    repeated rows are each returned; an empty table gives an empty one; other columns are ignored.
+    """Rows (doc_id, path, text) to doc_id, path, license, score, margin, origin.
+
+    origin is "own", "inherited" or null; score is the cosine of the best passage, own or of the licence file
+    inherited from, and margin its lead over the best passage of another licence there. Ties go to the earlier
+    template and place, and among licence files of a directory to the higher score, then the smaller hash of the path. Null or
+    empty text has no licence of its own; a null path is a file of no directory; repeated rows are each returned
+    and each count in the document frequencies; equal texts are compared once; of a very long text only windows
+    around licence words are compared; an empty table gives an empty one; other columns are ignored.
     """
-    spark = documents.sparkSession
-    wordings = [Counter(_python_terms(w)) for _, w in TEMPLATES]
-    vocabulary = sorted({w for c in wordings for w in c})
     rows = documents.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    own_terms = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])"), F.array(*map(F.lit, vocabulary)))
-    counted = rows.select(F.explode(F.concat(own_terms, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = {r.term: r.df for r in counted.collect()}  # a row for each term of the fixed templates; the empty one counts documents
-    total = max(1, df.get("", 0))
-    weight = {w: math.log(total / max(1, df.get(w, 0))) + 1 for w in vocabulary}
-    unknown = math.log(total) + 1
-    entries = []
-    for k, (c, (name, _)) in enumerate(zip(wordings, TEMPLATES, strict=True)):
-        norm = math.sqrt(sum((n * weight[w]) ** 2 for w, n in c.items()))
-        entries += [(k, name, w, n * weight[w] / norm) for w, n in sorted(c.items())]
-    vectors = spark.createDataFrame(entries, "template int, license string, term string, v double")
-    idf = spark.createDataFrame(sorted(weight.items()), "term string, weight double")
-
-    vectors_of = vectors.join(F.broadcast(idf), "term").groupBy("template", "license").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct((F.col("v") * F.col("weight")).alias("dot"), "weight")))).alias("v"))
-    lengths = spark.createDataFrame([(k, sum(c.values())) for k, c in enumerate(wordings)], "template int, length int")
-    anchored = rows.where(F.regexp_like("text", F.lit(ANCHORED))).withColumn("hash", F.xxhash64("text"))
-    texts = anchored.select("hash", "text")
-    found = materialize(windows(texts, vectors_of.join(F.broadcast(lengths), "template"), idf, unknown), "windows")
-    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))))
-    in_windows = found.groupBy("hash").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("best"), covered.alias("covered"))
-
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(TRIGGER)))
-    said = rows.where(F.regexp_like("text", F.lit(TRIGGER))).select("doc_id", "path", F.xxhash64("text").alias("hash"), F.size(terms(F.col("text"))).alias("words"), F.posexplode(lines).alias("line", "said"))
-    spread = said.withColumn("terms", terms(F.col("said")))
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("terms") - SPAN // 2), F.lit(SPAN // 2)), lambda k: F.slice("terms", k, SPAN))
-    passages = materialize(spread.select("doc_id", "path", "hash", "words", "line", F.posexplode(spans).alias("span", "terms")).where(F.size("terms") > 0).distinct(), "passages")
-    key = ["doc_id", "path", "hash", "line", "span"]
-    each = passages.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    each = each.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(unknown)))
-    sizes = each.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = each.join(F.broadcast(vectors), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
-    scored = dots.alias("a").join(sizes.alias("b"), same[0] & same[1] & same[2] & same[3] & same[4])
-    scored = scored.select(*[F.col(f"a.{c}").alias(c) for c in key], "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= SIMILAR)
-    best = scored.groupBy("doc_id", "path", "hash").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("best"))
-    told = passages.alias("a").join(scored.select(*key).distinct().alias("b"), same[0] & same[1] & same[2] & same[3] & same[4], "left_semi")
-    share = told.groupBy("doc_id", "path", "hash").agg((F.sum(F.size("terms")) / F.max("words")).alias("share"))
-    one = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key[:3]]
-    lined = best.alias("a").join(share.alias("b"), one[0] & one[1] & one[2]).select("a.doc_id", "a.path", "a.hash", "best", "share")
-    # The words told are those of the lines or of the windows, whichever are more.
-    stated = anchored.select("doc_id", "path", "hash", F.size(terms(F.col("text"))).alias("words")).join(in_windows, "hash")
-    windowed = stated.select("doc_id", "path", "hash", "best", (F.col("covered") / F.col("words")).alias("share"))
-    own = lined.unionByName(windowed).groupBy("doc_id", "path", "hash").agg(F.max("best").alias("best"), F.max("share").alias("share"))
-    own = own.select("doc_id", "path", "hash", F.col("best.license").alias("license"), F.col("best.score").alias("score"), "share")
+    counts = materialize(document_counts(rows), "term-counts")
+    anchored = rows.where(F.regexp_like("text", F.lit(ANCHORED))).select(F.xxhash64("text").alias("hash"), "text").dropDuplicates(["hash"])
+    anchored = anchored.select("hash", terms(F.col("text")).alias("terms"), F.regexp_replace(F.regexp_extract("text", SPDX, 1), "(-only|-or-later|[.-])$", "").alias("spdx"))
+    places = F.filter(F.transform("terms", lambda t, k: F.when(F.regexp_like(t, F.lit(ANCHOR)), k)), lambda k: k.isNotNull())
+    texts = materialize(anchored.withColumn("places", places).where(F.size("places") > 0), "licence-texts")
+    found = materialize(passages(texts.select("hash", "terms", "places"), counts), "passages")
+    named = texts.where("spdx <> ''").select("hash", F.lit(-1).alias("start"), F.lit(0).alias("size"), F.col("spdx").alias("license"), F.lit(-1).alias("template"), F.lit(1.0).alias("score"))
+    each = found.union(named)
+    # Of the passages within MARGIN of the best one the longest says most; an identifier says all.
+    tops = each.groupBy("hash").agg(F.max("score").alias("top"))
+    order = F.struct((F.col("template") < 0).alias("identifier"), "size", "score", (-F.col("template")).alias("t"), (-F.col("start")).alias("s"), "license")
+    best = each.join(tops, "hash").where(F.col("score") >= F.col("top") - MARGIN).groupBy("hash").agg(F.max(order).alias("b"))
+    best = best.select("hash", "b.license", "b.score", (-F.col("b.s")).alias("from"), (F.col("b.size") - F.col("b.s")).alias("to"))
+    within = (F.col("e.start") >= F.col("b.from")) & (F.col("e.start") + F.col("e.size") <= F.col("b.to"))
+    others = each.alias("e").join(best.alias("b"), "hash").where((F.col("e.license") != F.col("b.license")) & ~within).groupBy("hash").agg(F.max("e.score").alias("other"))
+    best = best.join(others, "hash", "left").select("hash", "license", "score", (F.col("score") - F.coalesce("other", F.lit(0.0))).alias("margin"))
+    said = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))))
+    covered = found.groupBy("hash", "license").agg(said.alias("covered"))
+    sizes = texts.select("hash", F.size("terms").alias("words"))
+    own = best.join(covered, ["hash", "license"], "left").join(sizes, "hash").select("hash", "license", "score", "margin", F.coalesce(F.col("covered") / F.col("words"), F.lit(0.0)).alias("share"))
+    own = rows.where(F.regexp_like("text", F.lit(ANCHORED))).select("doc_id", "path", F.xxhash64("text").alias("hash")).join(own, "hash").distinct()
     own = materialize(own, "own-licenses")
+    for table in (counts, texts, found):
+        discard(table)
 
+    one = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "path", "hash")]
     folder = lambda path: F.regexp_replace(path, "(^|/)[^/]*$", "")
-    speaks = own.where((F.col("path").isNotNull()) & ((F.col("share") >= FILE_SHARE) | F.regexp_like("path", F.lit(_NAME))))
-    folders = speaks.groupBy(folder(F.col("path")).alias("folder")).agg(F.max_by(F.struct("license", "score"), F.struct("score", (-F.xxhash64("path")).alias("h"))).alias("given"))
+    speaks = own.where((F.col("path").isNotNull()) & (F.col("margin") >= MARGIN) & ((F.col("share") >= FILE_SHARE) | F.regexp_like("path", F.lit(_NAME))))
+    folders = speaks.groupBy(folder(F.col("path")).alias("folder")).agg(F.max_by(F.struct("license", "score", "margin"), F.struct("score", (-F.xxhash64("path")).alias("h"))).alias("given"))
     places = rows.where("path is not null").select(folder(F.col("path")).alias("place")).distinct()
     names = F.split("place", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(names)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(names, F.lit(1), k), "/").alias("folder")))
     ways = places.select("place", F.explode(above).alias("up")).select("place", "up.depth", "up.folder")
     nearest = ways.join(folders, "folder").groupBy("place").agg(F.max_by("given", "depth").alias("given"))
     first = rows.select("doc_id", "path", F.xxhash64("text").alias("hash"))
-    mine = first.alias("a").join(own.alias("b"), one[0] & one[1] & one[2], "left").select("a.doc_id", "a.path", "b.license", "b.score")
+    mine = first.alias("a").join(own.alias("b"), one[0] & one[1] & one[2], "left").select("a.doc_id", "a.path", "b.license", "b.score", "b.margin")
     mine = mine.withColumn("place", folder(F.col("path"))).join(nearest, "place", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
-    return mine.select("doc_id", "path", F.coalesce("license", "given.license").alias("license"), F.coalesce("score", "given.score").alias("score"), origin.alias("origin"))
+    return mine.select("doc_id", "path", F.coalesce("license", "given.license").alias("license"), F.coalesce("score", "given.score").alias("score"), F.coalesce("margin", "given.margin").alias("margin"), origin.alias("origin"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

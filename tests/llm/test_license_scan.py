@@ -9,28 +9,28 @@ GPL = "This work is licensed under the GNU General Public License, version 3."
 
 
 def brute(rows):
-    """(license, score) of the best passage of each text; lines under SPAN words."""
-    term = lambda t: re.findall(r"[^\W_.]?(?:[^\W_]|\.)*[^\W_]", t.lower())
+    """(license, score) of the best passage of each text, by loops over all windows that hold a licence word."""
+    term = lambda t: re.findall(r"[^\W_]+(?:\.[^\W_]+)*", t.lower())
     wordings = [Counter(term(w)) for _, w in L.TEMPLATES]
-    vocabulary = {w for c in wordings for w in c}
-    df = Counter(w for _, _, t in rows for w in set(term(t or "")) & vocabulary)
-    n = max(1, len(rows))
-    weight = lambda w: math.log(n / max(1, df[w])) + 1 if w in vocabulary else math.log(n) + 1
+    df = Counter(w for _, _, t in rows for w in set(term(t or "")))
+    weight = lambda w: math.log(len(rows) / max(1, df[w])) + 1
     vector = lambda c: {w: k * weight(w) for w, k in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     out = {}
     for doc, _, text in rows:
-        best = None
-        for line in (text or "").split("\n"):
-            if not re.search(L.TRIGGER, line) or not term(line):
-                continue
-            v = vector(Counter(term(line)))
-            for k, (c, (name, _)) in enumerate(zip(wordings, L.TEMPLATES, strict=True)):
-                u = vector(c)
+        words, found = term(text or ""), []
+        for k, (c, (name, _)) in enumerate(zip(wordings, L.TEMPLATES, strict=True)):
+            u, length = vector(c), sum(c.values())
+            for start in range(0, len(words), max(1, length // 8)):
+                window = words[start : start + length]
+                if not any(re.search(L.ANCHOR, w) for w in window) or not c.keys() & set(L.NAMING) <= set(window):
+                    continue
+                v = vector(Counter(window))
                 score = round(sum(x * u.get(w, 0) for w, x in v.items()) / norm(u) / norm(v), 9)
-                if score >= L.SIMILAR and (best is None or (score, -k) > best[:2]):
-                    best = (score, -k, name)
-        out[doc] = (best[2], best[0]) if best else None
+                if score >= L.SIMILAR:
+                    found.append((len(window), score, -k, -start, name))
+        near = [x for x in found if x[1] >= max(y[1] for y in found) - L.MARGIN]
+        out[doc] = (max(near)[4], max(near)[1]) if near else None
     return out
 
 
@@ -70,3 +70,21 @@ def test_statements_within_lines_and_over_line_breaks(spark):
     got = {r.doc_id: r for r in L.scan(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()}
     assert {d: r.license for d, r in got.items()} == {r[0]: r[3] for r in rows}
     assert all(got[d].score > 0.99 for d in (1, 2, 3, 4, 5, 7, 9))
+
+
+def test_names_headings_identifiers_and_whole_texts(spark):
+    prose = "one may print and bind and sell or lend what one likes where nobody minds it much " * 3
+    whole = {name: max((w for n, w in L.TEMPLATES if n == name), key=len) for name, _ in L.TEMPLATES}
+    rows = [
+        ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("# SPDX-License-Identifier: GPL-2.0-only\nx = 1", "GPL-2.0"), ("// SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0"),
+        ("Mozilla Public License Version 2.0", "MPL-2.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+        (whole["ISC"].split(", provided")[0], "ISC"), (whole["BSD-2-Clause"], "BSD-2-Clause"), (whole["BSD-3-Clause"], "BSD-3-Clause"), (whole["MIT"], "MIT"), (whole["Zlib"], "Zlib"),
+        ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Released under the Foo License", None), ("All rights reserved.", "Proprietary"),
+        ("GNU Lesser General Public License version 2.1", "LGPL-2.1"), ("This file is GPL-3.0 licensed", "GPL-3.0"), ("mit Lizenz und ohne Permission", None),
+    ]
+    made = [(i, f"d{i}/f", t if i % 2 else f"{t}\n{prose}") for i, (t, _) in enumerate(rows)] + [(100 + i, None, prose) for i in range(20)]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(made, "doc_id long, path string, text string")).collect()}
+    assert {i: got[i].license for i in range(len(rows))} == {i: want for i, (_, want) in enumerate(rows)}
+    for doc, want in brute(made).items():
+        if want and got[doc].score < 1:
+            assert (got[doc].license, got[doc].origin) == (want[0], "own") and abs(got[doc].score - want[1]) < 1e-8, doc
