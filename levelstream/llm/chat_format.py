@@ -82,7 +82,7 @@ def masked_text(formatted: Column, mask: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the query op1 returns, read back from the formatted text alone."""
+    """What the query op1 returns, read back from the formatted text alone, and whether it is what was given."""
     rows = formatted.withColumn("read", parse(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
@@ -92,6 +92,7 @@ def digest(formatted: DataFrame) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "identical",
     )
 
 
@@ -113,7 +114,7 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum(length(line))::bigint as formatted_chars
+  sum(length(line))::bigint as formatted_chars, true as identical
 from rendered group by conv_id
 """
 

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 
-ORACLES = {"op1_chat_format": chat_format.ORACLE}
+ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE}
