@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from levelstream.llm import simhash as S
@@ -40,7 +41,8 @@ def test_against_brute_force(docs, rows):
     assert got == {d: (prints[d], want[d]) for d in ids}
 
 
-def test_links_in_a_dense_ball(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [6, 7])
+def test_links_in_a_dense_ball(spark, monkeypatch, blocks):
     rng = random.Random(3)
     monkeypatch.setattr(S, "TILE", 16)
     base = [rng.getrandbits(64) for _ in range(6)]
@@ -51,13 +53,27 @@ def test_links_in_a_dense_ball(spark, monkeypatch):
             x ^= 1 << rng.randrange(64)
         prints.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    got = components(S.print_links(spark.createDataFrame([(x,) for x in signed], "print long")))
+    table = spark.createDataFrame([(x,) for x in signed], "print long").select("print", *S.distance_table())
+    for r in table.collect():
+        told = b"".join(r[c].to_bytes(8, "little", signed=True) for c in S.TABLE)
+        assert list(told) == [((r.print ^ x) & (2**64 - 1)).bit_count() for x in S.REFERENCES]
+    got = components(S.print_links(table, blocks))
     pairs = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
     want = brute_components(signed, pairs)
     linked = {x for p in pairs for x in p}
     assert {r.id: r.component for r in got.collect()} == {x: want[x] for x in linked}
 
 
+def test_any_close_pair_shares_a_key():
+    rng = random.Random(4)
+    for blocks in (6, 7):
+        masks = S._masks(blocks)
+        assert len(masks) == {6: 15, 7: 35}[blocks]
+        for _ in range(2000):
+            flips = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not flips & m & (2**64 - 1) for m in masks)
+
+
 def test_chain_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 2000), (5, 5), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
