@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 WINDOW, STEP = 48, 36
 THRESHOLD = 0.7
-#: Bounds of the training sample: documents of each label, in order of a hash of doc_id, and windows of each.
+#: Bounds of the training sample: documents of each label, in order of a hash of doc_id, and their windows in all.
+#: A document comes with all its windows or not at all.
 SAMPLE = {1: 1500, 0: 3000}
-SAMPLE_WINDOWS = 32
+SAMPLE_WINDOWS = {1: 30_000, 0: 45_000}
 #: Words and trigrams that get vectors, the most frequent of the sample.
 WORDS, TRIGRAMS = 20_000, 20_000
 SIZE, HIDDEN = 8, 8
@@ -328,52 +331,63 @@ class Scorer:
 
 
 def _held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, toxic, place, text) to a row for each window: doc_id, toxic, place, start, words."""
     for batch in batches:
-        out = []
-        for doc, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = (text or "").lower().split()
-            starts = window_starts(len(words))
-            rng = np.random.default_rng(abs(doc))
-            for s in sorted(rng.permutation(len(starts))[:SAMPLE_WINDOWS].tolist()):
-                out.append((doc, toxic, " ".join(map(clean, words[starts[s] : starts[s] + WINDOW]))))
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "toxic", "words"])
-
-
-def fit(documents: DataFrame, labels: DataFrame) -> Network:
+        for k in range(0, batch.num_rows, 50):
+            out = []
+            for doc, toxic, place, text in zip(*(c.to_pylist() for c in batch.slice(k, 50).columns), strict=True):
+                words = (text or "").lower().split()
+                out += [(doc, toxic, place, s, " ".join(map(clean, words[s : s + WINDOW]))) for s in window_starts(len(words))]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "toxic", "place", "start", "words"])
+
+
+def fit(documents: DataFrame, labels: DataFrame, seed: int = 10) -> Network:
     """Train on a bounded sample of the labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    The sample is at most SAMPLE documents of each label and SAMPLE_WINDOWS windows of each, so what comes to the
-    driver is bounded. Rows with null ids or labels other than 0 and 1, and labels without a document, are left
-    out; an id with several labels counts as toxic if any says so; without rows of both labels the score is
-    constant.
+    The sample is the first SAMPLE documents of each label in the order of a hash of doc_id, each with all its
+    windows, as far as these are SAMPLE_WINDOWS together; a document that would exceed that is left out for the
+    next. So what comes to the driver is bounded. Rows with null ids or labels other than 0 and 1, and labels without a
+    document, are left out; an id with several labels counts as toxic if any says so; of several rows of an id the
+    least text is taken, null as empty; ties of the hash go by doc_id; without rows of both labels, or without any,
+    the score is constant; other columns are ignored.
     """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(~_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = marked.join(documents.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64(F.lit(10), "doc_id"), F.col("doc_id")]
     chosen = [marked.where(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in SAMPLE.items()]
-    rows = [tuple(r) for r in chosen[0].union(chosen[1]).collect()]
-    ids = documents.sparkSession.createDataFrame(rows, "doc_id long, toxic int")
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-    windows = texts.mapInArrow(_sample_windows, "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"])
+    rows = [(r.doc_id, r.toxic, k) for part in chosen for k, r in enumerate(part.orderBy(*order).collect())]
+    ids = documents.sparkSession.createDataFrame(rows, "doc_id long, toxic int, place long")
+    texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    windows = materialize(texts.mapInArrow(_all_windows, "doc_id long, toxic int, place long, start long, words string"), "windows")
+    taken, held = set(), {0: 0, 1: 0}
+    for r in sorted(windows.groupBy("doc_id", "toxic", "place").count().collect(), key=lambda r: r.place):  # at most SAMPLE rows
+        if held[r.toxic] + r["count"] <= SAMPLE_WINDOWS[r.toxic]:
+            held[r.toxic] += r["count"]
+            taken.add(r.doc_id)
+    if len(taken) < len(rows):
+        windows = windows.join(F.broadcast(documents.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")), "doc_id")
+    found = windows.select("doc_id", "toxic", "start", "words").toPandas().sort_values(["doc_id", "start"])
     sample: dict[int, tuple[list[list[str]], int]] = {}
     pool: dict[str, str] = {}  # one string for each word, however often it comes
-    for doc, toxic, words in windows.itertuples(index=False, name=None):
+    for doc, toxic, _, words in found.itertuples(index=False, name=None):
         sample.setdefault(doc, ([], toxic))[0].append([pool.setdefault(w, w) for w in words.split(" ")] if words else [])
-    del windows
-    return train([sample[d] for d in sorted(sample)])
+    del found
+    return train([sample[d] for d in sorted(sample)], seed)
 
 
 def score(documents: DataFrame, net: Network) -> DataFrame:
     """The columns of ``documents`` and ``toxicity``: the score of the whole text, 0 to 1.
 
-    Null and empty text get the score of an empty window; nothing but the text is an input; an empty table gives
-    an empty one.
+    Null and empty text get the score of an empty window; nothing but the text is an input, so rows of equal text
+    get equal scores whatever their ids; a very long text is scored some hundred windows at a time; a column that
+    is named toxicity already is replaced; an empty table gives an empty one.
     """
+    documents = documents.drop("toxicity")
     model = documents.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,8 +398,8 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
             values = np.concatenate([scorer.scores([t or "" for t in texts.slice(k, 250).to_pylist()]) for k in range(0, batch.num_rows, 250)]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{schema}, toxicity double")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.schema.fields)
+    return documents.mapInArrow(run, f"{schema}toxicity double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
