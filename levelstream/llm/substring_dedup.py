@@ -32,7 +32,7 @@ from .shared import discard, materialize, whole_groups
 LENGTH, GRAM = 200, 64
 GRAMS = LENGTH - GRAM + 1
 #: Contexts that are sorted together; more of one gram are cut into parts.
-GROUP = 512
+GROUP = 2048
 _PLACE = 22
 _SLICE = (1 << _PLACE) - LENGTH
 _ODD = np.uint64(0x9E3779B97F4A7C15)
