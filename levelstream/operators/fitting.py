@@ -7,6 +7,7 @@ driver between rounds is one row of bounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,18 @@ def grid(spark: SparkSession, bounds: dict[str, tuple[float, float]], steps: int
     return spark.createDataFrame(rows, "candidate long, " + ", ".join(f"{n} double" for n in bounds))
 
 
+#: Candidates of a round at most: each row meets every one of them.
+MOST_CANDIDATES = 100_000
+
+
 def scores(inputs: DataFrame, candidates: DataFrame, model: Column, by: list[str]) -> DataFrame:
     """(by, candidate, parameters, n, fitness): the root mean square of expected - model over the inputs.
 
-    ``model`` is a column over the inputs' columns and the parameters. Sums combine before the shuffle.
+    ``model`` is a column over the inputs' columns and the parameters. Sums combine before the shuffle. The candidates
+    go to every task; more than MOST_CANDIDATES are refused.
     """
+    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates; score them in parts")
     names = [c for c in candidates.columns if c != "candidate"]
     rows = inputs.join(F.broadcast(candidates)).withColumn("d", F.col("expected") - model).where("d is not null")
     return rows.groupBy(*by, "candidate", *names).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("fitness"))
@@ -36,6 +44,61 @@ def best(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("fitness", "candidate")).alias("b")).select(*by, "b.*")
 
 
+#: Ways of comparing solutions of several objectives that dominance does not order, and whether dominance decides before.
+STRATEGIES = {
+    "strict": True, "soft": True, "any": True, "euclidean_dominance": True, "weighted_euclidean_dominance": True, "ratio_dominance": True, "weighted_ratio_dominance": True,
+    "max": False, "euclidean": False, "weighted_euclidean": False,
+}
+
+
+def better(a: Column, b: Column, objectives: int, strategy: str) -> Column:
+    """Whether the array of objectives ``a`` is better (less) than ``b``.
+
+    Dominance comes first where the strategy has it: no objective better is no, none worse is yes; then strict says no, soft
+    compares how many are better and worse, any says yes. The others compare a distance from zero, in which the
+    first objectives may weigh more, and at equal distances the first objective in which they differ. A solution with a null or non-finite objective is never better, and any other is better than it.
+    """
+    dominance = STRATEGIES[strategy]
+    pairs = [(F.get(a, F.lit(i)), F.get(b, F.lit(i)), float(objectives - i)) for i in range(objectives)]
+    sound = lambda k: F.forall(F.array(*[p[k] for p in pairs]), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    total = lambda parts: sum(parts[1:], parts[0])
+    wins, losses = total([(x < y).cast("int") for x, y, _ in pairs]), total([(y < x).cast("int") for x, y, _ in pairs])
+    if objectives == 1:
+        decided = pairs[0][0] < pairs[0][1]
+    else:
+        weigh = lambda w: w if strategy.startswith("weighted") else 1.0
+        if strategy == "max":
+            own, other = F.greatest(*[x for x, _, _ in pairs]), F.greatest(*[y for _, y, _ in pairs])
+        elif "ratio" in strategy:
+            share = lambda x, y: F.when(x + y != 0, x / F.nullif(x + y, F.lit(0.0))).otherwise(0.5)
+            own = total([F.when(x != y, F.pow(share(x, y), F.lit(2.0)) * weigh(w)).otherwise(0.0) for x, y, w in pairs])
+            other = total([F.when(x != y, F.pow(1 - share(x, y), F.lit(2.0)) * weigh(w)).otherwise(0.0) for x, y, w in pairs])
+        else:
+            own, other = (total([F.when(p[0] != p[1], p[k] * p[k] * weigh(p[2])).otherwise(0.0) for p in pairs]) for k in (0, 1))
+        first = F.lit(False)
+        for x, y, _ in reversed(pairs):
+            first = F.when(x != y, x < y).otherwise(first)
+        decided = F.when(own < other, True).when(own > other, False).otherwise(first)
+        if dominance:
+            rest = {"strict": F.lit(False), "soft": wins > losses, "any": F.lit(True)}.get(strategy, decided)
+            decided = F.when(wins == 0, False).when(losses == 0, True).otherwise(rest)
+    return F.when(~sound(0), False).when(~sound(1), True).otherwise(decided)
+
+
+def front(scored: DataFrame, by: list[str], objectives: list[str], strategy: str = "strict") -> DataFrame:
+    """The candidates of each group to which no other is better: of a strict strategy the Pareto front.
+
+    Each candidate meets all others of its group, so their number is bounded as in ``scores``.
+    """
+    rows = scored.withColumn("goals", F.array(*[F.col(o).cast("double") for o in objectives]))
+    a, b = rows.alias("a"), rows.select(*by, "candidate", "goals").alias("b")
+    same = F.col("a.candidate") != F.col("b.candidate")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    beaten = better(F.col("b.goals"), F.col("a.goals"), len(objectives), strategy)
+    return a.join(b, same & beaten, "left_anti").drop("goals")
+
+
 def refine(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, steps: int = 5, rounds: int = 4) -> tuple[dict[str, float], float]:
     """Parameters of least fitness over all inputs, by grids that shrink around the best of the round before."""
     spark, now = inputs.sparkSession, dict(bounds)
@@ -52,12 +115,10 @@ def refine(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Col
     return found, fitness
 
 
-def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1) -> tuple[dict[str, float], float]:
-    """Differential evolution: each round scores all trials in one job; a trial replaces its parent if it is better."""
+def _fitness(inputs: DataFrame, names: list[str], model: Column) -> Callable:
+    """A function of a population (an array, a row a candidate) that scores all of it in one job."""
     import numpy as np
 
-    rng, names = np.random.default_rng(seed), list(bounds)
-    low, high = (np.array([bounds[n][k] for n in names]) for k in (0, 1))
     spark = inputs.sparkSession
     schema = "candidate long, " + ", ".join(f"{n} double" for n in names)
 
@@ -68,6 +129,16 @@ def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Col
             out[r.candidate] = r.fitness
         return out
 
+    return fitness
+
+
+def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1) -> tuple[dict[str, float], float]:
+    """Differential evolution: each round scores all trials in one job; a trial replaces its parent if it is better."""
+    import numpy as np
+
+    rng, names = np.random.default_rng(seed), list(bounds)
+    low, high = (np.array([bounds[n][k] for n in names]) for k in (0, 1))
+    fitness = _fitness(inputs, names, model)
     people = low + rng.random((size, len(names))) * (high - low)
     score = fitness(people)
     for _ in range(rounds):
@@ -81,3 +152,31 @@ def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Col
         people[better], score[better] = trial[better], got[better]
     k = int(np.argmin(score))
     return dict(zip(names, people[k].tolist(), strict=True)), float(score[k])
+
+
+# How much of its velocity a particle keeps, the pulls of its own best place and of the swarm's, and the
+# most it moves in a round as a share of the bounds.
+INERTIA, OWN_PULL, SWARM_PULL, MOST_MOVE = 0.7298, 1.55, 2.05, 0.4
+
+
+def swarm(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1) -> tuple[dict[str, float], float]:
+    """A particle swarm: each round scores all particles in one job, and they move on towards the best places known."""
+    import numpy as np
+
+    rng, names = np.random.default_rng(seed), list(bounds)
+    low, high = (np.array([bounds[n][k] for n in names]) for k in (0, 1))
+    fitness = _fitness(inputs, names, model)
+    most = MOST_MOVE * (high - low)
+    place = low + rng.random((size, len(names))) * (high - low)
+    speed = rng.uniform(-most, most, place.shape)
+    best, score = place.copy(), fitness(place)
+    for _ in range(rounds):
+        own, all_ = rng.random(place.shape), rng.random(place.shape)
+        speed = INERTIA * speed + OWN_PULL * own * (best - place) + SWARM_PULL * all_ * (best[np.argmin(score)] - place)
+        speed = np.clip(speed, -most, most)
+        place = np.clip(place + speed, low, high)
+        got = fitness(place)
+        better = got < score
+        best[better], score[better] = place[better], got[better]
+    k = int(np.argmin(score))
+    return dict(zip(names, best[k].tolist(), strict=True)), float(score[k])

@@ -23,17 +23,39 @@ def at(asked: DataFrame, knots: DataFrame, shift: float, name: str, slope: bool
     return found.drop("before", "after").withColumn("device_time", F.col("asked_at")).drop("asked_at")
 
 
+def at_times(asked: DataFrame, knots: DataFrame, shifts: dict[str, float | Column], slopes: tuple[str, ...] = ()) -> DataFrame:
+    """``asked`` with, by name, the levels of ``knots`` so many days after each time, and their slopes for ``slopes``.
+
+    All times meet the signal in one shuffle by segment. A null shift asks nothing. Needs a column ``seq`` that tells
+    rows of the same segment and time apart.
+    """
+    days = F.array(*[(s if isinstance(s, Column) else F.lit(s)).cast("double") for s in shifts.values()])
+    each = asked.withColumn("asked_at", F.col("device_time")).select("*", F.posexplode(days).alias("k", "days"))
+    moved = each.withColumn("device_time", E.moved(F.col("device_time"), F.round(F.col("days") * E.DAY, 6))).drop("days")
+    found = bracket(moved, knots).withColumns({"value_": line_value(), "slope_": line_slope()})
+    pick = lambda k, name: F.max(F.when(F.col("k") == k, F.col("slope_" if name in slopes else "value_"))).alias(name)
+    keys = [c for c in asked.columns if c != "device_time"]
+    return found.groupBy(*keys, F.col("asked_at").alias("device_time")).agg(*[pick(k, name) for k, name in enumerate(shifts)])
+
+
 @dataclass(frozen=True)
 class Diffusion:
     p: float = 1.091213
     cg: float = -0.015811
     c: float = -0.174114
     dt: float = 0.0233101854166667
+    #: The lag grows by k level (level - level h days before) / h; 0 leaves it at dt.
+    k: float = -2.6e-6
+    h: float = 0.0185995368055556
+
+    @property
+    def by_level(self) -> bool:
+        return self.k != 0 and self.h != 0
 
     def blood(self, present: Column, future: Column, clamp: bool = False) -> Column:
         """cg b^2 + (p - cg present) b + c - future = 0, solved for b."""
         if self.cg == 0:
-            return (future - self.c) / self.p if self.p else F.lit(self.c)
+            return (future - self.c) / self.p if self.p else F.lit(None).cast("double")
         beta = self.p - self.cg * present
         d = beta * beta - 4 * self.cg * (self.c - future)
         root = F.sqrt(F.greatest(d, F.lit(0.0))) if clamp else F.when(d >= 0, F.sqrt(F.greatest(d, F.lit(0.0))))
@@ -44,31 +66,61 @@ class Diffusion:
 
 
 #: Predicts by the difference of two lags.
-PREDICTIVE = Diffusion(1.065754, -0.004336, 0.167069, 0.0247337965277778 - 0.0233101854166667)
+PREDICTIVE = Diffusion(1.065754, -0.004336, 0.167069, 0.0247337965277778 - 0.0233101854166667, 0.0, 0.0)
+#: Seconds around the fixed lag in which the interstitial model looks for its time, and its coarse step.
+SEARCH, COARSE = 900, 30
 
 
 def diffusion_blood(asked: DataFrame, ist: DataFrame, model: Diffusion = Diffusion(), name: str = "value") -> DataFrame:
-    """Blood level from the interstitial signal now and a lag later."""
-    rows = at(at(asked, ist, 0.0, "present"), ist, model.dt, "future")
+    """Blood level from the interstitial signal now and a lag later; the lag depends on the level and its change over h."""
+    if model.by_level:
+        rows = at_times(asked, ist, {"present": 0.0, "back": -model.h})
+        lag = model.dt + model.k * F.col("present") * (F.col("present") - F.col("back")) / model.h
+        rows = at_times(rows, ist, {"future": lag}).drop("back")
+    else:
+        rows = at_times(asked, ist, {"present": 0.0, "future": model.dt})
     return rows.withColumn(name, model.blood(F.col("present"), F.col("future"))).drop("present", "future")
 
 
+def _nearest_lag(rows: DataFrame, ist: DataFrame, model: Diffusion, offsets: Column) -> DataFrame:
+    """``rows`` with ``offset``: that of ``offsets`` (seconds) at which a lag that starts dt before it ends nearest to the time asked."""
+    each = rows.withColumn("tried", F.explode(offsets))
+    start = F.col("tried") / E.DAY - model.dt
+    found = at_times(each, ist, {"here": start, "back": start - model.h})
+    miss = F.abs(F.col("tried") + model.k / model.h * E.DAY * F.col("here") * (F.col("here") - F.col("back")))
+    keys = [F.col(c) for c in rows.columns]
+    return found.groupBy(*keys).agg(F.min_by("tried", F.when(miss.isNotNull(), F.struct(miss, "tried"))).alias("offset"))
+
+
 def diffusion_interstitial(asked: DataFrame, ist: DataFrame, blood: DataFrame, model: Diffusion = Diffusion(), name: str = "value") -> DataFrame:
-    """Interstitial level from both signals a lag before."""
-    rows = at(at(asked, ist, -model.dt, "present"), blood, -model.dt, "b")
+    """Interstitial level from both signals a lag before.
+
+    Where the lag depends on the level, its start is looked for within SEARCH seconds of the fixed lag: every COARSE
+    seconds first, then every second around the best; null where the signal is known at none of them.
+    """
+    start = F.lit(-model.dt)
+    rows = asked
+    if model.by_level:
+        coarse = F.sequence(F.lit(-SEARCH), F.lit(SEARCH), F.lit(COARSE))
+        rows = _nearest_lag(asked, ist, model, coarse).withColumnRenamed("offset", "about")
+        fine = F.sequence(F.greatest(F.col("about") - COARSE, F.lit(-SEARCH)), F.least(F.col("about") + COARSE, F.lit(SEARCH)))
+        rows = _nearest_lag(rows.where("about is not null"), ist, model, fine).unionByName(rows.where("about is null").withColumn("offset", F.lit(None).cast("int"))).drop("about")
+        start = F.col("offset") / E.DAY - model.dt
+    rows = at_times(rows, ist, {"present": start})
+    rows = at_times(rows, blood, {"b": start}).drop("offset")
     return rows.withColumn(name, model.interstitial(F.col("b"), F.col("present"))).drop("present", "b")
 
 
 def diffusion_prediction(asked: DataFrame, ist: DataFrame, retrospective: Diffusion = Diffusion(), predictive: Diffusion = PREDICTIVE, name: str = "value") -> DataFrame:
     """Interstitial level ahead: blood of the past from two levels, then carried on."""
-    rows = at(at(asked, ist, -predictive.dt, "future"), ist, -predictive.dt - retrospective.dt, "present")
+    rows = at_times(asked, ist, {"future": -predictive.dt, "present": -predictive.dt - retrospective.dt})
     blood = retrospective.blood(F.col("present"), F.col("future"), clamp=True)
     return rows.withColumn(name, predictive.interstitial(blood, F.col("present"))).drop("present", "future")
 
 
 def steil_rebrin(asked: DataFrame, ist: DataFrame, calibration: DataFrame, tau: float = 0.00576459, alpha: float = 1 / 1.02164072, beta: float = 0.0, gamma: float = 0.0, name: str = "value") -> DataFrame:
     """Blood level from the interstitial one and its slope, drifting since the last calibration (or the first level)."""
-    rows = at(at(asked, ist, 0.0, "present"), ist, 0.0, "slope", slope=True)
+    rows = at_times(asked, ist, {"present": 0.0, "slope": 0.0}, ("slope",))
     both = rows.withColumn("is_asked", F.lit(True)).unionByName(calibration.select("segment_id", "device_time").withColumn("is_asked", F.lit(False)), allowMissingColumns=True)
     last = F.last(F.when(~F.col("is_asked"), E.micros()), ignorenulls=True).over(Window.partitionBy("segment_id").orderBy("device_time"))
     first = ist.groupBy("segment_id").agg(F.min(E.micros()).alias("first"))
@@ -80,7 +132,7 @@ def steil_rebrin(asked: DataFrame, ist: DataFrame, calibration: DataFrame, tau:
 
 def steil_rebrin_prediction(asked: DataFrame, ist: DataFrame, p: float = 0.00116362, cg: float = -7.20151e-11, c: float = 0.0794574, dt: float = 0.010417, inv_g: float = 850.437, tau: float = 0.00630974, name: str = "value") -> DataFrame:
     """Interstitial level a lag ahead, from the level and slope a lag before."""
-    rows = at(at(asked, ist, -dt, "present"), ist, -dt, "slope", slope=True)
+    rows = at_times(asked, ist, {"present": -dt, "slope": -dt}, ("slope",))
     blood = inv_g * tau * F.col("slope") + inv_g * F.col("present")
     return rows.withColumn(name, p * blood + cg * blood * (blood - F.col("present")) + c).drop("present", "slope")
 
@@ -177,7 +229,8 @@ def beta_pid(asked: DataFrame, ist: DataFrame, on_board_now: DataFrame, kp: floa
     ``on_board_now`` has (segment_id, device_time, seq, iob) for the asked times; without level or insulin on board
     the rate is null.
     """
-    rows = lag_grid(at(asked, ist, 0.0, "slope", slope=True), ist, step, count).join(on_board_now.select("segment_id", "device_time", "seq", "iob"), ["segment_id", "device_time", "seq"], "left")
+    lags = {f"lag_{k}": -k * step for k in range(count)}
+    rows = at_times(asked, ist, {"slope": 0.0, **lags}, ("slope",)).withColumn("lags", F.array(*lags)).drop(*lags).join(on_board_now.select("segment_id", "device_time", "seq", "iob"), ["segment_id", "device_time", "seq"], "left")
     bg = F.col("lags")[0]
     error = target - bg
     past = F.aggregate("lags", F.lit(0.0), lambda s, x: s + F.coalesce(target - x, F.lit(0.0)))
@@ -238,24 +291,47 @@ def shape(oldest: Column, middle: Column, newest: Column) -> Column:
     )
 
 
-def pattern_prediction(levels: DataFrame, name: str = "predicted") -> DataFrame:
-    """For each level, from the three last ones: shape, band, and the level that last followed this pattern in its segment.
+def pattern_prediction(levels: DataFrame, horizon: float = 30 * MINUTE, step: float = 5 * MINUTE, name: str = "predicted") -> DataFrame:
+    """For each level: the shape and band that it ends, and the level that this pattern was last seen to lead to.
 
-    ``levels`` has (segment_id, device_time, level, seq); the level after three others is what their pattern learns.
+    A pattern is the shape of the signal's levels two steps before, one step before and at a time, and the band of
+    the last. Each level teaches the pattern that ended ``horizon`` before it, and patterns are shared by all segments
+    in order of time and ``seq``. ``predicted`` is for the time ``horizon`` later; it is null where the pattern is
+    not known yet, was last seen to lead to 0, or the signal is not known at its times.
+    ``levels`` has (segment_id, device_time, level, seq).
+    """
+    ago = {"one": horizon + 2 * step, "two": horizon + step, "three": horizon, "now_one": 2 * step, "now_two": step, "now_three": 0.0}
+    rows = at_times(levels, E.last_written(levels), {n: -d for n, d in ago.items()})
+    # A day's rows of a pattern are ordered in a task; what it has learnt before that day is one row a day.
+    rows = rows.withColumn("day", F.floor(E.days()))
+    pattern = lambda p: [shape(F.col(f"{p}one"), F.col(f"{p}two"), F.col(f"{p}three")).alias("shape"), band(F.col(f"{p}three")).alias("band")]
+    learnt = rows.where("one is not null and two is not null and three is not null").select(*pattern(""), "day", "device_time", "seq", F.col("level").alias("taught"), F.lit(None).cast("struct<segment_id:bigint,level:double>").alias("asks"))
+    asks = rows.where("now_one is not null and now_two is not null and now_three is not null").select(*pattern("now_"), "day", "device_time", "seq", F.lit(None).cast("double").alias("taught"), F.struct("segment_id", "level").alias("asks"))
+    both = learnt.union(asks)
+    days = both.groupBy("shape", "band", "day").agg(F.max_by("taught", F.when(F.col("taught").isNotNull(), F.struct("device_time", "seq"))).alias("taught"))
+    earlier = Window.partitionBy("shape", "band").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("shape", "band", "day", F.last("taught", ignorenulls=True).over(earlier).alias("earlier"))
+    # A level teaches before it asks.
+    order = Window.partitionBy("shape", "band", "day").orderBy("device_time", "seq", F.col("asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.last("taught", ignorenulls=True).over(order)).where("asks is not null").join(days, ["shape", "band", "day"])
+    told = F.coalesce("last", "earlier")
+    return found.select("asks.segment_id", "device_time", "seq", "asks.level", "shape", "band", F.when(told != 0, told).alias(name))
+
+
+def overlap_uptake(asked: DataFrame, intakes: DataFrame, slot: float = 1.0, name: str = "value") -> DataFrame:
+    """Of intakes (segment_id, start, stop, amount) the part that falls into each asked interval (segment_id, device_time, until, seq).
+
+    Both are dealt to the slots (days) that they touch, and meet in the first slot that both touch; a slot about as long as
+    the intervals keeps copies and pairs few.
     """
-    order = Window.partitionBy("segment_id").orderBy("device_time", "seq")
-    rows = levels.withColumns({"one": F.lag("level", 2).over(order), "two": F.lag("level", 1).over(order), "next": F.lead("level").over(order)})
-    rows = rows.where("one is not null").withColumns({"shape": shape(F.col("one"), F.col("two"), F.col("level")), "band": band(F.col("level"))})
-    learned = Window.partitionBy("segment_id", "shape", "band").orderBy("device_time", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last("next", ignorenulls=True).over(learned)).select("segment_id", "device_time", "seq", "level", "shape", "band", name)
-
-
-def overlap_uptake(asked: DataFrame, intakes: DataFrame, name: str = "value") -> DataFrame:
-    """Of intakes (segment_id, start, stop, amount) the part that falls into each asked interval (segment_id, device_time, until, seq)."""
-    rows = asked.alias("a").join(intakes.alias("i"), (F.col("a.segment_id") == F.col("i.segment_id")) & (F.col("i.start") < F.col("a.until")) & (F.col("i.stop") > F.col("a.device_time")), "left")
-    seconds = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
-    part = seconds(F.least("a.until", "i.stop"), F.greatest("a.device_time", "i.start")) / seconds(F.col("i.stop"), F.col("i.start"))
-    return rows.groupBy("a.segment_id", "a.device_time", "a.seq").agg(F.coalesce(F.sum(F.col("i.amount") * part), F.lit(0.0)).alias(name))
+    number = lambda c: F.floor(E.days(c) / slot)
+    a = asked.select("segment_id", "device_time", "until", "seq", number("device_time").alias("a_first"), F.explode(F.sequence(number("device_time"), number("until"))).alias("slot"))
+    i = intakes.select("segment_id", "start", "stop", "amount", number("start").alias("i_first"), F.explode(F.sequence(number("start"), number("stop"))).alias("slot"))
+    seconds = lambda x, y: (E.micros(x) - E.micros(y)) / 1e6
+    part = seconds(F.least("until", "stop"), F.greatest("device_time", "start")) / seconds(F.col("stop"), F.col("start"))
+    meets = (F.col("start") < F.col("until")) & (F.col("stop") > F.col("device_time")) & (F.col("slot") == F.greatest("a_first", "i_first"))
+    rows = a.join(i, ["segment_id", "slot"], "left").withColumn("part", F.when(meets, F.col("amount") * part))
+    return rows.groupBy("segment_id", "device_time", "seq").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias(name))
 
 
 def sensor_calibration(events: DataFrame, sensed: str, calibration: str, least: int = 2) -> DataFrame:

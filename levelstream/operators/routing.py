@@ -65,8 +65,9 @@ def unmask(events: DataFrame, signal: str) -> DataFrame:
 
 
 def add_noise(events: DataFrame, signal: str, most: float = 1.0, seed: int = 1) -> DataFrame:
-    """Add uniform noise from -most to most, drawn from a hash of (seed, segment, seq), so reruns and retries agree."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), "segment_id", "seq"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """Add uniform noise from -most to most, drawn from a digest of (seed, segment, seq), so reruns and retries agree."""
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit(seed), "segment_id", "seq")), 1, 12)
+    unit = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 48))
     mine = E.is_level() & (F.col("signal_id") == signal)
     return events.withColumn("level", F.when(mine, F.col("level") + (unit * 2 - 1) * most).otherwise(F.col("level")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import events as E
 from .asof import interpolate
+from .ranks import CELLS, order_statistics, percentiles, running_sums
 from .windows import episodes, periods, series
 
 MGDL = 18.0182
@@ -48,11 +49,23 @@ LOW, ELEVATED, HIGH = 3.8, 7.0, 10.8
 
 
 def stats(column: str, by: list[str], rows: DataFrame) -> DataFrame:
-    """Count, mean, population moments and percentiles of a column, for each group and, under nulls, for all rows."""
+    """Count, mean, population moments and percentiles of a column, for each group and, under nulls, for all rows.
+
+    The moments combine before they shuffle. The percentiles are exact, by ranks over ranges of values, so neither a
+    large group nor the total is held in one task.
+    """
     x = F.col(column)
-    exact = lambda p: F.percentile(x, p)
-    out = {"n": F.count(x), "avg": F.avg(x), "sd": F.stddev_pop(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "least": F.min(x), "p25": exact(0.25), "median": exact(0.5), "p75": exact(0.75), "p95": exact(0.95), "p99": exact(0.99), "most": F.max(x)}
-    return rows.rollup(*by).agg(*[v.alias(k) for k, v in out.items()], F.grouping_id().alias("g")).where(F.col("g").isin(0, 2 ** len(by) - 1)).drop("g")
+    out = {"n": F.count(x), "avg": F.avg(x), "sd": F.stddev_pop(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "least": F.min(x), "most": F.max(x)}
+    all_ = 2 ** len(by) - 1
+    moments = rows.rollup(*by).agg(*[v.alias(k) for k, v in out.items()], F.grouping_id().cast("int").alias("g")).where(F.col("g").isin(0, all_))
+    totals = rows.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in by], F.lit(all_).alias("g"), column)
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    ranked = percentiles(rows.select(*by, F.lit(0).alias("g"), column).union(totals), [*by, "g"], column, shares).drop("n")
+    same = F.lit(True)
+    for c in [*by, "g"]:
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
+    names = [*by, "n", "avg", "sd", "skewness", "kurtosis", "least", *shares, "most"]
+    return moments.alias("m").join(ranked.alias("r"), same, "left").select(*[F.col(f"r.{c}" if c in shares else f"m.{c}").alias(c) for c in names])
 
 
 def signal_stats(events: DataFrame, signal: str) -> DataFrame:
@@ -65,6 +78,41 @@ def period_stats(events: DataFrame, signal: str) -> DataFrame:
     return stats("period", ["segment_id"], periods(events.where(F.col("signal_id") == signal)))
 
 
+def signal_error_stats(rows: DataFrame) -> DataFrame:
+    """The statistics of absolute and of relative errors (kind) of pairs, by segment and in total (segment_id null).
+
+    The relative error of an expected 0 is 0 where there is no error, and unknown otherwise.
+    """
+    gap = F.abs(F.col("expected") - F.col("calculated"))
+    relative = F.when(F.col("expected") != 0, gap / F.col("expected")).when(gap == 0, 0.0)
+    found = [stats("error", ["segment_id"], rows.select("segment_id", error.alias("error"))).withColumn("kind", F.lit(kind)) for kind, error in (("absolute", gap), ("relative", relative))]
+    return found[0].unionByName(found[1])
+
+
+def error_distribution(rows: DataFrame) -> DataFrame:
+    """The full distribution of absolute errors: each error with how many are at or under it, by segment and in total.
+
+    Ranks are sums over counts of equal errors, in ranges of values first.
+    """
+    gap = F.abs(F.col("expected") - F.col("calculated"))
+    each = rows.select(F.lit(0).alias("g"), "segment_id", gap.alias("error"))
+    each = each.union(each.select(F.lit(1), F.lit(None).cast("long"), "error")).groupBy("g", "segment_id", "error").agg(F.count("*").alias("c"))
+    found = each.agg(F.percentile_approx("error", [i / CELLS for i in range(1, CELLS)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found))]).cast("array<double>")
+    each = each.withColumn("cell", F.size(F.filter(bounds, lambda b: b <= F.col("error"))))
+    group = Window.partitionBy("g", "segment_id")
+    cells = each.groupBy("g", "segment_id", "cell").agg(F.sum("c").alias("m")).withColumns({"before": F.sum("m").over(group.orderBy("cell")) - F.col("m"), "n": F.sum("m").over(group)})
+    e, k = each.alias("e"), cells.alias("k")
+    both = e.join(k, (F.col("e.g") == F.col("k.g")) & (F.col("e.cell") == F.col("k.cell")) & F.col("e.segment_id").eqNullSafe(F.col("k.segment_id"))).select("e.*", "before", "n")
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "segment_id", "cell").orderBy("error"))
+    return both.select("segment_id", "error", upto.alias("at_most"), (upto / F.col("n")).alias("p"))
+
+
+def chosen_metric(rows: DataFrame, metric: Column) -> DataFrame:
+    """A metric of pairs at the end of each segment, and of all pairs (segment_id null), with the time of the last of them."""
+    return rows.rollup("segment_id").agg(F.max("device_time").alias("device_time"), F.count("*").alias("n"), metric.alias("metric"))
+
+
 def pairs(events: DataFrame, reference: str, calculated: str) -> DataFrame:
     """(segment_id, device_time, seq, expected, calculated): the calculated signal, interpolated at reference times."""
     asked = E.signal(events, reference).withColumnRenamed("level", "expected")
@@ -111,24 +159,22 @@ def error_ecdf(rows: DataFrame) -> DataFrame:
     return known.select("segment_id", "device_time", "error", x.alias("x"), p.alias("p"))
 
 
-def day_profile(events: DataFrame, signal: str, minutes: int = 5) -> DataFrame:
-    """By time of day in bins: n, least, q1, median, q3, most of the levels of all days.
+def day_profile(events: DataFrame, signals: str | list[str], minutes: int = 5) -> DataFrame:
+    """By time of day in bins: n, least, q1, median, q3, most of the levels of all days, signals (measured and calculated) pooled.
 
     A quartile at n p is the element there if whole, else the middle of its neighbours.
     """
-    rows = E.signal(events, signal)
     bin_ = F.floor((F.hour("device_time") * 60 + F.minute("device_time")) / minutes).cast("int")
-    rows = rows.withColumn("bin", bin_)
-    order = Window.partitionBy("bin")
-    rows = rows.withColumns({"i": F.row_number().over(order.orderBy("level", "seq")) - 1, "n": F.count("*").over(order)})
-
-    def quartile(p: float) -> Column:
-        at = F.col("n") * p
-        low, high = F.floor(at), F.least(F.ceil(at), F.col("n") - 1)
-        pick = lambda k: F.max(F.when(F.col("i") == k, F.col("level")))
-        return (pick(F.least(low, F.col("n") - 1)) + pick(high)) / 2
-
-    return rows.groupBy("bin").agg(F.first("n").alias("n"), F.min("level").alias("least"), quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"), F.max("level").alias("most"))
+    names = [signals] if isinstance(signals, str) else signals
+    rows = events.where(E.is_level() & F.col("signal_id").isin(names) & F.col("level").isNotNull()).withColumn("bin", bin_)
+    ranks = {}
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        ranks[f"{name}_low"] = lambda n, p=p: F.least(F.floor(n * p), n - 1)
+        ranks[f"{name}_high"] = lambda n, p=p: F.least(F.ceil(n * p), n - 1)
+    ranked = order_statistics(rows, ["bin"], "level", ranks)
+    ends = rows.groupBy("bin").agg(F.min("level").alias("least"), F.max("level").alias("most"))
+    quartile = lambda name: ((F.col(f"{name}_low") + F.col(f"{name}_high")) / 2).alias(name)
+    return ranked.join(ends, "bin").select("bin", "n", "least", quartile("q1"), quartile("median"), quartile("q3"), "most")
 
 
 def range_classes(events: DataFrame, signal: str, scale: float = 1.0) -> DataFrame:
@@ -170,3 +216,47 @@ def online_error(events: DataFrame, reference: str, error: str, relative: bool =
     gap = F.abs(at("r") - at("e"))
     gap = F.when(at("r") != 0, gap / F.abs(at("r"))) if relative else gap
     return rows.withColumn("d", gap).select("segment_id", "device_time", "seq", F.avg("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("metric"))
+
+
+def fast_errors(events: DataFrame, reference: str, error: str, relative: bool = False, squared: bool = False) -> DataFrame:
+    """(segment_id, device_time, seq, d): at each level of either signal its distance from the other one, carried on.
+
+    The other signal goes on from its last level by its last slope, which needs two levels of rising time; levels at
+    the time of the other's last one are not compared. A relative distance is in units of the reference; where that
+    is 0 there is none. Signals are followed by segment.
+    """
+    own = series()
+    rows = events.where(E.is_level() & F.col("signal_id").isin(reference, error) & F.col("level").isNotNull()).withColumn("t", E.micros())
+    step = F.col("t") - F.lag("t").over(own)
+    rows = rows.withColumn("step_slope", F.when(step > 0, (F.col("level") - F.lag("level").over(own)) / step))
+    rows = rows.withColumn("slope", F.last("step_slope", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy("segment_id").orderBy("device_time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    mark = lambda name: F.last(F.when(F.col("signal_id") == name, F.struct("t", "level", "slope")), ignorenulls=True).over(order)
+    rows = rows.withColumns({"r": mark(reference), "e": mark(error)})
+    is_reference = F.col("signal_id") == reference
+    other = F.when(is_reference, F.col("e")).otherwise(F.col("r"))
+    rows = rows.withColumn("other", other).where("other.slope is not null and t > other.t")
+    there = F.col("other.level") + F.col("other.slope") * (F.col("t") - F.col("other.t"))
+    d = F.col("level") - there
+    if relative:
+        divisor = F.when(is_reference, F.col("level")).otherwise(there)
+        d = F.when(divisor != 0, d / divisor)
+    d = d * d if squared else F.abs(d)
+    return rows.select("segment_id", "device_time", "seq", d.alias("d")).where("d is not null")
+
+
+def fast_error_total(distances: DataFrame, levels_required: int = 1, prefer_more_levels: bool = False) -> DataFrame:
+    """One row: n, avg and avg_plus_sd of the distances of all segments, pooled in order of time and ``seq``.
+
+    avg_plus_sd is the online estimate: the sum divided by n - 1.5 + 1 / (8 (n - 1)), and squares of distances from
+    that mean as it was after each. Under ``levels_required`` distances both are null.
+    """
+    divisor = lambda n: F.when(n > 1.5, n - 1.5 + 1 / (8.0 * (n - 1))).otherwise(1.0)
+    hour = F.floor(E.micros() / 3.6e9)
+    rows = running_sums(distances, hour, ["device_time", "seq"], {"total": F.col("d"), "count": F.lit(1)})
+    delta = F.col("d") - F.col("total") / divisor(F.col("count"))
+    found = rows.agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.sum(delta * delta * (F.col("count") - 1) / F.col("count")).alias("squares"))
+    n, mean = F.col("n"), F.col("total") / divisor(F.col("n"))
+    both = mean + F.when(n > 1, F.sqrt(F.col("squares") / divisor(n))).otherwise(0.0)
+    enough = lambda c: F.when(n >= max(1, levels_required), c / n if prefer_more_levels else c)
+    return found.select("n", enough(F.col("total") / n).alias("avg"), enough(both).alias("avg_plus_sd"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import events as E
+from .asof import bracket
 from .routing import condition
 
 
@@ -116,3 +117,50 @@ def intervals_to_levels(intervals: DataFrame, base: DataFrame) -> DataFrame:
     known = F.last("known", ignorenulls=True).over(Window.partitionBy("segment_id").orderBy("device_time"))
     restored = knots.union(asked).withColumn("level", known).where("asked = 1 and level is not null").select("segment_id", "device_time", "level", F.lit("base").alias("origin"))
     return starts.union(restored)
+
+
+def interval_ends(intervals: DataFrame, clock: DataFrame, level: float) -> DataFrame:
+    """Levels that end intervals (segment_id, start, stop): ``level`` at the stop of each that the stream outlives.
+
+    Ends are seen when a row of ``clock`` (segment_id, device_time) comes at or after them; an interval that begins
+    until then takes the place of the earlier one.
+    """
+    order = Window.partitionBy("segment_id").orderBy("start")
+    asked = intervals.select("segment_id", F.greatest("start", "stop").alias("device_time"), "start", "stop", F.lead("start").over(order).alias("next"))
+    knots = clock.select("segment_id", "device_time").distinct().withColumn("level", F.lit(0.0))
+    seen = bracket(asked, knots).where("after is not null")
+    kept = seen.where(F.col("next").isNull() | (E.micros("next") > F.col("after.t")))
+    return kept.select("segment_id", F.col("stop").alias("device_time"), F.lit(level).alias("level"))
+
+
+def resolved_intervals(events: DataFrame) -> DataFrame:
+    """The level events of a device's stream with its helper signals resolved and left out.
+
+    Physical_Activity_Duration (days) ends an activity with level 1, the basal metabolism. Sleep_Endtime (days since
+    1970) starts the sleep of the Sleep_Quality at its time, and ends it with 0. Insulin_Temp_Rate until
+    Insulin_Temp_Rate_Endtime sets a rate, and restores the last Requested_Insulin_Basal_Rate; a new basal rate without a
+    temporary one ends that.
+    """
+    named = lambda n: E.last_written(E.signal(events, n)).select("segment_id", "device_time", "level")
+    clock = events.select("segment_id", "device_time")
+    at_days = lambda c: F.timestamp_micros(F.round(c * (E.DAY * 1e6)).cast("long")).cast("timestamp_ntz")
+    row = lambda df, n: df.select(F.lit(E.LEVEL).alias("event_code"), F.lit(n).alias("signal_id"), "device_time", "segment_id", "level")
+    both = lambda a, b: named(a).withColumnRenamed("level", "value").join(named(b), ["segment_id", "device_time"])
+
+    active = named("Physical_Activity_Duration").select("segment_id", F.col("device_time").alias("start"), E.moved(F.col("device_time"), F.col("level") * E.DAY).alias("stop"))
+    asleep = both("Sleep_Quality", "Sleep_Endtime")
+    sleeps = asleep.select("segment_id", F.col("device_time").alias("start"), at_days(F.col("level")).alias("stop"))
+    temporary, basal = both("Insulin_Temp_Rate", "Insulin_Temp_Rate_Endtime"), named("Requested_Insulin_Basal_Rate")
+    plain = basal.join(temporary, ["segment_id", "device_time"], "left_anti")
+    # A plain basal rate is an interval without an end, so it takes the place of a temporary one.
+    spans = temporary.select("segment_id", F.col("device_time").alias("start"), at_days(F.col("level")).alias("stop"))
+    spans = spans.union(plain.select("segment_id", "device_time", F.lit("9999-01-01").cast("timestamp_ntz")))
+    ends = interval_ends(spans, clock, 0.0).select("segment_id", "device_time")
+    restored = bracket(ends, basal).where("before is not null").select("segment_id", "device_time", F.col("before.level").alias("level"))
+    silent = ["Physical_Activity_Duration", "Insulin_Temp_Rate", "Insulin_Temp_Rate_Endtime", "Sleep_Endtime", "Sleep_Quality", "Requested_Insulin_Basal_Rate"]
+    body = events.where(E.is_level() & ~F.col("signal_id").isin(silent)).select("event_code", "signal_id", "device_time", "segment_id", "level")
+    rates = [row(temporary.drop("level").withColumnRenamed("value", "level"), "Requested_Insulin_Basal_Rate"), row(plain, "Requested_Insulin_Basal_Rate"), row(restored, "Requested_Insulin_Basal_Rate")]
+    others = [row(interval_ends(active, clock, 1.0), "Physical_Activity"), row(asleep.drop("level").withColumnRenamed("value", "level"), "Sleep_Quality"), row(interval_ends(sleeps, clock, 0.0), "Sleep_Quality")]
+    for part in (*rates, *others):
+        body = body.unionByName(part)
+    return body

@@ -13,7 +13,7 @@ from levelstream.functions.units import convert
 from levelstream.operators import asof, dosing, fitting, matching, metrics, models, routing, scores, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
-from levelstream.sources import device_files, logs
+from levelstream.sources import device_files, logs, signals
 
 FLAGSHIP = "signal_error"
 _QUERIES: dict = {}
@@ -199,7 +199,7 @@ def unmask_levels(spark, d):
     return routing.unmask(routing.mask(E.read_events(spark, d), "click", _MASK), "click").select("seq", "signal_id", "event_code")
 
 
-@query()
+@query(f"""select seq, signal_id, case when signal_id = 'click' then level + (('0x' || substr(md5('1/' || segment_id || '/' || seq), 1, 12))::bigint / 281474976710656.0 * 2 - 1) * 2.0 else level end as level from {EVENTS}""")
 def noise(spark, d):
     return routing.add_noise(E.read_events(spark, d), "click", 2.0).select("seq", "signal_id", "level")
 
@@ -306,6 +306,30 @@ def interval_levels(spark, d):
     return windows.intervals_to_levels(spans, E.last_written(E.signal(e, "view")))
 
 
+def _fast_sql(relative: bool) -> str:
+    """Distances of click and view levels, each from the other's last level carried on."""
+    d = "abs((level - there) / nullif(case when is_ref then level else there end, 0))" if relative else "abs(level - there)"
+    return f"""(with a as (select *, epoch_us(device_time) as t from {EVENTS} where signal_id in ('view', 'click')),
+      b as (select *, case when t > lag(t) over w then (level - lag(level) over w) / (t - lag(t) over w) end as s from a window w as (partition by segment_id, signal_id order by device_time, seq)),
+      c as (select *, last_value(s ignore nulls) over (partition by segment_id, signal_id order by device_time, seq rows unbounded preceding) as slope from b),
+      e as (select *, signal_id = 'view' as is_ref, {', '.join(f"last_value(case when signal_id = '{n}' then {{'t': t, 'level': level, 'slope': slope}} end ignore nulls) over (partition by segment_id order by device_time, seq rows unbounded preceding) as {n}_" for n in ('view', 'click'))} from c),
+      f as (select *, case when is_ref then click_ else view_ end as o from e),
+      g as (select *, o.level + o.slope * (t - o.t) as there from f where o.slope is not null and t > o.t)
+      select segment_id, device_time, seq, {d} as d from g where {d} is not null)"""
+
+
+@query(f"select * from {_fast_sql(True)}")
+def fast_errors(spark, d):
+    return scores.fast_errors(E.read_events(spark, d), "view", "click", relative=True)
+
+
+@query(f"""with a as (select d, row_number() over (order by device_time, seq) as n, sum(d) over (order by device_time, seq rows unbounded preceding) as total from {_fast_sql(False)}),
+  b as (select *, case when n > 1.5 then n - 1.5 + 1 / (8.0 * (n - 1)) else 1 end as divisor from a), c as (select *, d - total / divisor as delta from b)
+  select count(*) as n, sum(d) / count(*) as avg, max_by(total / divisor, n) + sqrt(sum(delta * delta * (n - 1) / n) / max(divisor)) as avg_plus_sd from c""")
+def fast_error_total(spark, d):
+    return scores.fast_error_total(scores.fast_errors(E.read_events(spark, d), "view", "click"))
+
+
 # --- statistics
 
 _STATS = "count({c}) as n, avg({c}) as avg, stddev_pop({c}) as sd, (avg({c} ^ 3) - 3 * avg({c}) * avg({c} ^ 2) + 2 * avg({c}) ^ 3) / stddev_pop({c}) ^ 3 as skewness, kurtosis_pop({c}) as kurtosis, min({c}) as least, quantile_cont({c}, 0.25) as p25, median({c}) as median, quantile_cont({c}, 0.75) as p75, quantile_cont({c}, 0.95) as p95, quantile_cont({c}, 0.99) as p99, max({c}) as most"
@@ -321,6 +345,26 @@ def period_stats(spark, d):
     return scores.period_stats(E.read_events(spark, d), "click")
 
 
+@query(f"""with a as (select segment_id, abs(expected - calculated) as error, 'absolute' as kind from {PAIRS}
+    union all select segment_id, case when expected <> 0 then abs(expected - calculated) / expected when expected = calculated then 0 end, 'relative' from {PAIRS})
+  select segment_id, kind, {_STATS.format(c='error')} from a group by grouping sets ((segment_id, kind), (kind))""")
+def signal_error_stats(spark, d):
+    return scores.signal_error_stats(_pairs(spark, d))
+
+
+@query(f"""with a as (select segment_id, abs(expected - calculated) as error, 0 as g from {PAIRS}), b as (select * from a union all select null, error, 1 from a),
+  c as (select g, segment_id, error, count(*) as c from b group by all)
+  select segment_id, error, (sum(c) over (partition by g, segment_id order by error))::bigint as at_most, sum(c) over (partition by g, segment_id order by error) / sum(c) over (partition by g, segment_id) as p from c""")
+def error_distribution(spark, d):
+    return scores.error_distribution(_pairs(spark, d))
+
+
+@query(f"select segment_id, max(device_time) as device_time, count(*) as n, sqrt(avg((expected - calculated) ^ 2)) as metric from {PAIRS} group by rollup(segment_id)")
+def chosen_metric(spark, d):
+    gap = F.col("expected") - F.col("calculated")
+    return scores.chosen_metric(_pairs(spark, d), F.sqrt(F.avg(gap * gap)))
+
+
 def _inside_sql(corners, x: str, y: str) -> str:
     edges = [f"(case when ({y1}.0 > {y}) <> ({y2}.0 > {y}) and {x} < ({y} - {y1}) * {(x2 - x1) / (y2 - y1)!r} + {x1} then 1 else 0 end)" for (x1, y1), (x2, y2) in zip(corners, (*corners[1:], corners[0]), strict=True) if y1 != y2]
     return f"(({' + '.join(edges)}) % 2 = 1)"
@@ -400,15 +444,48 @@ def _blood_sql(p, present: str, future: str, clamp: bool) -> str:
     return f"(({root}) - ({p.p} - ({p.cg}) * {present})) / (2 * ({p.cg}))"
 
 
+_FIXED = models.Diffusion(k=0.0, h=0.0)
 _NOW = line_sql(asked_sql("view"), _small_sql(), "present")
 
 
+def _later_sql(asked: str, knots: str, name: str, days: str) -> str:
+    """``asked`` with the level of ``knots`` a number of days later that is an expression over its columns."""
+    moved = f"(select *, device_time as shown_at from {asked})"
+    moved = f"(select * exclude (device_time), shown_at + to_microseconds(round(({days}) * 86400e6)::bigint) as device_time from {moved})"
+    return f"(select * exclude (device_time, shown_at, {name}_slope), shown_at as device_time from {line_sql(moved, knots, name)})"
+
+
 @query(f"select segment_id, device_time, seq, {_blood_sql(_P, 'present', 'future', False)} as value from {line_sql(_NOW, _small_sql(), 'future', _P.dt)}")
+def diffusion_blood_fixed(spark, d):
+    return models.diffusion_blood(_asked(spark, d), _small(spark, d), _FIXED).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""select segment_id, device_time, seq, {_P.p} * b + ({_P.cg}) * b * (b - present) + ({_P.c}) as value from {line_sql(line_sql(asked_sql('view'), _small_sql(), 'present', -_P.dt), _small_sql('purchase'), 'b', -_P.dt)}""")
+def diffusion_interstitial_fixed(spark, d):
+    return models.diffusion_interstitial(_asked(spark, d), _small(spark, d), _small(spark, d, "purchase"), _FIXED).select("segment_id", "device_time", "seq", "value")
+
+
+@query(f"""select segment_id, device_time, seq, {_blood_sql(_P, 'present', 'future', False)} as value
+  from {_later_sql(line_sql(_NOW, _small_sql(), 'back', -_P.h), _small_sql(), 'future', f'{_P.dt} + ({_P.k}) * present * (present - back) / {_P.h}')}""")
 def diffusion_blood(spark, d):
     return models.diffusion_blood(_asked(spark, d), _small(spark, d)).select("segment_id", "device_time", "seq", "value")
 
 
-@query(f"""select segment_id, device_time, seq, {_P.p} * b + ({_P.cg}) * b * (b - present) + ({_P.c}) as value from {line_sql(line_sql(asked_sql('view'), _small_sql(), 'present', -_P.dt), _small_sql('purchase'), 'b', -_P.dt)}""")
+def _lag_sql(asked: str, offsets: str, columns: str = "q.*") -> str:
+    """(segment_id, device_time, seq, off): of the offsets the one at which the lag ends nearest to the time asked."""
+    tried = f"(select {columns}, unnest({offsets}) as tried from {asked} q)"
+    known = _later_sql(_later_sql(tried, _small_sql(), "here", f"tried / 86400.0::double - {_P.dt}"), _small_sql(), "back", f"tried / 86400.0::double - {_P.dt} - {_P.h}")
+    return f"""(select segment_id, device_time, seq, tried as off from (select *, abs(tried + ({_P.k / _P.h * 86400.0!r}) * here * (here - back)) as miss from {known})
+      where miss is not null qualify row_number() over (partition by segment_id, device_time, seq order by miss, tried) = 1)"""
+
+
+_COARSE = _lag_sql(asked_sql("view"), f"range({-models.SEARCH}, {models.SEARCH + 1}, {models.COARSE})")
+_FINE = _lag_sql(_COARSE, f"range(greatest(off - {models.COARSE}, {-models.SEARCH}), least(off + {models.COARSE}, {models.SEARCH}) + 1)", "q.segment_id, q.device_time, q.seq")
+
+
+@query(f"""with a as (select q.*, off from {asked_sql('view')} q left join {_FINE} f on q.seq = f.seq)
+  select segment_id, device_time, seq, {_P.p} * b + ({_P.cg}) * b * (b - present) + ({_P.c}) as value
+  from {_later_sql(_later_sql('a', _small_sql(), 'present', f'off / 86400.0::double - {_P.dt}'), _small_sql('purchase'), 'b', f'off / 86400.0::double - {_P.dt}')}""")
 def diffusion_interstitial(spark, d):
     return models.diffusion_interstitial(_asked(spark, d), _small(spark, d), _small(spark, d, "purchase")).select("segment_id", "device_time", "seq", "value")
 
@@ -550,14 +627,28 @@ def last_of_signals(spark, d):
     return routing.with_last(E.read_events(spark, d), ["click", "view"]).select("seq", *[f"{s}_{k}" for s in ("click", "view") for k in ("level", "time", "slope")])
 
 
-@query(f"""with a as (select segment_id, device_time, seq, level / 18.0 as level from {EVENTS} where signal_id = 'click'),
-  b as (select *, lag(level, 2) over w as o, lag(level) over w as m, lead(level) over w as nx from a window w as (partition by segment_id order by device_time, seq)),
-  c as (select *, case when m - o > 0.1 then case when not (level - m > 0.1) then 'concave' when abs(level - m) > abs(m - o) then 'accel' else 'up' end when m - o < -0.1 then case when not (level - m < -0.1) then 'convex' when abs(level - m) > abs(m - o) then 'deccel' else 'down' end
-    when level - m > 0.1 then 'steady_up' when level - m < -0.1 then 'steady_down' else 'steady' end as shape,
-    case when level >= 13 then 31 when level < 3 then 0 else floor((level - 3) / (10 / 30.0) + 0.5)::int end as band from b where o is not null)
-  select segment_id, device_time, seq, level, shape, band, last_value(nx ignore nulls) over (partition by segment_id, shape, band order by device_time, seq rows between unbounded preceding and 1 preceding) as predicted from c""")
+def _pattern_sql(p: str) -> str:
+    o, m, n = f"{p}one", f"{p}two", f"{p}three"
+    return f"""case when {m} - {o} > 0.1 then case when not ({n} - {m} > 0.1) then 'concave' when abs({n} - {m}) > abs({m} - {o}) then 'accel' else 'up' end
+      when {m} - {o} < -0.1 then case when not ({n} - {m} < -0.1) then 'convex' when abs({n} - {m}) > abs({m} - {o}) then 'deccel' else 'down' end
+      when {n} - {m} > 0.1 then 'steady_up' when {n} - {m} < -0.1 then 'steady_down' else 'steady' end as shape,
+      case when {n} >= 13 then 31 when {n} < 3 then 0 else floor(({n} - 3) / (10 / 30.0) + 0.5)::int end as band"""
+
+
+_AGO = {"one": 1.5, "two": 1.25, "three": 1.0, "now_one": 0.5, "now_two": 0.25, "now_three": 0.0}
+_AGO_SQL = f"(select * from {EVENTS.replace('value as level', 'value / 18.0 as level')} where signal_id = 'click')"
+for _name, _days in _AGO.items():
+    _AGO_SQL = f"(select * exclude ({_name}_slope) from {line_sql(_AGO_SQL, _small_sql(), _name, -_days)})"
+
+
+@query(f"""with a as (select * from {_AGO_SQL}),
+  b as (select segment_id, device_time, seq, level, {_pattern_sql('')}, level as taught, 0 as kind from a where one is not null and two is not null and three is not null
+    union all select segment_id, device_time, seq, level, {_pattern_sql('now_')}, null, 1 from a where now_one is not null and now_two is not null and now_three is not null),
+  c as (select *, last_value(taught ignore nulls) over (partition by shape, band order by device_time, seq, kind rows unbounded preceding) as told from b)
+  select segment_id, device_time, seq, level, shape, band, nullif(told, 0) as predicted from c where kind = 1""")
 def pattern_prediction(spark, d):
-    return models.pattern_prediction(E.signal(E.read_events(spark, d), "click").withColumn("level", F.col("level") / 18.0))
+    levels = E.signal(E.read_events(spark, d), "click").withColumn("level", F.col("level") / 18.0)
+    return models.pattern_prediction(levels, 1.0, 0.25)
 
 
 @query(f"""select a.segment_id, a.device_time, a.seq, coalesce(sum(b.level * (epoch_us(least(a.device_time + interval 12 hour, b.device_time + interval 18 hour)) - epoch_us(greatest(a.device_time, b.device_time))) / (18 * 3600e6)), 0) as value
@@ -569,6 +660,27 @@ def overlap_uptake(spark, d):
     return models.overlap_uptake(asked, intakes)
 
 
+@query(f"""with a as (select level, device_time, segment_id from {EVENTS} where signal_id = 'click'),
+  b as (select k, level, avg(level) over (partition by segment_id, k order by epoch_us(device_time) range between (k * 86400000000)::bigint preceding and current row) as mean from a, (select unnest([1, 2, 4]) as k))
+  select case k when 1 then 0 when 2 then 1 else 2 end::bigint as candidate, sqrt(avg((mean - 100) ^ 2)) as fitness from b group by k""")
+def optimized_chain(spark, d):
+    text = "[01 map]\nsource = click\nto = level\n[02 mean_response]\nsignal = level\nseconds = $(SECONDS)\n"
+    rows = E.read_events(spark, d)
+    return chain.optimize(rows, text, [{"SECONDS": f"{k * E.DAY}"} for k in (1, 2, 4)], lambda made: F.sqrt(F.avg(F.pow(F.col("level") - 100, F.lit(2.0)))))
+
+
+_SCORED = f"(select segment_id, candidate, gain, sqrt(avg((expected - gain * calculated) ^ 2)) as rmse, abs(avg(expected - gain * calculated)) as bias from {PAIRS}, (select i as candidate, (0.25 + i * 0.25)::double as gain from range(8) t(i)) group by all)"
+
+
+@query(f"""select a.segment_id, a.candidate::bigint as candidate, a.gain, a.rmse, a.bias from {_SCORED} a where not exists (select 1 from {_SCORED} b where a.segment_id = b.segment_id and b.rmse <= a.rmse and b.bias <= a.bias and (b.rmse < a.rmse or b.bias < a.bias))""")
+def pareto_front(spark, d):
+    candidates = F.array(*[F.struct(F.lit(i).cast("long").alias("candidate"), F.lit(0.25 + 0.25 * i).alias("gain")) for i in range(8)])
+    rows = _pairs(spark, d).select("segment_id", "expected", "calculated", F.explode(candidates).alias("c"))
+    gap = F.col("expected") - F.col("c.gain") * F.col("calculated")
+    scored = rows.groupBy("segment_id", F.col("c.candidate").alias("candidate"), F.col("c.gain").alias("gain")).agg(F.sqrt(F.avg(gap * gap)).alias("rmse"), F.abs(F.avg(gap)).alias("bias"))
+    return fitting.front(scored, ["segment_id"], ["rmse", "bias"])
+
+
 _FIT = f"(select segment_id, count(*) as n, regr_slope(calculated - expected, calculated) as slope, regr_intercept(calculated - expected, calculated) as off, avg(calculated - expected) as mean_gap from (select * from {line_sql(asked_sql('purchase'), signal_sql('click'), 'calculated')} where calculated is not null) group by 1 having count(*) >= 3)"
 
 
@@ -593,7 +705,22 @@ def fit_per_segment(spark, d):
     return fitting.best(fitting.scores(_pairs(spark, d), candidates, F.col("gain") * F.col("calculated") + F.col("bias"), ["segment_id"]), ["segment_id"])
 
 
-@query()
+def _refined_sql(rounds: int = 4, steps: int = 5) -> str:
+    """Rounds of a grid of steps x steps over gain and bias, each around the best so far."""
+    bounds, parts = {"gain": (0.0, 2.0), "bias": (-200.0, 400.0)}, [f"p as (select expected, calculated from {PAIRS})", "r0 as (select 0.0::double as gain_low, 2.0::double as gain_high, -200.0::double as bias_low, 400.0::double as bias_high, null::double as gain, null::double as bias, null::double as fitness)"]
+    for k in range(rounds):
+        grid = ", ".join(f"{n}_low + ({n}_high - {n}_low) * {c} / {steps - 1} as {n}" for n, c in (("gain", "i"), ("bias", "j")))
+        near = ", ".join(f"greatest({low}, {n} - ({n}_high - {n}_low) / {steps - 1}) as {n}_low, least({high}, {n} + ({n}_high - {n}_low) / {steps - 1}) as {n}_high" for n, (low, high) in bounds.items())
+        parts += [
+            f"g{k} as (select i * {steps} + j as candidate, {grid} from r{k}, range({steps}) a(i), range({steps}) b(j))",
+            f"s{k} as (select candidate, gain, bias, sqrt(avg((expected - (gain * calculated + bias)) ^ 2)) as fitness from p, g{k} group by all order by fitness, candidate limit 1)",
+            f"b{k} as (select r.gain_low, r.gain_high, r.bias_low, r.bias_high, x.gain, x.bias, x.fitness from r{k} r, (select gain, bias, fitness, 0 as o from r{k} where fitness is not null union all select gain, bias, fitness, 1 from s{k} order by fitness, o limit 1) x)",
+            f"r{k + 1} as (select {near}, gain, bias, fitness from b{k})",
+        ]
+    return f"with {', '.join(parts)} select gain, bias, fitness from r{rounds}"
+
+
+@query(_refined_sql())
 def fit_refined(spark, d):
     found, fitness = fitting.refine(_pairs(spark, d), {"gain": (0.0, 2.0), "bias": (-200.0, 400.0)}, F.col("gain") * F.col("calculated") + F.col("bias"))
     return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
@@ -650,6 +777,18 @@ def temporal_error(spark, d):
     return matching.temporal_error(matching.nearest_pairs(E.read_events(spark, d), "view", "click"))
 
 
+@query(f"""with a as (select segment_id, abs(epoch_us(error_time) - epoch_us(device_time)) / 86400e6 as lag, expected, calculated from (select v.segment_id, v.device_time, v.expected, c.device_time as error_time, c.level as calculated
+    from {asked_sql('view')} v asof join {signal_sql('click')} c on v.segment_id = c.segment_id and v.device_time >= c.device_time)),
+  b as (select *, min(lag) over w as l0, max(lag) over w as l1, min(expected) over w as e0, max(expected) over w as e1 from a window w as (partition by segment_id)),
+  c as (select segment_id, count(*) as n, avg(abs(expected - calculated)) as level_error, avg(abs(case when l1 > l0 then e0 + (e1 - e0) * (lag - l0) / (l1 - l0) end)) as time_error from b group by 1)
+  select *, level_error + time_error as error from c""")
+def temporal_error_of_last(spark, d):
+    found = asof.bracket(_asked(spark, d), _click(spark, d)).where("before is not null")
+    time = E.micros() / (E.DAY * 1e6)
+    pairs = found.select("segment_id", time.alias("t"), "expected", (F.col("before.t") / (E.DAY * 1e6)).alias("error_t"), F.col("before.level").alias("calculated"))
+    return matching.temporal_error(pairs)
+
+
 # --- sources and sinks
 
 
@@ -698,6 +837,22 @@ def unit_conversions(spark, d):
     return E.read_events(spark, d).select("seq", *[convert("level", c).alias(n) for n, c in names.items()])
 
 
+@query(f"""with s as (select * from (values {', '.join(f"('{n}', '{u}')" for n, u in signals.SIGNALS)}) t(signal_id, unit)),
+  e as (select case signal_id when 'click' then 'IG' when 'view' then 'BG' else signal_id end as signal_id, count(*) as n from {EVENTS} group by 1)
+  select e.signal_id, n, unit, replace(s.signal_id, '_', ' ') as description from e left join s on e.signal_id = s.signal_id""")
+def signal_names(spark, d):
+    e = routing.map_signal(routing.map_signal(E.read_events(spark, d), "click", "IG"), "view", "BG")
+    return signals.with_names(e, signals.known_signals(spark)).groupBy("signal_id", "unit", "description").agg(F.count("*").alias("n"))
+
+
+@query(f"select segment_id, device_time, seq, 6.66::double as level, 0.36::double as sensitivity, 0.0666::double as ratio from {asked_sql('view')}")
+def constant_models(spark, d):
+    asked = _asked(spark, d)
+    for name, value in (("level", 6.66), ("sensitivity", 0.36), ("ratio", 0.0666)):
+        asked = models.constant(asked, value, name)
+    return asked.select("segment_id", "device_time", "seq", "level", "sensitivity", "ratio")
+
+
 @query("""select o_custkey as segment_id, count(*) as n, avg(o_totalprice / 1000) as avg_level, max(o_totalprice / 1000) as most from orders group by rollup(o_custkey)""")
 def order_levels(spark, d):
     levels = E.read_orders(spark, d)

@@ -14,7 +14,8 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from levelstream.operators import routing, windows
 
@@ -62,3 +63,24 @@ def parse(text: str, variables: dict[str, str] | None = None) -> list[tuple[str,
 def apply(events: DataFrame, text: str, variables: dict[str, str] | None = None) -> DataFrame:
     """``events`` through the chain; Catalyst sees one plan."""
     return reduce(lambda df, step: OPERATORS[step[0]](df, **step[1]), parse(text, variables), events)
+
+
+def optimize(events: DataFrame, text: str, candidates: list[dict[str, str]], metric: Callable[[DataFrame], Column]) -> DataFrame:
+    """(candidate, fitness) for each set of variables, ``fitness`` being an aggregate over what the chain makes of the events.
+
+    The chain is cut before the first operator that has a variable of the candidates: what comes before is the same
+    for all and is kept, the rest is applied for each of them. All are scored in one job, so their number is the
+    caller's and bounds the plan.
+    """
+    names = {n for c in candidates for n in c}
+    steps = parse(text)
+    varies = [any(isinstance(v, str) and names & set(re.findall(r"\$\((\w+)\)", v)) for v in values.values()) for _, values in steps]
+    cut = varies.index(True) if True in varies else len(steps)
+    head = reduce(lambda df, step: OPERATORS[step[0]](df, **step[1]), steps[:cut], events).persist()
+
+    def scored(k: int, values: dict[str, str]) -> DataFrame:
+        body = parse(text, values)[cut:]
+        made = reduce(lambda df, step: OPERATORS[step[0]](df, **step[1]), body, head)
+        return made.agg(metric(made).cast("double").alias("fitness")).select(F.lit(k).cast("long").alias("candidate"), "fitness")
+
+    return reduce(DataFrame.unionByName, [scored(k, c) for k, c in enumerate(candidates)])

@@ -6,7 +6,7 @@ stop marker comes. A stream that has ended gives what the batch operators give o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,40 +41,70 @@ def live_levels(events: DataFrame, delay: str) -> DataFrame:
     return watermarked(events.where(E.is_level()), delay).dropDuplicatesWithinWatermark(["segment_id", "signal_id", "device_time", "seq"])
 
 
-def live_mask(events: DataFrame, signal: str, bits: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """The masking operator with the counter of each segment as state; events of a batch go by time and seq."""
-    bits = bits.replace(" ", "")
+def _in_order(events: DataFrame, signal: str, delay: str, idle: str, start: tuple, types: str, step: Callable) -> DataFrame:
+    """A stateful operator on a signal that sees the levels of each segment by time and seq, whatever order they come in.
+
+    Levels wait in the state until the watermark, ``delay`` behind the latest level of the stream, has passed them;
+    then ``step(state, rows)`` gives the new state and the rows out. All clocks are event time, so a stream that is
+    replayed slowly or fast gives the same. A level that comes later than the watermark is dropped. A level more than
+    ``idle`` after the one before it in its segment begins with the state ``start``; a state that nothing else can
+    follow goes.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        *own, last, micros, seqs, levels = state.get if state.exists else (*start, 0, [], [], [])
+        held = pd.DataFrame({"micros": list(micros), "seq": list(seqs), "level": list(levels)})
+        rows = pd.concat([held, *(b[["micros", "seq", "level"]] for b in batches)]).sort_values(["micros", "seq"], ignore_index=True)
+        mark = state.getCurrentWatermarkMs()
+        ready, rest = rows[rows.micros < mark * 1000], rows[rows.micros >= mark * 1000]
+        if len(ready):
+            gaps = (ready.micros // 1000).diff()
+            gaps.iloc[0] = ready.micros.iloc[0] // 1000 - last
+            made = []
+            for fresh, part in ready.groupby((gaps > idle_ms).cumsum()):
+                own, out = step(start if fresh or gaps.iloc[0] > idle_ms else tuple(own), part)
+                made.append(out)
+            last = int(ready.micros.iloc[-1] // 1000)
+            made = pd.concat(made)
+            made = made.assign(segment_id=key[0], signal_id=signal, device_time=pd.to_datetime(made["micros"], unit="us"))
+            yield made[["segment_id", "signal_id", "device_time", "seq", "level", "event_code"]]
+        if len(rest):
+            wake = int(rest.micros.iloc[0] // 1000) + 1
+        elif last + idle_ms < mark:
+            if state.exists:
+                state.remove()
             return
-        place = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["device_time", "seq"])
-        order = range(place, place + len(rows))
-        rows["event_code"] = [E.MASKED if bits[k % len(bits)] == "0" else E.LEVEL for k in order]
-        state.update(((place + len(rows)) % len(bits),))
-        state.setTimeoutDuration(timeout_ms)
-        yield rows[["segment_id", "signal_id", "device_time", "seq", "level", "event_code"]]
+        else:
+            wake = last + idle_ms
+        state.update((*own, last, rest.micros.astype("int64").tolist(), rest.seq.astype("int64").tolist(), rest.level.astype("float64").tolist()))
+        state.setTimeoutTimestamp(max(wake, mark + 1))
 
-    mine = events.where(E.is_level() & (F.col("signal_id") == signal))
-    return mine.groupBy("segment_id").applyInPandasWithState(run, OUT, "place long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    mine = watermarked(events.where(E.is_level() & (F.col("signal_id") == signal) & F.col("level").isNotNull()), delay)
+    rows = mine.select("segment_id", "at", E.micros().alias("micros"), "seq", "level")
+    held = "last long, micros array<long>, seqs array<long>, levels array<double>"
+    return rows.groupBy("segment_id").applyInPandasWithState(run, OUT, f"{types}, {held}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_mean(events: DataFrame, signal: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """The running mean of a signal's levels in each segment, with count and sum as state."""
+def live_mask(events: DataFrame, signal: str, bits: str, delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """The masking operator with the counter of each segment as state; the counter is 0 again after ``idle`` without a level."""
+    bits = bits.replace(" ", "")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["device_time", "seq"])
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (place,) = state
+        codes = [E.MASKED if bits[k % len(bits)] == "0" else E.LEVEL for k in range(place, place + len(rows))]
+        return ((place + len(rows)) % len(bits),), rows.assign(event_code=codes)
+
+    return _in_order(events, signal, delay, idle, (0,), "place long", step)
+
+
+def live_mean(events: DataFrame, signal: str, delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """The running mean of a signal's levels in each segment, with count and sum as state; both are 0 again after ``idle`` without a level."""
+
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        n, total = state
         sums = total + rows["level"].cumsum()
-        rows["level"] = sums / (n + pd.Series(range(1, len(rows) + 1), index=rows.index))
-        state.update((n + len(rows), float(sums.iloc[-1])))
-        state.setTimeoutDuration(timeout_ms)
-        yield rows[["segment_id", "signal_id", "device_time", "seq", "level", "event_code"]]
+        means = sums / (n + pd.Series(range(1, len(rows) + 1), index=rows.index))
+        return (n + len(rows), float(sums.iloc[-1])), rows.assign(level=means, event_code=E.LEVEL)
 
-    mine = events.where(E.is_level() & (F.col("signal_id") == signal) & F.col("level").isNotNull())
-    return mine.groupBy("segment_id").applyInPandasWithState(run, OUT, "n long, total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _in_order(events, signal, delay, idle, (0, 0.0), "n long, total double", step)

@@ -119,6 +119,8 @@ def test_fitting_finds_a_line(spark):
     assert fitness < 1e-9 and abs(found["gain"] - 2) < 1e-9 and abs(found["bias"] - 1) < 1e-9
     evolved, score = fitting.evolve(rows, {"gain": (0.0, 4.0), "bias": (-3.0, 5.0)}, model, 16, 8)
     assert score < 3
+    flown, score = fitting.swarm(rows, {"gain": (0.0, 4.0), "bias": (-3.0, 5.0)}, model, 16, 8)
+    assert score < 3 and 0 <= flown["gain"] <= 4
 
 
 def test_sensor_line_is_least_squares(spark):
@@ -128,3 +130,88 @@ def test_sensor_line_is_least_squares(spark):
     corrected = {x.seq: x.level for x in models.emulated_sensor(events, "sensed", "cal").collect()}
     assert abs(corrected[4] - 20) < 1e-9
     assert E.signal(events, "cal").count() == 4
+
+
+def test_lag_grows_with_the_level(spark):
+    """On a ramp the lag of the blood model is dt + k i (i - i_h) / h, and the interstitial model finds its way back."""
+    ist = knots(spark, [(m, 5 + m / 100) for m in range(0, 1500, 5)])
+    model = models.Diffusion(k=-2.6e-3)
+    at = lambda m: 5 + m / 100
+    got = models.diffusion_blood(asked(spark, [600]), ist, model).first().value
+    i, back = at(600), at(600 - model.h * 1440)
+    future = at(600 + (model.dt + model.k * i * (i - back) / model.h) * 1440)
+    beta = model.p - model.cg * i
+    assert abs(got - (math.sqrt(beta**2 - 4 * model.cg * (model.c - future)) - beta) / (2 * model.cg)) < 1e-6
+    r = models.diffusion_interstitial(asked(spark, [600, 5000]), ist, ist, model).collect()
+    miss = lambda o: abs(o + model.k / model.h * 86400 * at(600 - model.dt * 1440 + o / 60) * (model.h * 1440 / 100))
+    best = min(range(-900, 901), key=miss)
+    here = at(600 - model.dt * 1440 + best / 60)
+    value = {x.seq: x.value for x in r}
+    assert value[1] is None and abs(value[0] - (model.p * here + model.c)) < 1e-6
+
+
+def test_patterns_are_learnt_over_segments(spark):
+    """A sawtooth of 5-minute levels: what followed a pattern in one segment is told in the next."""
+    levels = [4.0, 4.5, 5.5, 7.0, 6.0, 5.0] * 4
+    one = [(1, "ig", 5 * k, v) for k, v in enumerate(levels)]
+    two = [(2, "ig", 5 * k + 1000, v) for k, v in enumerate(levels[:6])]
+    rows = E.signal(made(spark, one + two), "ig")
+    got = {(r.segment_id, r.seq): r for r in models.pattern_prediction(rows, 10 * models.MINUTE, 5 * models.MINUTE).collect()}
+    state, want = {}, {}
+    order = sorted([(m, i, g, v) for i, (g, _, m, v) in enumerate(one + two)])
+    level = {(g, m): v for m, _, g, v in order}
+    name = lambda a, b, c: next(n for n, test in (("up", a < b < c and abs(c - b) <= abs(b - a)), ("accel", a < b < c), ("concave", a < b), ("convex", a > b and c >= b), ("down", a > b > c and abs(c - b) <= abs(b - a)), ("deccel", a > b > c)) if test)
+    pattern = lambda g, m: None if any((g, m - d) not in level for d in (0, 5, 10)) else (name(*(level[g, m - d] for d in (10, 5, 0))), 31 if level[g, m] >= 13 else math.floor((level[g, m] - 3) * 3 + 0.5))
+    for m, i, g, v in order:
+        if pattern(g, m - 10):
+            state[pattern(g, m - 10)] = v
+        if pattern(g, m):
+            want[g, i] = (*pattern(g, m), state.get(pattern(g, m)))
+    assert {k: (r["shape"], r["band"], r.predicted) for k, r in got.items()} == want
+    assert any(g == 2 and v[2] is not None for (g, _), v in want.items())
+
+
+def test_percentiles_of_hot_groups_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    from levelstream.operators import ranks
+
+    monkeypatch.setattr(ranks, "CELLS", 4)
+    rng = np.random.default_rng(1)
+    rows = [(1, float(x)) for x in rng.integers(0, 30, 500)] + [(2, float(x)) for x in rng.normal(size=50)] + [(3, 7.0), (None, 1.0), (4, None)]
+    got = ranks.percentiles(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", {"p25": 0.25, "p99": 0.99}).collect()
+    assert {r.g for r in got} == {1, 2, 3, None}
+    for r in got:
+        values = [x for g, x in rows if g == r.g and x is not None]
+        assert r.n == len(values) and np.allclose([r.p25, r.p99], np.percentile(values, [25, 99]))
+
+
+def test_fast_error_by_hand(spark):
+    rows = [(1, "ref", 0, 10), (1, "err", 1, 8), (1, "ref", 2, 12), (1, "err", 3, 9), (1, "ref", 4, 11), (2, "ref", 5, 1), (2, "ref", 6, 2), (2, "err", 7, 5)]
+    d = [r.d for r in scores.fast_errors(made(spark, rows), "ref", "err").orderBy("seq").collect()]
+    assert [round(x, 9) for x in d] == [4, 1.5, 2]  # 9 against 13, 11 against 9.5, 5 against 3
+    total = scores.fast_error_total(scores.fast_errors(made(spark, rows), "ref", "err")).first()
+    acc = var = 0.0
+    for n, x in enumerate(d, 1):
+        acc += x
+        div = n - 1.5 + 1 / (8 * (n - 1)) if n > 1.5 else 1.0
+        var += (x - acc / div) ** 2 * (n - 1) / n
+    assert total.n == 3 and abs(total.avg - 2.5) < 1e-12 and abs(total.avg_plus_sd - (acc / div + math.sqrt(var / div))) < 1e-12
+    assert scores.fast_error_total(scores.fast_errors(made(spark, rows), "ref", "err"), 4).first().avg is None
+
+
+def test_solutions_of_several_objectives(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    points = [(1.0, 4.5), (2.0, 2.0), (4.0, 1.3), (3.0, 3.0), (1.0, 4.5), (2.0, None)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "candidate long, a double, b double")
+    assert sorted(r.candidate for r in fitting.front(rows, [], ["a", "b"]).collect()) == [0, 1, 2, 4]
+    assert [r.candidate for r in fitting.front(rows, [], ["a", "b"], "weighted_euclidean").collect()] == [1]
+    pairs = spark.createDataFrame([(list(x), list(y)) for x, y in itertools.product(points, repeat=2)], "x array<double>, y array<double>")
+    for strategy in fitting.STRATEGIES:
+        for r in pairs.select("x", "y", fitting.better(F.col("x"), F.col("y"), 2, strategy).alias("b"), fitting.better(F.col("y"), F.col("x"), 2, strategy).alias("w")).collect():
+            assert r.b is not None and (strategy in ("any",) or None in r.x + r.y or not (r.b and r.w) or strategy == "soft"), (strategy, r)
+            if None not in r.x + r.y and all(p <= q for p, q in zip(r.x, r.y, strict=True)) and r.x != r.y:
+                assert r.b and not r.w, (strategy, r)

@@ -76,3 +76,62 @@ def test_sine_and_cosine(spark):
     ig = [r.level for r in rows if r.signal_id == "IG"]
     assert len(rows) == 3 * 288 and abs(max(ig) - 8) < 0.01 and abs(min(ig) - 4) < 0.01 and abs(rows[0].level - 6) < 1e-12
     assert math.isclose(sum(r.level for r in rows if r.signal_id == "BG"), sum(r.level for r in rows if r.signal_id == "Calibration"))
+
+
+def test_reduced_log_and_files_as_segments(spark, tmp_path):
+    events = made(spark, some(12))
+    for name, part in (("run12.log", "segment_id = 1"), ("b12.log", "segment_id = 2"), ("plain.log", "segment_id < 2")):
+        (tmp_path / "logs").mkdir(exist_ok=True)
+        (tmp_path / "logs" / name).write_text("\n".join(r.value for r in logs.lines(events.where(part), reduced=True).collect()) + "\n")
+    assert all(line.startswith("; ") for line in (tmp_path / "logs" / "plain.log").read_text().split("\n") if line)
+    plain = logs.read_log(spark, str(tmp_path / "logs" / "plain.log"))
+    key = lambda r: (r.event_code, r.signal_id, r.segment_id, r.level, r.device_time)
+    assert sorted(map(key, plain.where("level is not null").collect())) == sorted(map(key, events.where("segment_id < 2").collect()))
+    named = logs.read_log(spark, str(tmp_path / "logs"), file_as_segment=True)
+    # b12 comes first and keeps 12, run12 and plain get the numbers after it; plain has two segments.
+    assert {r.segment_id for r in named.select("segment_id").distinct().collect()} == {12, 13001, 13002, 14}
+    again = logs.read_log(spark, str(tmp_path / "logs"), file_as_segment=True, renumber=True)
+    assert {r.segment_id for r in again.select("segment_id").distinct().collect()} == {1, 2, 3, 4}
+
+
+def test_parameters_as_bytes(spark):
+    import struct
+
+    events = spark.createDataFrame([(E.PARAMETERS, "m", None, 1, None, [1.5, -2.0], None, 1), (E.LEVEL, "x", None, 1, 3.0, None, None, 2)], E.SCHEMA)
+    rows = logs.database_parameters(events).collect()
+    assert [bytes(r.parameters) for r in rows] == [struct.pack("<2d", 1.5, -2.0)] and rows[0].time_segment_id == 1
+
+
+def test_device_intervals_are_resolved(spark):
+    from levelstream.operators import windows
+
+    day = lambda minutes: 19723 + minutes / 1440  # noqa: E731  2024-01-01 in days since 1970
+    rows = [
+        (1, "Requested_Insulin_Basal_Rate", 0, 1.0), (1, "Insulin_Temp_Rate", 10, 0.5), (1, "Insulin_Temp_Rate_Endtime", 10, day(40)), (1, "Physical_Activity", 15, 3.0), (1, "Physical_Activity_Duration", 15, 30 / 1440),
+        (1, "IG", 50, 6.0), (1, "Sleep_Quality", 60, 0.8), (1, "Sleep_Endtime", 60, day(90)), (1, "Insulin_Temp_Rate", 70, 0.2), (1, "Insulin_Temp_Rate_Endtime", 70, day(200)), (1, "Requested_Insulin_Basal_Rate", 80, 2.0), (1, "IG", 95, 6.5),
+    ]
+    got = sorted((int((r.device_time - windows_start()).total_seconds() // 60), r.signal_id, r.level) for r in windows.resolved_intervals(made(spark, rows)).collect())
+    assert got == sorted([
+        (0, "Requested_Insulin_Basal_Rate", 1.0), (10, "Requested_Insulin_Basal_Rate", 0.5), (40, "Requested_Insulin_Basal_Rate", 1.0), (15, "Physical_Activity", 3.0), (45, "Physical_Activity", 1.0),
+        (50, "IG", 6.0), (60, "Sleep_Quality", 0.8), (90, "Sleep_Quality", 0.0), (70, "Requested_Insulin_Basal_Rate", 0.2), (80, "Requested_Insulin_Basal_Rate", 2.0), (95, "IG", 6.5),
+    ])
+
+
+def windows_start():
+    import datetime
+
+    return datetime.datetime(2024, 1, 1)
+
+
+def test_a_folder_of_exports_is_one_stream(spark, tmp_path):
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    (folder / "a.csv").write_text(EXPORT)
+    (folder / "b.txt").write_text("Device,Date,Value\nx,01.01.2024 00:10,7.5\nx,01.01.2024 03:00,6.5\nx,01.01.2024 03:05,6.6\n")
+    (folder / "c.txt").write_text("nothing that is known\n1;2;3\n")
+    layouts = D.read_layouts(LAYOUTS + "[cells]\ncell.0.1 = Time%%Date\ntime = 1\nformat = dd.MM.yyyy HH:mm\nseries.IG = 2\n")
+    rows = D.read_files(spark, str(folder), layouts).collect()
+    levels = sorted((r.segment_id, r.device_time.hour * 60 + r.device_time.minute, r.signal_id, round(r.level, 6)) for r in rows if r.event_code == E.LEVEL)
+    assert levels == [(1, 5, "IG", 10.0), (1, 10, "BG", 6.5), (1, 10, "IG", 7.5), (2, 180, "IG", 6.5), (2, 185, "IG", 6.6)]
+    assert sorted((r.event_code, r.segment_id) for r in rows if r.event_code != E.LEVEL) == [(E.START, 1), (E.START, 2), (E.STOP, 1), (E.STOP, 2)]
+    assert [r.info for r in rows if r.segment_id == 1 and r.signal_id == "IG" and r.device_time.minute == 5] == ["after lunch"]
