@@ -128,7 +128,7 @@ def scan(documents: DataFrame) -> DataFrame:
     covered = found.groupBy("hash", "license").agg(said.alias("covered"))
     sizes = texts.select("hash", F.size("terms").alias("words"))
     own = best.join(covered, ["hash", "license"], "left").join(sizes, "hash").select("hash", "license", "score", "margin", F.coalesce(F.col("covered") / F.col("words"), F.lit(0.0)).alias("share"))
-    own = rows.where(F.regexp_like("text", F.lit(ANCHORED))).select("doc_id", "path", F.xxhash64("text").alias("hash")).join(own, "hash").distinct()
+    own = rows.select("doc_id", "path", F.xxhash64("text").alias("hash")).join(own, "hash").distinct()
     own = materialize(own, "own-licenses")
     for table in (counts, texts, found):
         discard(table)
