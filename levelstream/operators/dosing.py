@@ -52,12 +52,33 @@ def postponed(doses: DataFrame, stops: DataFrame) -> DataFrame:
     return both.withColumn("held", held).where("kind = 1").select("segment_id", F.greatest("device_time", "held").alias("device_time"), "level")
 
 
+def rates_pack(segments: DataFrame, boluses: DataFrame, rates: DataFrame, initial_rate: float, levels: DataFrame, threshold: float, timeout_seconds: float, step_seconds: float) -> DataFrame:
+    """Requests (segment_id, signal_id, device_time, level) of a pack: an initial basal rate, boluses and basal rates by
+    schedule, and a rate of 0 for each suspension by low ``levels``, which puts off what is due meanwhile.
+
+    Boluses and rates have schedules of their own (k, offset_seconds, dose), as scheduled_boluses takes them.
+    """
+    stops = suspensions(levels, threshold, timeout_seconds)
+    first = segments.select("segment_id", E.moved(F.col("start"), step_seconds).alias("device_time"), F.lit(float(initial_rate)).alias("level"))
+    due = lambda schedule: postponed(scheduled_boluses(segments, schedule, step_seconds), stops)
+    named = lambda rows, name: rows.select("segment_id", F.lit(name).alias("signal_id"), "device_time", "level")
+    basal = first.union(due(rates)).union(suspended_rates(levels, threshold, timeout_seconds))
+    return named(basal, "Requested_Insulin_Basal_Rate").union(named(due(boluses), "Requested_Insulin_Bolus"))
+
+
+def basal_and_bolus(events: DataFrame, carbs: str, basal_rate: float, carb_ratio: float) -> DataFrame:
+    """Requests (segment_id, signal_id, device_time, level): the basal rate at a segment's first event, and a bolus of ratio times carbs with each intake."""
+    first = events.groupBy("segment_id").agg(F.min("device_time").alias("device_time"))
+    basal = first.select("segment_id", F.lit("Requested_Insulin_Basal_Rate").alias("signal_id"), "device_time", F.lit(float(basal_rate)).alias("level"))
+    return basal.union(E.signal(events, carbs).select("segment_id", F.lit("Requested_Insulin_Bolus"), "device_time", F.col("level") * carb_ratio))
+
+
 def basal_to_boluses(events: DataFrame, rate: str, minimum: float = 0.05, period_days: float = 5 / 1440) -> DataFrame:
     """Small boluses for a basal rate (units per hour), delivered at event times of the segment.
 
     A period's amount under ``minimum`` prolongs the period. A rise of the amount by more than the minimum gives
     the difference at once; a rate of 0 stops; a rate that is negative or no number changes nothing. A segment's
-    deliveries depend on each other, so a segment is one group.
+    deliveries depend on each other, so its events are held by one task; cut longer ones by ``cut_segments`` before.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

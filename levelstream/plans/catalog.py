@@ -762,6 +762,32 @@ def postponed_doses(spark, d):
     return dosing.postponed(doses, dosing.suspensions(E.signal(e, "click"), 20.0, 2 * E.DAY)).select(F.col("level").cast("long").alias("seq"), "device_time")
 
 
+def _pack_sql(schedule: list[tuple[int, float, float]], signal: str) -> str:
+    """The doses of a schedule in steps of 600 seconds, put off by suspensions."""
+    values = ", ".join(f"({k}, {o}, {x})" for k, o, x in schedule)
+    return f"""select s.segment_id, '{signal}' as signal_id, greatest(s.device_time, coalesce(b.stop, s.device_time)) as device_time, s.level from (select segment_id, start + to_seconds((step * 600)::int) as device_time, dose::double as level
+      from (select segment_id, min(device_time) as start from {EVENTS} group by 1), (select dose, max(greatest(1, ceil(o / 600.0)) - k) over (order by k) + k as step from (values {values}) t(k, o, dose))) s
+      asof left join {_STOPS} b on s.segment_id = b.segment_id and s.device_time >= b.start"""
+
+
+_BOLUSES, _RATES = [(0, 3600.0, 2.0), (1, 3700.0, 3.0), (2, 200000.0, 4.0)], [(0, 7200.0, 0.5), (1, 400000.0, 1.5)]
+
+
+@query(f"""select segment_id, 'Requested_Insulin_Basal_Rate' as signal_id, min(device_time) + interval 10 minute as device_time, 1.0::double as level from {EVENTS} group by 1
+  union all {_pack_sql(_RATES, 'Requested_Insulin_Basal_Rate')} union all select segment_id, 'Requested_Insulin_Basal_Rate', start, 0.0 from {_STOPS} union all {_pack_sql(_BOLUSES, 'Requested_Insulin_Bolus')}""")
+def rates_pack(spark, d):
+    e = E.read_events(spark, d)
+    starts = e.groupBy("segment_id").agg(F.min("device_time").alias("start"))
+    schedule = lambda rows: spark.createDataFrame(rows, "k int, offset_seconds double, dose double")
+    return dosing.rates_pack(starts, schedule(_BOLUSES), schedule(_RATES), 1.0, E.signal(e, "click"), 20.0, 2 * E.DAY, 600.0)
+
+
+@query(f"""select segment_id, 'Requested_Insulin_Basal_Rate' as signal_id, min(device_time) as device_time, 1.2::double as level from {EVENTS} group by 1
+  union all select segment_id, 'Requested_Insulin_Bolus', device_time, level * 0.1 from {EVENTS} where signal_id = 'purchase'""")
+def basal_and_bolus(spark, d):
+    return dosing.basal_and_bolus(E.read_events(spark, d), "purchase", 1.2, 0.1)
+
+
 @query()
 def basal_to_boluses(spark, d):
     return dosing.basal_to_boluses(E.read_events(spark, d), "click", 0.05, 1.0)

@@ -76,3 +76,17 @@ def test_signal_dimension(spark, tmp_path):
     events = made(spark, [(1, "IG", 0, 1), (1, "none", 0, 1)])
     assert {(r.signal_id, r.unit) for r in signals.with_names(events, signals.known_signals(spark)).collect()} == {("IG", "mmol/L"), ("none", None)}
     assert T0 == datetime.datetime(2024, 1, 1)
+
+
+def test_nearest_is_that_of_all_pairs():
+    import numpy as np
+
+    from levelstream.operators import matching
+
+    rng = np.random.default_rng(5)
+    for n, m, spread in ((200, 300, 1.0), (50, 1000, 400.0), (30, 1, 1.0)):
+        times = np.sort(np.round(rng.uniform(0, 50, m), 1))
+        values, t, v = np.round(rng.uniform(0, spread, m)), np.round(rng.uniform(-5, 55, n), 1), np.round(rng.uniform(0, spread, n))
+        gap = np.abs(t[:, None] - times) + np.abs(v[:, None] - values)
+        best, far = matching._nearest(t, v, times, values)
+        assert (best == gap.argmin(axis=1)).all() and np.allclose(far, gap.min(axis=1))
