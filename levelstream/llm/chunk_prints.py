@@ -111,7 +111,8 @@ def document_prints(documents: DataFrame) -> DataFrame:
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the
     next document, ascending doc_id, after the last the first. Documents go by hash of a range of doc_id, in one
     shuffle; the first row of each range goes to the range before it too. Null text is empty; null ids come
-    first; equal ids go by text, repeated rows are all returned; one row alone is its own next document; an empty
+    first; equal ids go by text, repeated rows are all returned; a very long text is one row with as many chunks as it
+    has; one row alone is its own next document; an empty
     table gives an empty one; other columns are ignored.
     """
     spark = documents.sparkSession

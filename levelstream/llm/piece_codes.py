@@ -311,7 +311,8 @@ def encode_documents(documents: DataFrame, model_path: Callable[[], str], dropou
     The ids of the whole text, decoded again: decoded_sha256 is of the decoded text (lowercase hex, UTF-8) and
     lossless says that it is the text. The draws differ by doc_id and by ``copy``, where there is such a column.
     Null text is empty and has no ids; of rows with a null doc_id the draws differ by the text; rows that repeat all
-    of these get equal ids; an empty table gives an empty one; other columns are ignored.
+    of these get equal ids; a very long text is one row of its own; an empty table gives an empty one; other columns are
+    ignored.
     """
     copy = F.col("copy").cast("long") if "copy" in documents.columns else F.lit(0).cast("long")
 
