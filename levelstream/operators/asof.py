@@ -82,3 +82,27 @@ def akima(asked: DataFrame, knots: DataFrame, name: str = "value") -> DataFrame:
     cubic = a["level"] + x * (a["slope"] + x * ((3 * chord - 2 * a["slope"] - b["slope"]) / w + x * (a["slope"] + b["slope"] - 2 * chord) / (w * w)))
     value = F.when(a["slope"].isNull() | b["slope"].isNull(), None).when(a["t"] == b["t"], a["level"]).when(w > 0, cubic)
     return found.withColumn(name, value).drop("before", "after")
+
+
+def plot_curve(asked: DataFrame, knots: DataFrame, name: str = "value") -> DataFrame:
+    """``asked`` with the smooth curve that plots draw: quadratic Bezier arcs over three knots each.
+
+    An arc begins and ends at every second knot and is pulled towards the one between. A time at a knot has its level;
+    there is no curve nearest to the first or the last knot, nor after the last whole arc.
+    """
+    order = Window.partitionBy("segment_id").orderBy("device_time")
+    rows = knots.withColumn("t", micros()).withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("segment_id"))})
+    at = lambda k: F.struct(*[(F.lag(c, -k).over(order) if k < 0 else F.lead(c, k).over(order) if k else F.col(c)).alias(c) for c in ("t", "level")])
+    rows = rows.withColumns({f"k{k + 1}": at(k) for k in (-1, 0, 1, 2)})
+    even = F.col("i") % 2 == 0
+    arc = F.when(even, F.array("k1", "k2", "k3")).otherwise(F.array("k0", "k1", "k2"))
+    rows = rows.select("segment_id", "device_time", "level", "t", "i", "n", arc.alias("arc"))
+    found = bracket(asked, rows, payload=F.struct("t", "level", "i", "n", "arc"))
+    a, b, x = F.col("before"), F.col("after"), micros()
+    p = [a["arc"][k] for k in range(3)]
+    s = (x - p[0]["t"]) / (p[2]["t"] - p[0]["t"])
+    curve = p[0]["level"] * (1 - s) * (1 - s) + 2 * s * (1 - s) * p[1]["level"] + s * s * p[2]["level"]
+    first = x - a["t"] <= b["t"] - x
+    border = (first & (a["i"] == 0)) | (~first & (b["i"] == b["n"] - 1))
+    value = F.when(a["t"] == x, a["level"]).when(b.isNotNull() & ~border, curve)
+    return found.withColumn(name, value).drop("before", "after")

@@ -732,6 +732,16 @@ def fit_evolved(spark, d):
     return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
 
 
+@query(f"""with k as (select *, epoch_us(device_time) as t, row_number() over w - 1 as i, count(*) over (partition by segment_id) as n, lag({{'t': epoch_us(device_time), 'y': level}}) over w as k0, {{'t': epoch_us(device_time), 'y': level}} as k1,
+    lead({{'t': epoch_us(device_time), 'y': level}}) over w as k2, lead({{'t': epoch_us(device_time), 'y': level}}, 2) over w as k3 from {signal_sql('click')} window w as (partition by segment_id order by device_time)),
+  c as (select segment_id, device_time, t, level, i, n, case when i % 2 = 0 then k1 else k0 end as p, case when i % 2 = 0 then k2 else k1 end as q, case when i % 2 = 0 then k3 else k2 end as r from k),
+  j as (select v.segment_id, v.device_time, v.seq, epoch_us(v.device_time) as x, a, b from {asked_sql('view')} v asof left join c a on v.segment_id = a.segment_id and v.device_time >= a.device_time asof left join c b on v.segment_id = b.segment_id and v.device_time <= b.device_time),
+  s as (select *, (x - a.p.t) / (a.r.t - a.p.t) as s, x - a.t <= b.t - x as near_a from j)
+  select segment_id, device_time, seq, case when a.t = x then a.level when b.t is not null and not ((near_a and a.i = 0) or (not near_a and b.i = b.n - 1)) then a.p.y * (1 - s) * (1 - s) + 2 * s * (1 - s) * a.q.y + s * s * a.r.y end as value from s""")
+def plot_curve(spark, d):
+    return asof.plot_curve(_asked(spark, d), _click(spark, d)).select("segment_id", "device_time", "seq", "value")
+
+
 # --- doses and matched levels
 
 

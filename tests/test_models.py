@@ -215,3 +215,11 @@ def test_solutions_of_several_objectives(spark):
             assert r.b is not None and (strategy in ("any",) or None in r.x + r.y or not (r.b and r.w) or strategy == "soft"), (strategy, r)
             if None not in r.x + r.y and all(p <= q for p, q in zip(r.x, r.y, strict=True)) and r.x != r.y:
                 assert r.b and not r.w, (strategy, r)
+
+
+def test_plot_curve_bends_towards_the_middle_knot(spark):
+    points = [(0, 1), (10, 5), (20, 1), (30, 7), (40, 2), (50, 2)]
+    got = {r.seq: r.value for r in asof.plot_curve(asked(spark, [0, 4, 6, 10, 15, 20, 25, 44, 47, 60]), knots(spark, points)).collect()}
+    assert got[0] == 1 and got[1] is None and got[3] == 5 and got[5] == 1 and got[7] is None and got[8] is None and got[9] is None
+    assert abs(got[2] - (0.7**2 + 2 * 0.3 * 0.7 * 5 + 0.3**2)) < 1e-12 and abs(got[4] - (0.25**2 + 2 * 0.75 * 0.25 * 5 + 0.75**2)) < 1e-12
+    assert abs(got[6] - (1 * 0.75**2 + 2 * 0.25 * 0.75 * 7 + 2 * 0.25**2)) < 1e-12
