@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the tables that materialize has written and discard has not deleted.
+_WRITTEN: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -31,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The shuffle files of the write go when it ends, so a long job holds those of one step at a time.
+    The shuffle files of the write go when it ends, so a long job holds those of one step at a time; the setting that
+    does so is changed for the session while it lasts. The table stays until ``discard`` or ``sweep``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/levelstream/{tag}-{uuid.uuid4().hex}"
@@ -41,6 +44,7 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
         df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,13 +53,34 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("row_doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("row_hash")]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     files = table.inputFiles()
     if files:
-        jvm = table.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = os.path.dirname(files[0])
+        _delete(table.sparkSession, folder)
+        _WRITTEN[:] = [path for path in _WRITTEN if os.path.basename(path) != os.path.basename(folder)]
+
+
+def written() -> frozenset[str]:
+    """The tables that ``materialize`` has written so far."""
+    return frozenset(_WRITTEN)
+
+
+def sweep(spark: SparkSession, before: frozenset[str], keep: list[DataFrame]) -> None:
+    """Delete the tables written since ``before`` but ``keep``: nothing may read them any more.
+
+    The result of an operator reads such tables until it is written itself.
+    """
+    kept = {os.path.basename(os.path.dirname(f)) for table in keep for f in table.inputFiles()[:1]}
+    for path in [p for p in _WRITTEN if p not in before and os.path.basename(p) not in kept]:
+        _delete(spark, path)
+        _WRITTEN.remove(path)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 WINDOW, STEP = 48, 36
 THRESHOLD = 0.7
@@ -369,9 +369,11 @@ def fit(documents: DataFrame, labels: DataFrame, seed: int = 10) -> Network:
         if held[r.toxic] + r["count"] <= SAMPLE_WINDOWS[r.toxic]:
             held[r.toxic] += r["count"]
             taken.add(r.doc_id)
+    chosen_windows = windows
     if len(taken) < len(rows):
-        windows = windows.join(F.broadcast(documents.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")), "doc_id")
-    found = windows.select("doc_id", "toxic", "start", "words").toPandas().sort_values(["doc_id", "start"])
+        chosen_windows = windows.join(F.broadcast(documents.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")), "doc_id")
+    found = chosen_windows.select("doc_id", "toxic", "start", "words").toPandas().sort_values(["doc_id", "start"])
+    discard(windows)
     sample: dict[int, tuple[list[list[str]], int]] = {}
     pool: dict[str, str] = {}  # one string for each word, however often it comes
     for doc, toxic, _, words in found.itertuples(index=False, name=None):

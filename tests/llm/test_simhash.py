@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from levelstream.llm import simhash as S
-from levelstream.llm.shared import components
+from levelstream.llm.shared import components, materialize, sweep, written
 
 
 def brute_print(text):
@@ -92,3 +92,13 @@ def test_long_text_slices(monkeypatch):
     monkeypatch.setattr(S, "_SLICE", 100)
     assert S.fingerprint(text.encode()) == whole == brute_print(text)
     assert np.uint64(whole).dtype == np.uint64
+
+
+def test_sweep_keeps_what_is_kept(spark):
+    old = materialize(spark.range(5), "old")
+    before = written()
+    a, b = (materialize(spark.range(5), "kept") for _ in range(2))
+    sweep(spark, before, [a])
+    assert a.count() == old.count() == 5
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|READ_FILE"):
+        b.count()
