@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from levelstream.llm import mixing, piece_codes, simhash, substring_dedup, toxicity
-from levelstream.llm.shared import materialize, row_key
+from levelstream.llm.shared import discard, materialize, row_key, sweep, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -78,7 +78,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on the whole documents; the tables of a stage, and its input, are deleted when its result is written."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = written()
+        docs, last = materialize(stage(spark, docs, sf_dir), name), made
+        sweep(spark, before, [docs])
+        if last is not None:
+            discard(last)
+        made = docs
     return STAGES[-1][1](spark, docs, sf_dir)
