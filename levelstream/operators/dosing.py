@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from . import events as E
 
 
+#: Doses of a schedule at most: it goes to every task.
+MOST_DOSES = 10_000
+
+
 def scheduled_boluses(segments: DataFrame, schedule: DataFrame, step_seconds: float) -> DataFrame:
     """Doses of a schedule (k, offset_seconds, dose; k from 0) in each segment (segment_id, start).
 
     Time goes in steps; a step delivers one dose at most, in the schedule's order, the first step at or after its
     offset that is free: step n of dose k is the greatest of ceil(offset j / step) + k - j over j <= k.
     """
-    order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # the schedule is a parameter of a few rows
+    if schedule.limit(MOST_DOSES + 1).count() > MOST_DOSES:
+        raise ValueError(f"a schedule has up to {MOST_DOSES} doses")
+    order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     first = F.greatest(F.lit(1), F.ceil(F.col("offset_seconds") / step_seconds))
     steps = schedule.withColumn("step", F.max(first - F.col("k")).over(order) + F.col("k"))
     rows = segments.join(F.broadcast(steps))
