@@ -49,8 +49,10 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()], np.uint64)
+        texts = batch.column(0).cast(pa.binary())
+        prints = np.array([fingerprint(t or b"") for k in range(0, len(texts), 250) for t in texts.slice(k, 250).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], [*batch.schema.names[1:], "print"])
+    pa.default_memory_pool().release_unused()  # the worker process lives on
 
 
 def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

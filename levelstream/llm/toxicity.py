@@ -32,7 +32,7 @@ SHRINK = 5.0
 #: Rounds at least, and steps at least (small samples get more rounds); of STUDY documents one only places the threshold.
 ROUNDS, STEPS, BATCH, RATE, STUDY = 6, 600, 64, 0.02, 5
 #: Words whose features a worker process remembers, from task to task.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„"
 
 
@@ -279,15 +279,15 @@ class Scorer:
 
     def _forget(self):
         self.number: dict[str, int] = {}
-        self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.gates = np.zeros((REMEMBERED + 1, 6 * HIDDEN), np.float32)
 
     def _learn(self, words: set[str]):
         fresh = sorted(words)
         if not fresh:
             return
         n = len(self.number) + 1
-        while len(self.gates) < n + len(fresh):
-            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+        if len(self.gates) < n + len(fresh):  # more words in one step than are remembered
+            self.gates = np.concatenate([self.gates, np.zeros((n + len(fresh) - len(self.gates), 6 * HIDDEN), np.float32)])
         self.gates[n : n + len(fresh)] = self.net.project(self.net.vectors([clean(w) for w in fresh]))
         self.number.update(zip(fresh, range(n, n + len(fresh)), strict=True))
 
@@ -397,8 +397,10 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
         scorer = net.scorer = getattr(net, "scorer", None) or Scorer(net)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            values = np.concatenate([scorer.scores([t or "" for t in texts.slice(k, 250).to_pylist()]) for k in range(0, batch.num_rows, 250)]) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
+            for k in range(0, batch.num_rows, 250):
+                values = scorer.scores([t or "" for t in texts.slice(k, 250).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 250).columns, pa.array(values, pa.float64())], [*batch.schema.names, "toxicity"])
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.schema.fields)
     return documents.mapInArrow(run, f"{schema}toxicity double")
