@@ -133,7 +133,12 @@ def _fitness(inputs: DataFrame, names: list[str], model: Column) -> Callable:
 
 
 def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1) -> tuple[dict[str, float], float]:
-    """Differential evolution: each round scores all trials in one job; a trial replaces its parent if it is better."""
+    """Differential evolution that adapts itself: each round scores all trials in one job, and a trial replaces its parent if it is better.
+
+    A candidate has its own way of making trials (from the best, from a random one, from itself towards the best or towards a
+    random one, with one or two differences), factor and share of crossed parameters. It keeps them while its trials
+    win and draws others when they lose.
+    """
     import numpy as np
 
     rng, names = np.random.default_rng(seed), list(bounds)
@@ -141,15 +146,20 @@ def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Col
     fitness = _fitness(inputs, names, model)
     people = low + rng.random((size, len(names))) * (high - low)
     score = fitness(people)
+    draw = lambda n: (rng.integers(0, 6, n), rng.uniform(0.4, 0.9, n), rng.uniform(0.5, 1.0, n))
+    way, factor, crossed = draw(size)
     for _ in range(rounds):
-        lead = people[np.argmin(score)]
-        a, b = people[rng.permutation(size)], people[rng.permutation(size)]
-        trial = people + 0.5 * (lead - people) + rng.uniform(0.4, 0.9, (size, 1)) * (a - b)
-        cross = rng.random(people.shape) < 0.8
+        lead, f = people[np.argmin(score)], factor[:, None]
+        a, b, c, d, e = (people[rng.permutation(size)] for _ in range(5))
+        made = [lead + f * (a - b), c + f * (a - b), people + f * (lead - people) + f * (a - b), people + f * (c - people) + f * (a - b), lead + f * (a - b) + f * (c - d), e + f * (a - b) + f * (c - d)]
+        trial = np.choose(way[:, None], made)
+        cross = rng.random(people.shape) < crossed[:, None]
+        cross[np.arange(size), rng.integers(0, len(names), size)] = True
         trial = np.clip(np.where(cross, trial, people), low, high)
         got = fitness(trial)
         better = got < score
         people[better], score[better] = trial[better], got[better]
+        way[~better], factor[~better], crossed[~better] = draw(int((~better).sum()))
     k = int(np.argmin(score))
     return dict(zip(names, people[k].tolist(), strict=True)), float(score[k])
 
