@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_prints, embedding_dedup, license_scan, mixing, piece_codes, simhash, substring_dedup, token_files, toxicity
+from . import chat_format, chunk_prints, embedding_dedup, license_scan, mixing, piece_codes, simhash, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_simhash": simhash.query,
     "op10_toxicity": toxicity.query,
+    "op13_url_filter": url_filter.query,
 }
 
-ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE}
+ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op13_url_filter": url_filter.ORACLE}
