@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, chunk_prints, embedding_dedup, license_scan, mixing, piece_codes, ranked_search, simhash, substring_dedup, token_files, toxicity, url_filter
+from . import chat_format, chunk_prints, embedding_dedup, hard_negatives, license_scan, mixing, piece_codes, ranked_search, simhash, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_toxicity": toxicity.query,
     "op11_ranked_search": ranked_search.query,
+    "op12_hard_negatives": hard_negatives.query,
     "op13_url_filter": url_filter.query,
 }
 
-ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_chat_format": chat_format.ORACLE, "op4_embedding_dedup": embedding_dedup.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_url_filter": url_filter.ORACLE}
