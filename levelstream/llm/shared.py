@@ -48,6 +48,17 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 1 in ``order``: a distributed sort, then one count a partition on the driver."""
+    spark = df.sparkSession
+    rows = materialize(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright(name, 33)
+    sizes = sorted((r.part, r["count"]) for r in rows.groupBy(part.alias("part")).count().collect())
+    before = [(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)]
+    starts = spark.createDataFrame(before, "part long, before long")
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn(name, F.col("before") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, name)
+
+
 def row_key() -> list[Column]:
     """(row_doc, row_hash): what tells rows (doc_id, text) apart; neither is ever null."""
     return [F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("row_doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("row_hash")]

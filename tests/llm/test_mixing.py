@@ -1,9 +1,14 @@
+import heapq
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from levelstream.llm import mixing as M
+from levelstream.llm.shared import numbered
 
 
 def brute_targets(rows):
@@ -87,13 +92,60 @@ def test_repeated_rows_and_null_ids_are_mixed(spark):
     assert got.where("doc_id is null").count() > 0
 
 
-def test_apportionment_is_sainte_lague(spark):
-    weights = [53, 24, 23, 7, 7, 1, 0]
-    cells = spark.createDataFrame([(g, i, w, cap, n) for g, cap, n in ((0, 100, 15), (1, 100, 1), (2, 5, 20)) for i, w in enumerate(weights)], "g int, cell int, w long, cap long, n long")
-    got = {(r.g, r.cell): r.quota for r in M.apportion(cells, ["g"], "w", "cap", F.col("n")).collect()}
-    for g, cap, n in ((0, 100, 15), (1, 100, 1), (2, 5, 20)):
-        seats = sorted(((-w / (2 * k - 1), i) for i, w in enumerate(weights) for k in range(1, cap + 1) if w), key=lambda x: x)[:n]
-        assert [got[g, i] for i in range(7)] == [sum(s[1] == i for s in seats) for i in range(7)], g
+def by_heap(weights, caps, seats):
+    """The plain way: the highest of the next quotients wins, of equals the first cell."""
+    got = [0] * len(weights)
+    heap = [(-w, i) for i, (w, cap) in enumerate(zip(weights, caps, strict=True)) if w > 0 and cap > 0]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, i = heapq.heappop(heap)
+        got[i] += 1
+        if got[i] < caps[i]:
+            heapq.heappush(heap, (-(weights[i] / (2 * got[i] + 1)), i))
+    return got
+
+
+def test_apportionment_is_sainte_lague():
+    rng, sets = random.Random(4), []
+    for _ in range(2000):
+        n = rng.choice([1, 2, 3, 7, 30])
+        kind = rng.randrange(4)
+        weights = [rng.choice([0.0, 1.0, 5.0]) if kind == 0 else float(rng.randrange(1, 60)) if kind == 1 else rng.random() ** 8 * 1000 if kind == 2 else rng.choice([1e-9, 1.0, 1e9]) for _ in range(n)]
+        sets.append((weights, [rng.choice([1, 2, 5, 1000]) for _ in range(n)], rng.choice([0, 1, 3, 17, 200])))
+    sets += [([1000.0] + [0.625] * 2000, [10**6] * 2001, 2250), ([5.0, 1.0], [5, 100], 50)]
+    start = np.cumsum([0, *[len(w) for w, _, _ in sets]])[:-1]
+    got = M.sainte_lague(start, np.concatenate([w for w, _, _ in sets]), np.concatenate([c for _, c, _ in sets]), np.array([n for *_, n in sets]))
+    for a, (weights, caps, seats) in zip(start, sets, strict=True):
+        assert got[a : a + len(weights)].tolist() == by_heap(weights, caps, seats)
+    assert got[start[-2]] == 800 and got[start[-1] :].sum() == 50
+
+
+@pytest.mark.parametrize("seats", [0, 1, 2250, 10**9])
+def test_sources_are_apportioned_by_counts(spark, seats):
+    weights = [1000.0] + [0.625] * 900 + [0.0, 3.5]
+    caps = [10**6] + [2] * 902
+    table = spark.createDataFrame([(i + 1, w, c) for i, (w, c) in enumerate(zip(weights, caps, strict=True))], "cell long, w double, cap long").repartition(3)
+    got = {r.cell: r.quota for r in M.apportion_sources(table, "w", "cap", seats).collect()}
+    want = by_heap(weights, caps, min(seats, 10**4)) if seats < 10**9 else [c if w else 0 for w, c in zip(weights, caps, strict=True)]
+    assert {c: q for c, q in got.items() if q} == {i + 1: q for i, q in enumerate(want) if q}
+
+
+def test_many_small_sources(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 41)), f"s{i}") for i in range(2000)] + [(9000 + i, "big " * 320, "t") for i in range(100)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    near = [abs(r.taken - r.target) <= max(1, r.source_size / M.FINE) for r in got]
+    assert sum(near) >= 0.99 * len(got) and all(abs(r.taken - r.target) <= M.BLOCK for r in got if r.source != "t")
+    assert abs(sum(r.taken for r in got) / sum(r.target for r in got) - 1) < 0.01
+    assert all(r.taken == 2 * r.source_size for r in got if r.target == 2 * r.source_size)
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.range(0, 1000, 1, 7).select(F.xxhash64("id").alias("v"))
+    got = numbered(rows, [F.col("v").desc()], "place").collect()
+    assert [r.v for r in sorted(got, key=lambda r: r.place)] == sorted((r.v for r in got), reverse=True) and {r.place for r in got} == set(range(1, 1001))
 
 
 def test_edges(spark, no_docs):
