@@ -128,7 +128,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     a label are dealt into tiles of about TILE by hash, and each two tiles meet in a task, which returns sums and
     a forest, never its pairs. Vectors that are null, empty, zero or hold a null or a component that is not
     finite, and rows with a null label, link with nothing; vectors of other dimensions are not compared. A
-    repeated vec_id with equal vector counts as two vectors; an empty table gives an empty one; other columns
+    repeated vec_id with equal vector counts as two vectors; a null vec_id links like any other and is the smallest
+    only where it is alone; an empty table gives an empty one; other columns
     are ignored.
     """
     value = F.col("embedding")
@@ -161,7 +162,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     known = known.join(least, "root").select("label", "embedding", "n_links", "component_id")
     joined = rows.join(known, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

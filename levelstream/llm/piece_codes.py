@@ -305,16 +305,17 @@ def _encoder(path: str, dropout: float, seed: int) -> Encoder:
     return Encoder(Model(path), dropout, seed)
 
 
-def encode_documents(documents: DataFrame, model_path: Callable[[], str], dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+def encode_documents(documents: DataFrame, model_path: Callable[[], str], dropout: float = DROPOUT, seed: int = SEED, copy: str | None = None) -> DataFrame:
     """Per row: doc_id, n_chars, n_tokens, ids, ids_crc32, decoded_sha256, lossless.
 
     The ids of the whole text, decoded again: decoded_sha256 is of the decoded text (lowercase hex, UTF-8) and
-    lossless says that it is the text. The draws differ by doc_id and by ``copy``, where there is such a column.
+    lossless says that it is the text. The draws differ by doc_id and by the whole numbers of the
+    column that ``copy`` names.
     Null text is empty and has no ids; of rows with a null doc_id the draws differ by the text; rows that repeat all
     of these get equal ids; a very long text is one row of its own; an empty table gives an empty one; other columns are
     ignored.
     """
-    copy = F.col("copy").cast("long") if "copy" in documents.columns else F.lit(0).cast("long")
+    number = F.lit(0).cast("long") if copy is None else F.col(copy).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_path(), dropout, seed)
@@ -335,7 +336,7 @@ def encode_documents(documents: DataFrame, model_path: Callable[[], str], dropou
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "lossless"])
 
-    return documents.select("doc_id", "text", copy.alias("copy")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return documents.select("doc_id", "text", number.alias("copy")).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def piece_bpe() -> str:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,54 @@ from pyspark.sql import functions as F
 #: Folders of the tables that materialize has written and discard has not deleted.
 _WRITTEN: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The innermost scope of this thread.
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
+_WRITES, _BEFORE = threading.Lock(), []
+
+
+class Scope:
+    """The tables that ``materialize`` writes while a ``scope`` is open in this thread."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """A table of ``materialize`` that stays when the scope ends."""
+        own = {os.path.basename(os.path.dirname(f)) for f in table.inputFiles()[:1]}
+        self.paths = [p for p in self.paths if os.path.basename(p) not in own]
+        return table
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Deletes at its end the tables that were written in it, by this thread and for no scope inside, but those kept.
+
+    The result of an operator reads such tables until it is written itself, so write it inside. Other callers, in
+    other threads too, keep theirs.
+    """
+    own = Scope()
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
+        for path in own.paths:
+            _delete(spark, path)
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write go when it ends; the setting is put back when the last write at a time has ended."""
+    with _WRITES:
+        _BEFORE.append(_BEFORE[-1] if _BEFORE else spark.conf.get(_CLEANUP, "false"))
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _WRITES:
+            before = _BEFORE.pop()
+            if not _BEFORE:
+                spark.conf.set(_CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,17 +84,15 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The shuffle files of the write go when it ends, so a long job holds those of one step at a time; the setting that
-    does so is changed for the session while it lasts. The table stays until ``discard`` or ``sweep``.
+    A long job holds the shuffle files of one step at a time. The table stays until ``discard``, or until the
+    ``scope`` ends in which it was written.
     """
-    spark = df.sparkSession
+    spark, own = df.sparkSession, _SCOPE.get()
     path = f"{shared_folder(spark)}/levelstream/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    if own is not None:
+        own.paths.append(path)
+    with _shuffle_files_go(spark):
         df.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -46,3 +46,9 @@ def test_bound_holds_and_empty(spark):
     gap = np.abs((q.astype(int) @ q.T.astype(int)) * s[:, None] * s - x @ x.T)
     assert (gap <= e[:, None] + e + e[:, None] * e + 1e-12).all()
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_null_ids(spark):
+    rows = [(None, [1.0, 0.0], 1), (5, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (None, None, 1), (7, [0.0, 1.0], None)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("5", 1, "5", True), ("7", 0, "7", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 1, "5", False)]

@@ -107,7 +107,7 @@ def test_every_place_document_and_copy_has_its_own_draws(spark, model):
     assert len(lines) > 4
     text = "acknowledged misunderstanding " * 20
     rows = [(1, text, 0), (3, text, 0), (1, text, 1), (1, text, 0), (None, text, 0), (None, text + "x", 0)]
-    got = [tuple(r.ids) for r in P.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, copy int").coalesce(1), P.piece_bpe).collect()]
+    got = [tuple(r.ids) for r in P.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, copy int").coalesce(1), P.piece_bpe, copy="copy").collect()]
     assert got[0] == got[3] and len(set(got)) == 5
 
 
@@ -118,3 +118,9 @@ def test_the_pipeline_tells_copies_apart(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", len(text))] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.pieces(spark, docs, "").collect()
     assert len({tuple(r.ids) for r in got}) == 2 and all(r.lossless for r in got)
+
+
+def test_other_columns_are_ignored(spark):
+    rows = [(1, "some words", "no number"), (1, "some words", None)]
+    got = P.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, copy string"), P.piece_bpe).collect()
+    assert got[0] == got[1] and got[0].lossless
