@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from levelstream.llm import mixing, piece_codes, simhash, substring_dedup, toxicity
-from levelstream.llm.shared import discard, materialize, row_key, sweep, written
+from levelstream.llm.shared import discard, materialize, row_key, scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,7 +62,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     differ in the merges they skip. Rows without a doc_id are numbered by text; null text has no pieces.
     """
     same = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.col("n_chars").desc(), "text")
-    return piece_codes.encode_documents(docs.withColumn("copy", F.row_number().over(same)), piece_codes.piece_bpe)
+    return piece_codes.encode_documents(docs.withColumn("copy", F.row_number().over(same)), piece_codes.piece_bpe, copy="copy")
 
 
 STAGES = [
@@ -81,9 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on the whole documents; the tables of a stage, and its input, are deleted when its result is written."""
     docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        before = written()
-        docs, last = materialize(stage(spark, docs, sf_dir), name), made
-        sweep(spark, before, [docs])
+        with scope(spark) as own:
+            docs, last = own.keep(materialize(stage(spark, docs, sf_dir), name)), made
         if last is not None:
             discard(last)
         made = docs
