@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of the tables that materialize has written and discard has not deleted.
-_WRITTEN: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The innermost scope of this thread.
 _SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
@@ -93,7 +91,6 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None) -> Data
         own.paths.append(path)
     with _shuffle_files_go(spark):
         df.write.parquet(path, compression=compression)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -122,25 +119,7 @@ def discard(table: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     files = table.inputFiles()
     if files:
-        folder = os.path.dirname(files[0])
-        _delete(table.sparkSession, folder)
-        _WRITTEN[:] = [path for path in _WRITTEN if os.path.basename(path) != os.path.basename(folder)]
-
-
-def written() -> frozenset[str]:
-    """The tables that ``materialize`` has written so far."""
-    return frozenset(_WRITTEN)
-
-
-def sweep(spark: SparkSession, before: frozenset[str], keep: list[DataFrame]) -> None:
-    """Delete the tables written since ``before`` but ``keep``: nothing may read them any more.
-
-    The result of an operator reads such tables until it is written itself.
-    """
-    kept = {os.path.basename(os.path.dirname(f)) for table in keep for f in table.inputFiles()[:1]}
-    for path in [p for p in _WRITTEN if p not in before and os.path.basename(p) not in kept]:
-        _delete(spark, path)
-        _WRITTEN.remove(path)
+        _delete(table.sparkSession, os.path.dirname(files[0]))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
