@@ -6,11 +6,11 @@ and levels are divided where an operator expects mmol/L.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelstream.functions.units import convert
-from levelstream.operators import asof, dosing, fitting, matching, metrics, models, routing, scores, windows
+from levelstream.operators import asof, calculated, dosing, fitting, matching, metrics, models, routing, scores, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs, signals
@@ -895,6 +895,62 @@ def order_levels(spark, d):
     return levels.rollup("segment_id").agg(F.count("*").alias("n"), F.avg("level").alias("avg_level"), F.max("level").alias("most"))
 
 
+# --- parameters that travel in the stream
+
+
+def _with_parameters(spark, d) -> DataFrame:
+    """The events with each purchase as a parameter vector (gain, bias) of the signal ``estimate``."""
+    events = E.read_events(spark, d)
+    level = F.col("level")
+    vectors = events.where("signal_id = 'purchase' and level is not null").withColumns({
+        "event_code": F.lit(E.PARAMETERS), "signal_id": F.lit("estimate"), "parameters": F.array(0.5 + level / 1000, level / 100), "level": F.lit(None).cast("double"),
+    })
+    return events.unionByName(vectors)
+
+
+def _gain_and_bias(p: Column, x: dict[str, Column]) -> Column:
+    return p[0] * x["past"] + p[1]
+
+
+_VECTORS = "(select user_id as segment_id, ts as device_time, max(event_id) as seq, max_by(value, event_id) as v from events where event_type = 'purchase' and value is not null group by 1, 2)"
+_ASKED_TIMES = """(select segment_id, due, min(asked_at) as asked_at from (
+  select user_id as segment_id, ts + interval 1 day as due, ts as asked_at from events where event_type in ('click', 'view') and value is not null
+  union all select user_id, ts, ts from events where event_type = 'view' and value is not null) group by 1, 2)"""
+
+
+@query(f"""with q as (select *, due - interval 1 day as device_time from {_ASKED_TIMES}), k as {signal_sql('click')},
+  x as (select q.segment_id, due, greatest(asked_at, b.device_time) as known_at, case when a.device_time = b.device_time then a.level else
+      a.level + (epoch_us(q.device_time) - epoch_us(a.device_time)) * ((b.level - a.level) / (epoch_us(b.device_time) - epoch_us(a.device_time))) end as past
+    from q asof join k a on q.segment_id = a.segment_id and q.device_time >= a.device_time asof join k b on q.segment_id = b.segment_id and q.device_time <= b.device_time)
+  select x.segment_id, due as device_time, coalesce(0.5 + v / 1000, 1.0) as gain, coalesce(v / 100, 0.0) as bias, coalesce(0.5 + v / 1000, 1.0) * past + coalesce(v / 100, 0.0) as level
+  from x asof left join {_VECTORS} p on x.segment_id = p.segment_id and x.known_at >= p.device_time""")
+def calculated_levels(spark, d):
+    found = calculated.calculate(_with_parameters(spark, d), "estimate", {"past": ("click", 1.0)}, _gain_and_bias, [1.0, 0.0], "view", 1.0)
+    return found.select("segment_id", "device_time", F.col("parameters")[0].alias("gain"), F.col("parameters")[1].alias("bias"), "level")
+
+
+def _hints(spark, d) -> DataFrame:
+    events = _with_parameters(spark, d)
+    rows = _pairs(spark, d).withColumnRenamed("calculated", "past")
+    return calculated.hint_fitness(rows, calculated.parameters_of(events, "estimate"), _gain_and_bias, ["past"], [1.0, 0.0])
+
+
+_HINTS_SQL = f"""(select p.segment_id, h.seq, h.device_time, gain, bias, count(*) as n, avg(abs(expected - (gain * calculated + bias))) as fitness from {PAIRS} p join (
+    select user_id as segment_id, event_id as seq, ts as device_time, 0.5 + value / 1000 as gain, value / 100 as bias from events where event_type = 'purchase' and value is not null
+    union all select distinct user_id, null, null, 1.0, 0.0 from events) h on p.segment_id = h.segment_id group by all)"""
+
+
+@query(f"select segment_id, seq, gain, bias, n, fitness from {_HINTS_SQL} qualify row_number() over (partition by segment_id order by fitness, device_time nulls last, seq) = 1")
+def best_hints(spark, d):
+    return calculated.best_hints(_hints(spark, d)).select("segment_id", "seq", F.col("parameters")[0].alias("gain"), F.col("parameters")[1].alias("bias"), "n", "fitness")
+
+
+@query(f"""select segment_id, seq, device_time, gain, bias, fitness from (select *, min(fitness) over (partition by segment_id order by device_time nulls first, seq rows between unbounded preceding and 1 preceding) as least from {_HINTS_SQL})
+  where seq is not null and fitness < least""")
+def improving_parameters(spark, d):
+    return calculated.improving(_hints(spark, d)).select("segment_id", "seq", "device_time", F.col("parameters")[0].alias("gain"), F.col("parameters")[1].alias("bias"), "fitness")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
