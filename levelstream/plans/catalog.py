@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelstream.functions.units import convert
-from levelstream.operators import asof, calculated, dosing, fitting, matching, metrics, models, routing, scores, windows
+from levelstream.operators import asof, calculated, dosing, fitting, matching, metrics, models, routing, scores, segment_fits, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs, signals
@@ -940,9 +940,9 @@ _HINTS_SQL = f"""(select p.segment_id, h.seq, h.device_time, gain, bias, count(*
     union all select distinct user_id, null, null, 1.0, 0.0 from events) h on p.segment_id = h.segment_id group by all)"""
 
 
-@query(f"select segment_id, seq, gain, bias, n, fitness from {_HINTS_SQL} qualify row_number() over (partition by segment_id order by fitness, device_time nulls last, seq) = 1")
+@query(f"select segment_id, coalesce(seq, -1) as seq, gain, bias, n, fitness from {_HINTS_SQL} qualify row_number() over (partition by segment_id order by fitness, device_time nulls last, seq) = 1")
 def best_hints(spark, d):
-    return calculated.best_hints(_hints(spark, d)).select("segment_id", "seq", F.col("parameters")[0].alias("gain"), F.col("parameters")[1].alias("bias"), "n", "fitness")
+    return calculated.best_hints(_hints(spark, d)).select("segment_id", F.coalesce("seq", F.lit(-1).cast("long")).alias("seq"), F.col("parameters")[0].alias("gain"), F.col("parameters")[1].alias("bias"), "n", "fitness")
 
 
 @query(f"""select segment_id, seq, device_time, gain, bias, fitness from (select *, min(fitness) over (partition by segment_id order by device_time nulls first, seq rows between unbounded preceding and 1 preceding) as least from {_HINTS_SQL})
@@ -951,6 +951,87 @@ def improving_parameters(spark, d):
     return calculated.improving(_hints(spark, d)).select("segment_id", "seq", "device_time", F.col("parameters")[0].alias("gain"), F.col("parameters")[1].alias("bias"), "fitness")
 
 
+# --- fits of every segment at once
+
+_LINE = {"gain": (0.0, 2.0), "bias": (-100.0, 200.0)}
+
+
+def _line_model(p: dict[str, Column]) -> Column:
+    return p["gain"] * F.col("calculated") + p["bias"]
+
+
+def _error_sql(gain: str, bias: str) -> str:
+    return f"avg((expected - (({gain}) * calculated + ({bias}))) ^ 2)"
+
+
+_FITTED_SQL = "select segment_id, gain, bias, count(*) as n, sqrt(avg((expected - (gain * calculated + bias)) ^ 2)) as fitness from p join {} using (segment_id) group by all"
+
+
+def _scan_sql(steps: int, generations: int) -> str:
+    parts, last = [f"p as materialized (select * from {PAIRS})", "s0 as (select distinct segment_id, 0.0::double as gain, -100.0::double as bias from p)"], "s0"
+    for k in range(generations):
+        for name, (low, high) in _LINE.items():
+            values = [low + (high - low) * i / steps for i in range(steps + 1)]
+            errors = ", ".join(_error_sql(*(f"{v!r}::double" if n == name else n for n in _LINE)) for v in values)
+            parts += [
+                f"t{k}{name} as materialized (select segment_id, gain, bias, {_error_sql('gain', 'bias')} as held, [{errors}] as e from p join {last} using (segment_id) group by all)",
+                f"s{k}{name} as materialized (select segment_id, {', '.join(f'case when list_min(e) < held then {values!r}[list_position(e, list_min(e))] else {n} end as {n}' if n == name else n for n in _LINE)} from t{k}{name})",
+            ]
+            last = f"s{k}{name}"
+    return f"with {', '.join(parts)} {_FITTED_SQL.format(last)}"
+
+
+@query(_scan_sql(8, 2))
+def fit_scanned(spark, d):
+    return segment_fits.scan(_pairs(spark, d), _LINE, _line_model, ["segment_id"], 8, 2)
+
+
+def _ternary_sql(rounds: int, generations: int) -> str:
+    parts, last = [f"p as materialized (select * from {PAIRS})", "s0 as (select distinct segment_id, 1.0::double as gain, 50.0::double as bias from p)"], "s0"
+    for k in range(generations):
+        for name, (low, high) in reversed(_LINE.items()):
+            own = f"r{k}{name}"
+            parts.append(f"{own}0 as materialized (select *, {low}::double as low, {high}::double as high from {last})")
+            for r in range(rounds):
+                points = ["low + (high - low) / 3", "low + 2 * ((high - low) / 3)", name]
+                errors = ", ".join(_error_sql(*(x if n == name else n for n in _LINE)) + f" as {e}" for e, x in zip(("e1", "e2", "e3"), points, strict=True))
+                parts.append(f"{own}{r}e as materialized (select segment_id, gain, bias, low, high, {errors} from p join {own}{r} using (segment_id) group by all)")
+                parts.append(f"""{own}{r + 1} as materialized (select segment_id, gain, bias, case when e1 < e2 then low else {points[0]} end as low, case when e2 < e1 then high else {points[1]} end as high from {own}{r}e)""")
+            at, error = f"case when e1 < e2 then {points[0]} else {points[1]} end", "case when e1 < e2 then e1 else e2 end"
+            parts.append(f"s{k}{name} as materialized (select segment_id, {', '.join(f'case when {error} < e3 then {at} else {n} end as {n}' if n == name else n for n in _LINE)} from {own}{rounds - 1}e)")
+            last = f"s{k}{name}"
+    return f"with {', '.join(parts)} {_FITTED_SQL.format(last)}"
+
+
+@query(_ternary_sql(8, 1))
+def fit_contracted(spark, d):
+    return segment_fits.ternary(_pairs(spark, d), _LINE, _line_model, ["segment_id"], 8, 1)
+
+
+def _solved_sql(steps: int, rounds: int) -> str:
+    """A gain for each segment and one bias for all, each from grids that shrink, in turn."""
+    parts = [f"p as materialized (select * from {PAIRS})", "g0 as (select distinct segment_id, 0.0::double as low, 2.0::double as high from p)", "b0 as (select -100.0::double as low, 200.0::double as high, 50.0::double as bias)"]
+    for k in range(rounds):
+        at = lambda i: f"(low + (high - low) * {i / (steps - 1)!r})"
+        gains = ", ".join(_error_sql(at(i), "bias") for i in range(steps))
+        biases = ", ".join(_error_sql("gain", at(i)) for i in range(steps))
+        parts += [
+            f"e{k} as materialized (select segment_id, low, high, [{gains}] as e from p join g{k} using (segment_id), (select bias from b{k}) group by all)",
+            f"c{k} as materialized (select segment_id, low, high, low + (high - low) * ((list_position(e, list_min(e)) - 1) / {steps - 1}::double) as gain from e{k})",
+            f"g{k + 1} as materialized (select segment_id, gain, greatest(0.0, gain - (high - low) / {steps - 1}) as low, least(2.0, gain + (high - low) / {steps - 1}) as high from c{k})",
+            f"f{k} as materialized (select low, high, [{biases}] as e from p join (select segment_id, gain from c{k}) using (segment_id), (select low, high from b{k}) group by low, high)",
+            f"d{k} as materialized (select low, high, low + (high - low) * ((list_position(e, list_min(e)) - 1) / {steps - 1}::double) as bias from f{k})",
+            f"b{k + 1} as materialized (select greatest(-100.0, bias - (high - low) / {steps - 1}) as low, least(200.0, bias + (high - low) / {steps - 1}) as high, bias from d{k})",
+        ]
+    return f"with {', '.join(parts)} select segment_id, gain, bias, count(*) as n, sqrt(avg((expected - (gain * calculated + bias)) ^ 2)) as fitness from p join (select segment_id, gain from g{rounds}) using (segment_id), (select bias from b{rounds}) group by all"
+
+
+@query(_solved_sql(5, 4))
+def fit_own_and_shared(spark, d):
+    found, shared, _ = segment_fits.solve_segments(_pairs(spark, d), {"gain": _LINE["gain"]}, {"bias": _LINE["bias"]}, _line_model, ["segment_id"])
+    return found.select("segment_id", "gain", F.lit(shared["bias"]).alias("bias"), "n", "fitness")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
