@@ -1,9 +1,9 @@
 """Fits of every segment at once: the state of a search is a row a segment, and a step is one aggregation.
 
 A step joins the rows of a segment with its state and averages the squared error of each trial as a column, so rows
-are not copied for their trials, and nothing of a segment comes to the driver. The rows are dealt and sorted by
-segment once; joins and aggregations of the steps keep that order, so they do not shuffle again. Parameters that all
-segments share are few numbers on the driver.
+are not copied for their trials, and nothing of a segment comes to the driver. The rows are written once; the rounds
+of one parameter are one plan, in which the exchange of the rows by segment is the same in each and so is made once.
+Parameters that all segments share are few numbers on the driver.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(inputs: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of a fit, dealt and sorted by segment and written once; rows without an expected level are left out."""
-    return cut(inputs.where("expected is not null").repartition(*by).sortWithinPartitions(*by))
+def kept_rows(inputs: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of a fit, written once; rows without an expected level are left out, and so are those without a segment."""
+    return cut(inputs.where("expected is not null").dropna(subset=by))
 
 
 def _gap(level: Column) -> Column:
@@ -71,7 +71,7 @@ def scan(inputs: DataFrame, bounds: Bounds, model: Model, by: list[str], steps:
     number keeps its start and has a null fitness; null levels of the model do not count; an empty table gives an
     empty one; other columns are ignored.
     """
-    rows = dealt(inputs, by)
+    rows = kept_rows(inputs, by)
     state = rows.select(*by).distinct().select(*by, *[F.lit(float(low)).alias(n) for n, (low, _) in bounds.items()])
     for _ in range(generations):
         state = state.withColumn("improved", F.lit(False))
@@ -97,7 +97,7 @@ def ternary(inputs: DataFrame, bounds: Bounds, model: Model, by: list[str], roun
     goes, of equals both outer ones. After ``rounds`` the better of the last two points is taken if it is better than
     the value held, which is the middle at first. Rows and results are as in ``scan``.
     """
-    rows = dealt(inputs, by)
+    rows = kept_rows(inputs, by)
     state = rows.select(*by).distinct().select(*by, *[F.lit((low + high) / 2).alias(n) for n, (low, high) in bounds.items()])
     for _ in range(generations):
         state = state.withColumn("improved", F.lit(False))
@@ -136,7 +136,7 @@ def solve_segments(inputs: DataFrame, own: Bounds, shared: Bounds, model: Model,
     then the shared ones take the best of theirs with every segment's own, in another that gives one row. A row whose
     model gives no number does not count. An empty table has no segments, the middle of the shared bounds and no fitness.
     """
-    rows = dealt(inputs, by)
+    rows = kept_rows(inputs, by)
     state = rows.select(*by).distinct().select(*by, *[F.lit(float(x)).alias(f"{n}_{k}") for n, ends in own.items() for k, x in zip(("low", "high"), ends, strict=True)])
     found = rows.select(*by, *[F.lit(0.0).alias(n) for n in own]).limit(0)
     values, around, total = {n: (low + high) / 2 for n, (low, high) in shared.items()}, dict(shared), float("nan")

@@ -106,11 +106,21 @@ def test_two_own_parameters_two_keys_and_odd_rows(spark):
     assert S.solve_segments(inputs.limit(0), own, {"offset": (0.0, 2.0)}, line, ["user", "day"])[0].count() == 0
 
 
-def test_steps_do_not_shuffle_the_rows_again(spark):
-    rows = S.dealt(table(spark, made(1, 1.0)), ["segment_id"])
+def test_rounds_share_one_exchange_of_the_rows(spark):
+    rows = S.kept_rows(table(spark, made(1, 1.0)), ["segment_id"])
     state = S.cut(rows.select("segment_id").distinct().withColumn("gain", F.lit(1.0)))
-    plan = S._step(rows, state, ["segment_id"], lambda p: p["gain"] * F.col("x"), [{"gain": F.col("gain")}])
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange") - text.count("BroadcastExchange") <= 1, text
+    for _ in range(3):
+        state = S._step(rows, state, ["segment_id"], lambda p: p["gain"] * F.col("x"), [{"gain": F.col("gain")}]).select("segment_id", (F.col("gain") + F.col("errors")[0] * 0).alias("gain"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = state.select("*")
+        frame._jdf.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ReusedExchange") >= 2, plan
+
+
+def test_too_many_trials_are_refused(spark):
     with pytest.raises(ValueError):
         S.solve_segments(table(spark, made(1, 1.0)), {f"p{k}": (0.0, 1.0) for k in range(4)}, {"q": (0.0, 1.0)}, lambda p: p["q"], ["segment_id"])
