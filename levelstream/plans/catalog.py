@@ -14,6 +14,7 @@ from levelstream.operators import asof, calculated, dosing, fitting, matching, m
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs, signals
+from levelstream.streaming import stateful
 
 FLAGSHIP = "signal_error"
 _QUERIES: dict = {}
@@ -1032,6 +1033,37 @@ def fit_own_and_shared(spark, d):
     return found.select("segment_id", "gain", F.lit(shared["bias"]).alias("bias"), "n", "fitness")
 
 
+# --- functions with a memory
+
+
+def _every_third(memory: dict, levels: list[stateful.Level]):
+    """Drops every third level, doubles the others, and sends the slope at every fifth."""
+    for x in levels:
+        memory["n"] = memory.get("n", 0) + 1
+        if memory["n"] % 3:
+            yield x._replace(level=2 * x.level)
+        if memory["n"] % 5 == 0 and x.slope is not None:
+            yield x._replace(signal="slope", level=x.slope)
+
+
+@query("""with e as (select user_id as segment_id, event_id as seq, ts as device_time, value as level, event_type, count(*) filter (where event_type = 'purchase') over (partition by user_id order by ts, event_id) as part
+    from events where event_type in ('click', 'purchase')),
+  c as (select *, row_number() over w as n, lag(level) over w as back, lag(device_time) over w as back_at from e where event_type = 'click' and level is not null window w as (partition by segment_id, part order by device_time, seq))
+  select segment_id, 'click' as signal_id, device_time, seq, 2 * level as level from c where n % 3 <> 0
+  union all select segment_id, 'slope', device_time, seq, (level - back) / (epoch_us(device_time) - epoch_us(back_at)) * 86400e6 from c where n % 5 = 0 and device_time > back_at""")
+def scripted_levels(spark, d):
+    events = E.read_events(spark, d)
+    resets = events.where("signal_id = 'purchase'").withColumns({"event_code": F.lit("Warm_Reset"), "signal_id": F.lit(None).cast("string"), "level": F.lit(None).cast("double")})
+    found = stateful.replay(events.unionByName(resets), _every_third, ["click"])
+    return found.select("segment_id", "signal_id", "device_time", "seq", "level")
+
+
+@query(f"""select segment_id, device_time, seq, expected, calculated, avg(abs(expected - calculated)) over (partition by segment_id order by device_time, seq rows unbounded preceding) as metric from {PAIRS}""")
+def pairs_in_order(spark, d):
+    found = stateful.replay(E.read_events(spark, d), stateful.pairing("view", "click"), ["view", "click"])
+    return found.select("segment_id", "device_time", "seq", F.col("parameters")[0].alias("expected"), F.col("parameters")[1].alias("calculated"), F.col("level").alias("metric"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
