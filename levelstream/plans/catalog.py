@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelstream.functions.units import convert
-from levelstream.operators import asof, calculated, dosing, fitting, matching, metrics, models, routing, scores, segment_fits, windows
+from levelstream.operators import asof, averaged, calculated, dosing, fitting, matching, metrics, models, routing, scores, segment_fits, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs, signals
@@ -1064,6 +1064,41 @@ def pairs_in_order(spark, d):
     return found.select("segment_id", "device_time", "seq", F.col("parameters")[0].alias("expected"), F.col("parameters")[1].alias("calculated"), F.col("level").alias("metric"))
 
 
+# --- averaged exponentials
+
+
+def _averaged_sql(passes: int, kind: str) -> str:
+    """Every pass on the whole signal, and the value from the points around the time asked."""
+    lift = averaged.OFFSET if kind == "exp" else 0.0
+    rate = (lambda a, b: f"case when {b}.t = {a}.t then 0 else ln({b}.y / {a}.y) / ({b}.t - {a}.t) end") if kind == "exp" else (lambda a, b: f"case when {b}.t = {a}.t then 0 else ({b}.y - {a}.y) / ({b}.t - {a}.t) end")
+    curve = (lambda p, at: f"{p}.y * exp({p}.k * ({at} - {p}.t))") if kind == "exp" else (lambda p, at: f"({p}.y + {p}.k * ({at} - {p}.t))")
+    parts = [f"p0 as (select segment_id, epoch_us(device_time) / 86400e6 as t, level + {lift}::double as y from {signal_sql('click')} where level is not null)"]
+    for k in range(passes + 1):
+        parts.append(f"""a{k} as (select segment_id, t, y, struct_pack(t := t, y := y) as o, lead(struct_pack(t := t, y := y)) over w as n1, lead(struct_pack(t := t, y := y), 2) over w as n2,
+          row_number() over w - 1 as i, count(*) over (partition by segment_id) - 1 as m from p{k} window w as (partition by segment_id order by t))""")
+        parts.append(f"q{k} as materialized (select *, case when n2 is null then {rate('o', 'n1')} else {rate('o', 'n2')} end as k from a{k} where m > 0)")
+        if k < passes:
+            middle = "((c.t + c.n1.t) * 0.5)"
+            parts.append(f"""h{k} as (select c.*, b.t as bt, b.y as by_, b.k as bk from q{k} c left join q{k} b on b.segment_id = c.segment_id and b.i = c.i - 1)""")
+            before = lambda at: f"by_ * exp(bk * ({at} - bt))" if kind == "exp" else f"(by_ + bk * ({at} - bt))"
+            parts.append(f"""p{k + 1} as (select segment_id, t, case when i = 0 or i >= m - 1 then y else ({before('t')} + y) * 0.5 end as y from h{k}
+              union all select segment_id, {middle}, case when i = 0 or i = m - 1 then {curve('c', middle)} else ({before(middle)} + {curve('c', middle)}) * 0.5 end from h{k} c where i < m)""")
+    return f"""with {', '.join(parts)}, v as (select *, epoch_us(device_time) / 86400e6 as x from {asked_sql('view')}),
+      j as (select v.segment_id, v.device_time, v.seq, x, r.i, r.m, r.t, r.y, r.k from v asof left join q{passes} r on v.segment_id = r.segment_id and v.x <= r.t),
+      l as (select j.*, b.t as bt, b.y as by_, b.k as bk from j left join q{passes} b on b.segment_id = j.segment_id and b.i = j.i - 1)
+      select segment_id, device_time, seq, case when i = 0 and t = x then y when i = 0 then null when i = m then {before('x')} else ({before('x')} + {curve('l', 'x')}) * 0.5 end - {lift} as value from l"""
+
+
+@query(_averaged_sql(3, "exp"))
+def averaged_exponentials(spark, d):
+    return averaged.averaged(_asked(spark, d), _click(spark, d), 3).select("segment_id", "device_time", "seq", "value")
+
+
+@query(_averaged_sql(2, "line"))
+def averaged_lines(spark, d):
+    return averaged.averaged(_asked(spark, d), _click(spark, d), 2, "line").select("segment_id", "device_time", "seq", "value")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
