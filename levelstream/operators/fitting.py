@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import populations
+
 
 def grid(spark: SparkSession, bounds: dict[str, tuple[float, float]], steps: int) -> DataFrame:
     """All combinations of ``steps`` values of each parameter; their number is the caller's, and bounds the broadcast."""
@@ -132,25 +134,47 @@ def _fitness(inputs: DataFrame, names: list[str], model: Column) -> Callable:
     return fitness
 
 
-def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1) -> tuple[dict[str, float], float]:
+def _first(spark: SparkSession, bounds: dict[str, tuple[float, float]], size: int, start: str, rng):
+    """The first population, a row a candidate: at random, or one of the even ones of ``populations``."""
+    import numpy as np
+
+    if start == "random":
+        low, high = (np.array([bounds[n][k] for n in bounds]) for k in (0, 1))
+        return low + rng.random((size, len(bounds))) * (high - low)
+    rows = populations.STARTS[start](spark, bounds, size).orderBy("candidate").collect()  # one row a candidate
+    return np.array([[r[n] for n in bounds] for r in rows])
+
+
+def _donors(rng, size: int, count: int):
+    """For each candidate so many others, all different: an array (count, size) of places. Small populations repeat."""
+    import numpy as np
+
+    order = rng.random((size, size))
+    np.fill_diagonal(order, np.inf)
+    others = np.argsort(order, axis=1)[:, : max(1, size - 1)]
+    return np.resize(others.T, (count, size)) if others.shape[1] < count else others[:, :count].T
+
+
+def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1, start: str = "random") -> tuple[dict[str, float], float]:
     """Differential evolution that adapts itself: each round scores all trials in one job, and a trial replaces its parent if it is better.
 
     A candidate has its own way of making trials (from the best, from a random one, from itself towards the best or towards a
     random one, with one or two differences), factor and share of crossed parameters. It keeps them while its trials
-    win and draws others when they lose.
+    win and draws others when they lose. The donors of a trial are others and all different. ``start`` names the first
+    population: random, halton, diagonal or cross.
     """
     import numpy as np
 
     rng, names = np.random.default_rng(seed), list(bounds)
     low, high = (np.array([bounds[n][k] for n in names]) for k in (0, 1))
     fitness = _fitness(inputs, names, model)
-    people = low + rng.random((size, len(names))) * (high - low)
+    people = _first(inputs.sparkSession, bounds, size, start, rng)
     score = fitness(people)
     draw = lambda n: (rng.integers(0, 6, n), rng.uniform(0.4, 0.9, n), rng.uniform(0.5, 1.0, n))
     way, factor, crossed = draw(size)
     for _ in range(rounds):
         lead, f = people[np.argmin(score)], factor[:, None]
-        a, b, c, d, e = (people[rng.permutation(size)] for _ in range(5))
+        a, b, c, d, e = (people[k] for k in _donors(rng, size, 5))
         made = [lead + f * (a - b), c + f * (a - b), people + f * (lead - people) + f * (a - b), people + f * (c - people) + f * (a - b), lead + f * (a - b) + f * (c - d), e + f * (a - b) + f * (c - d)]
         trial = np.choose(way[:, None], made)
         cross = rng.random(people.shape) < crossed[:, None]
@@ -169,15 +193,18 @@ def evolve(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Col
 INERTIA, OWN_PULL, SWARM_PULL, MOST_MOVE = 0.7298, 1.55, 2.05, 0.4
 
 
-def swarm(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1) -> tuple[dict[str, float], float]:
-    """A particle swarm: each round scores all particles in one job, and they move on towards the best places known."""
+def swarm(inputs: DataFrame, bounds: dict[str, tuple[float, float]], model: Column, size: int = 24, rounds: int = 12, seed: int = 1, start: str = "random") -> tuple[dict[str, float], float]:
+    """A particle swarm: each round scores all particles in one job, and they move on towards the best places known.
+
+    ``start`` is as in ``evolve``.
+    """
     import numpy as np
 
     rng, names = np.random.default_rng(seed), list(bounds)
     low, high = (np.array([bounds[n][k] for n in names]) for k in (0, 1))
     fitness = _fitness(inputs, names, model)
     most = MOST_MOVE * (high - low)
-    place = low + rng.random((size, len(names))) * (high - low)
+    place = _first(inputs.sparkSession, bounds, size, start, rng)
     speed = rng.uniform(-most, most, place.shape)
     best, score = place.copy(), fitness(place)
     for _ in range(rounds):

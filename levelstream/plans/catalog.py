@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelstream.functions.units import convert
-from levelstream.operators import asof, averaged, calculated, dosing, fitting, matching, metrics, models, routing, scores, segment_fits, windows
+from levelstream.operators import asof, averaged, calculated, dosing, fitting, matching, metrics, models, populations, routing, scores, segment_fits, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs, signals
@@ -1064,6 +1064,26 @@ def pairs_in_order(spark, d):
     return found.select("segment_id", "device_time", "seq", F.col("parameters")[0].alias("expected"), F.col("parameters")[1].alias("calculated"), F.col("level").alias("metric"))
 
 
+# --- first populations
+
+
+def _inverse_sql(index: str, base: int) -> str:
+    return f"(select sum(((({index}) // pow({base}, k)::bigint) % {base}) / pow({base}, k + 1)) from range(8) r(k))"
+
+
+@query(f"""with c as (select i as candidate, 2.0 * {_inverse_sql('i + 1', 2)} as gain, -100.0 + 300.0 * {_inverse_sql('i + 1', 3)} as bias from range(64) r(i))
+  select candidate, round(gain, 9) as gain, round(bias, 9) as bias, count(*) as n, sqrt(avg((expected - (gain * calculated + bias)) ^ 2)) as fitness from {PAIRS}, c group by all""")
+def halton_candidates(spark, d):
+    scored = fitting.scores(_pairs(spark, d), populations.halton(spark, _LINE, 64), F.col("gain") * F.col("calculated") + F.col("bias"), [])
+    return scored.select("candidate", F.round("gain", 9).alias("gain"), F.round("bias", 9).alias("bias"), "n", "fitness")
+
+
+@query()
+def fit_swarm(spark, d):
+    found, fitness = fitting.swarm(_pairs(spark, d), _LINE, F.col("gain") * F.col("calculated") + F.col("bias"), rounds=6, start="diagonal")
+    return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
+
+
 # --- averaged exponentials
 
 
