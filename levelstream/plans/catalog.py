@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelstream.functions.units import convert
-from levelstream.operators import asof, averaged, calculated, dosing, fitting, matching, metrics, models, populations, routing, scores, segment_fits, windows
+from levelstream.operators import asof, averaged, calculated, dosing, fitting, matching, metrics, models, populations, routing, rumours, scores, segment_fits, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
 from levelstream.sources import device_files, logs, signals
@@ -1084,6 +1084,20 @@ def fit_swarm(spark, d):
     return spark.createDataFrame([(found["gain"], found["bias"], fitness)], "gain double, bias double, fitness double")
 
 
+def _line_fit(spark, found: dict[str, float], fitness: float) -> DataFrame:
+    return spark.createDataFrame([(found.get("gain"), found.get("bias"), fitness)], "gain double, bias double, fitness double")
+
+
+@query()
+def fit_mutated(spark, d):
+    return _line_fit(spark, *rumours.mutate(_pairs(spark, d), _LINE, F.col("gain") * F.col("calculated") + F.col("bias"), rounds=6))
+
+
+@query()
+def fit_by_rumours(spark, d):
+    return _line_fit(spark, *rumours.rumours(_pairs(spark, d), _LINE, F.col("gain") * F.col("calculated") + F.col("bias"), rounds=4))
+
+
 # --- averaged exponentials
 
 
