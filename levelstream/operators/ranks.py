@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 CELLS = 200
 
 
+def with_cells(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` with ``cell``: the range of values, of about CELLS even ones, that a row falls into.
+
+    The bounds are a subquery of the plan that reads ``counts``: both share its exchange, and no job runs before.
+    """
+    bounds = counts.agg(F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 10_000).alias("bounds")).scalar()
+    bounded = counts.withColumn("bounds", F.coalesce(bounds, F.array().cast("array<double>")))
+    return bounded.withColumn("cell", F.size(F.filter("bounds", lambda b: b <= F.col(value)))).drop("bounds")
+
+
 def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """For each group: ``by``, n and, by name, the value at a rank (from 0 on) that is given as a function of n.
 
@@ -23,9 +33,7 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: dict[str
     """
     x = F.col(value).cast("double")
     counts = rows.where(x.isNotNull()).groupBy(F.struct(*by).alias("key"), x.alias("x")).agg(F.count("*").alias("c"))
-    found = counts.agg(F.percentile_approx("x", [i / CELLS for i in range(1, CELLS)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found))]).cast("array<double>")
-    cells = counts.withColumn("cell", F.size(F.filter(bounds, lambda b: b <= F.col("x"))))
+    cells = with_cells(counts, "x")
     group = Window.partitionBy("key")
     sums = cells.groupBy("key", "cell").agg(F.sum("c").alias("m"))
     sums = sums.withColumns({"before": F.sum("m").over(group.orderBy("cell")) - F.col("m"), "n": F.sum("m").over(group)})

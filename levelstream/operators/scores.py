@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import events as E
 from .asof import interpolate
-from .ranks import CELLS, order_statistics, percentiles, running_sums
+from .ranks import order_statistics, percentiles, running_sums, with_cells
 from .windows import episodes, periods, series
 
 MGDL = 18.0182
@@ -58,9 +58,10 @@ def stats(column: str, by: list[str], rows: DataFrame) -> DataFrame:
     out = {"n": F.count(x), "avg": F.avg(x), "sd": F.stddev_pop(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "least": F.min(x), "most": F.max(x)}
     all_ = 2 ** len(by) - 1
     moments = rows.rollup(*by).agg(*[v.alias(k) for k, v in out.items()], F.grouping_id().cast("int").alias("g")).where(F.col("g").isin(0, all_))
-    totals = rows.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in by], F.lit(all_).alias("g"), column)
+    kinds = F.array(*[F.struct(*[(F.col(c) if own else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in by], F.lit(0 if own else all_).alias("g")) for own in (True, False)])
+    both = rows.where(x.isNotNull()).select(F.explode(kinds).alias("k"), column).select("k.*", column)
     shares = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    ranked = percentiles(rows.select(*by, F.lit(0).alias("g"), column).union(totals), [*by, "g"], column, shares).drop("n")
+    ranked = percentiles(both, [*by, "g"], column, shares).drop("n")
     same = F.lit(True)
     for c in [*by, "g"]:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
@@ -97,9 +98,7 @@ def error_distribution(rows: DataFrame) -> DataFrame:
     gap = F.abs(F.col("expected") - F.col("calculated"))
     each = rows.select(F.lit(0).alias("g"), "segment_id", gap.alias("error"))
     each = each.union(each.select(F.lit(1), F.lit(None).cast("long"), "error")).groupBy("g", "segment_id", "error").agg(F.count("*").alias("c"))
-    found = each.agg(F.percentile_approx("error", [i / CELLS for i in range(1, CELLS)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found))]).cast("array<double>")
-    each = each.withColumn("cell", F.size(F.filter(bounds, lambda b: b <= F.col("error"))))
+    each = with_cells(each, "error")
     group = Window.partitionBy("g", "segment_id")
     cells = each.groupBy("g", "segment_id", "cell").agg(F.sum("c").alias("m")).withColumns({"before": F.sum("m").over(group.orderBy("cell")) - F.col("m"), "n": F.sum("m").over(group)})
     e, k = each.alias("e"), cells.alias("k")
