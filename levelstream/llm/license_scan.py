@@ -6,7 +6,7 @@ breaks. Passages and templates are sparse vectors of their terms, weighted by ho
 over all documents for all terms). A passage states the licence of a template if the cosine is SIMILAR or more and it
 holds all words that name the licence in the template. An SPDX identifier states its licence by itself. A document
 takes the licence of its best passage, or of a longer one that is within MARGIN of it; ``margin`` is its lead over the
-best passage of another licence that is not a part of it. A document of which half the words are such passages, or whose file is named LICENSE, LICENCE or COPYING, is a licence
+best passage of another licence that is not a part of it. A document of LEAST_FILE words or more of which half are such passages, or whose file is named LICENSE, LICENCE or COPYING, is a licence
 file and speaks for its directory, unless two licences are within MARGIN; a document with no licence of its own
 inherits from the nearest directory above it that has one.
 """
@@ -25,11 +25,17 @@ from .shared import discard, materialize
 
 TERM = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 #: Terms of which a window holds one.
-ANCHOR = r"licen[cs]|^(spdx|copyright|copying|reserved|permission|permitted|redistribution|creative|commons|cc0|cc|gpl|lgpl|agpl|gnu|apache|mozilla|warranty|warranties|unencumbered)$"
+ANCHOR = (
+    r"licen[cs]|^(spdx|copyright|copying|reserved|permission|permitted|redistribution|creative|commons|cc0|cc|l?gplv?[0-9.]*|agplv?[0-9.]*|gnu|apache|mozilla|warranty|warranties|unencumbered"
+    r"|bsd|wtfpl|gfdl|mpl|epl|cddl|eupl|ofl|afl|osl|lppl|mulanpsl|cecill|qpl|zpl|odbl|upl|sspl|busl)$"
+)
 #: A text without a match holds no such term.
-ANCHORED = r"(?i)licen[cs]|copy|spdx|reserved|permi|redistribution|creative|commons|\bcc|gpl|gnu|apache|mozilla|warrant|unencumbered"
-SPDX = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9.\-]+)"
-SIMILAR, MARGIN, FILE_SHARE = 0.6, 0.02, 0.5
+ANCHORED = r"(?i)licen[cs]|copy|spdx|reserved|permi|redistribution|creative|commons|\bcc|gpl|gnu|apache|mozilla|warrant|unencumbered|bsd|wtfpl|sspl|gfdl|mpl|epl|cddl|ofl|afl|osl|lppl|mulanpsl|cecill|qpl|zpl|odbl|upl|busl"
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*)*)"
+#: What leads a name to be denied, within the BEFORE terms before a wording of at most SHORT terms or in it.
+DENIED = r"(^| )(not|never|t|no longer) ((yet|currently|being) )?(licen[cs]ed|released|distributed|available|covered|published|offered|under)( |$)"
+BEFORE, SHORT = 4, 16
+SIMILAR, MARGIN, FILE_SHARE, LEAST_FILE = 0.6, 0.02, 0.5, 20
 _NAME = r"(?i)(^|/)(licen[cs]e|copying)([.\-][^/]*)?$"
 
 
@@ -67,23 +73,33 @@ def passages(texts: DataFrame, counts: DataFrame) -> DataFrame:
     df = {r.term: r.df for r in counts.join(F.broadcast(vocabulary), "term").collect()}  # rows of the fixed templates' terms
     total = max(1, df.get("", 0))
     idf = {w: math.log(total / max(1, df.get(w, 0))) + 1 for c in wordings for w in c}
-    vectors, known = [], []
+    vectors, known = [], []  # entries of the fixed templates: terms and weights of those without a name, and all with their vectors
     for k, (c, (name, _)) in enumerate(zip(wordings, TEMPLATES, strict=True)):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
         length = sum(c.values())
-        known.append((k, name, length, step_of(length), sorted(c.keys() & set(NAMING)), {w: (n * idf[w] / norm * idf[w], idf[w]) for w, n in c.items()}))
-        vectors += [(k, w, (n * idf[w] / norm) ** 2) for w, n in sorted(c.items())]
+        must = sorted(c.keys() & set(NAMING), key=lambda w: (-idf[w], w))
+        known.append((k, name, length, step_of(length), must, {w: (n * idf[w] / norm * idf[w], idf[w]) for w, n in c.items()}))
+        if not must:
+            vectors += [(k, w, (n * idf[w] / norm) ** 2) for w, n in sorted(c.items())]
     vectors = spark.createDataFrame(vectors, "template int, term string, share double")
     known = spark.createDataFrame(known, "template int, license string, length int, step int, must array<string>, v map<string,struct<dot:double,weight:double>>")
 
-    held = texts.select("hash", F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(vectors), "term")
-    pairs = held.groupBy("hash", "template").agg(F.sum("share").alias("share")).where(F.col("share") >= SIMILAR**2 - 1e-9).select("hash", "template")
-    near = texts.join(pairs, "hash").join(F.broadcast(known), "template")
+    # A template that names a licence is looked up by the rarest of its naming words, any other by all of its terms.
+    held = texts.select("hash", F.explode(F.array_distinct("terms")).alias("term"))
+    nameless = held.join(F.broadcast(vectors), "term").groupBy("hash", "template").agg(F.sum("share").alias("share")).where(F.col("share") >= SIMILAR**2 - 1e-9).select("hash", "template")
+    named = held.join(F.broadcast(known.where(F.size("must") > 0).select(F.col("must")[0].alias("term"), "template")), "term").select("hash", "template")
+    near = texts.join(nameless.union(named), "hash").join(F.broadcast(known), "template").where(F.size(F.array_except("must", "terms")) == 0)
+    shared = F.aggregate(F.array_intersect(F.map_keys("v"), "terms"), F.lit(0.0), lambda n, t: n + F.pow(F.element_at("v", t)["dot"] / F.element_at("v", t)["weight"], F.lit(2.0)))
+    near = near.where(shared >= SIMILAR**2 - 1e-9)
     first = F.ceil(F.greatest(F.lit(0), F.col("place") - F.col("length") + 1) / F.col("step")) * F.col("step")
     near = near.select("hash", "template", "license", "length", "step", "must", "v", "terms", F.explode("places").alias("place"))
     near = near.withColumn("start", F.explode(F.sequence(first.cast("int"), (F.floor(F.col("place") / F.col("step")) * F.col("step")).cast("int"), "step")))
-    window = near.select("hash", "template", "license", "must", "v", "start", F.slice("terms", F.col("start") + 1, F.col("length")).alias("window"))
-    window = window.where(F.size(F.array_except("must", "window")) == 0).dropDuplicates(["hash", "template", "start"])
+    window = near.select("hash", "template", "license", "must", "v", "start", F.slice("terms", F.col("start") + 1, F.col("length")).alias("window"), "length", "terms")
+    window = window.where(F.size(F.array_except("must", "window")) == 0)
+    led = F.array_join(F.concat(F.slice("terms", F.greatest(F.lit(1), F.col("start") + 1 - BEFORE), F.least(F.lit(BEFORE), F.col("start"))), "window"), " ")
+    after = F.array_join(F.slice("terms", F.col("start") + 1, F.col("length") + 1), " ")
+    denied = ((F.col("length") <= SHORT) & F.regexp_like(led, F.lit(DENIED))) | ((F.col("license") == "Proprietary") & F.regexp_like(after, F.lit(r"reserved (to|for)( |$)")))
+    window = window.where(~denied).drop("length", "terms").dropDuplicates(["hash", "template", "start"])
     dot = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.element_at("v", t)["dot"], F.lit(0.0)))
     least = F.aggregate("window", F.lit(0.0), lambda n, t: n + F.coalesce(F.pow(F.element_at("v", t)["weight"], F.lit(2.0)), F.lit(1.0)))
     window = window.withColumn("dot", dot).where(F.col("dot") >= (SIMILAR - 1e-6) * F.sqrt(least)).select("hash", "template", "license", "start", "dot", "window")
@@ -109,8 +125,12 @@ def scan(documents: DataFrame) -> DataFrame:
     """
     rows = documents.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     counts = materialize(document_counts(rows), "term-counts")
-    anchored = rows.where(F.regexp_like("text", F.lit(ANCHORED))).select(F.xxhash64("text").alias("hash"), "text").dropDuplicates(["hash"])
-    anchored = anchored.select("hash", terms(F.col("text")).alias("terms"), F.regexp_replace(F.regexp_extract("text", SPDX, 1), "(-only|-or-later|[.-])$", "").alias("spdx"))
+    # A text is known by its digest; one without a licence word has none and is compared with nothing.
+    digest = F.when(F.regexp_like("text", F.lit(ANCHORED)), F.sha2("text", 256)).alias("hash")
+    anchored = rows.select(digest, "text").where("hash is not null").dropDuplicates(["hash"])
+    plain = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(-only|-or-later|\+|[.\-]+)(?=[ )]|$)", "")
+    spdx = F.regexp_replace(F.regexp_replace(plain, r"^\(([^()]*)\)$", "$1"), r"[ \t]+", " ")
+    anchored = anchored.select("hash", terms(F.col("text")).alias("terms"), spdx.alias("spdx"))
     places = F.filter(F.transform("terms", lambda t, k: F.when(F.regexp_like(t, F.lit(ANCHOR)), k)), lambda k: k.isNotNull())
     texts = materialize(anchored.withColumn("places", places).where(F.size("places") > 0), "licence-texts")
     found = materialize(passages(texts.select("hash", "terms", "places"), counts), "passages")
@@ -127,22 +147,22 @@ def scan(documents: DataFrame) -> DataFrame:
     said = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))))
     covered = found.groupBy("hash", "license").agg(said.alias("covered"))
     sizes = texts.select("hash", F.size("terms").alias("words"))
-    own = best.join(covered, ["hash", "license"], "left").join(sizes, "hash").select("hash", "license", "score", "margin", F.coalesce(F.col("covered") / F.col("words"), F.lit(0.0)).alias("share"))
-    own = rows.select("doc_id", "path", F.xxhash64("text").alias("hash")).join(own, "hash").distinct()
+    own = best.join(covered, ["hash", "license"], "left").join(sizes, "hash").select("hash", "license", "score", "margin", F.when(F.col("words") >= LEAST_FILE, F.col("covered") / F.col("words")).alias("share"))
+    own = rows.select("doc_id", "path", digest).join(own, "hash").distinct()
     own = materialize(own, "own-licenses")
     for table in (counts, texts, found):
         discard(table)
 
     one = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "path", "hash")]
     folder = lambda path: F.regexp_replace(path, "(^|/)[^/]*$", "")
-    speaks = own.where((F.col("path").isNotNull()) & (F.col("margin") >= MARGIN) & ((F.col("share") >= FILE_SHARE) | F.regexp_like("path", F.lit(_NAME))))
+    speaks = own.where((F.col("path").isNotNull()) & (F.col("margin") >= MARGIN) & (F.coalesce(F.col("share") >= FILE_SHARE, F.lit(False)) | F.regexp_like("path", F.lit(_NAME))))
     folders = speaks.groupBy(folder(F.col("path")).alias("folder")).agg(F.max_by(F.struct("license", "score", "margin"), F.struct("score", (-F.xxhash64("path")).alias("h"))).alias("given"))
     places = rows.where("path is not null").select(folder(F.col("path")).alias("place")).distinct()
     names = F.split("place", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(names)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(names, F.lit(1), k), "/").alias("folder")))
     ways = places.select("place", F.explode(above).alias("up")).select("place", "up.depth", "up.folder")
     nearest = ways.join(folders, "folder").groupBy("place").agg(F.max_by("given", "depth").alias("given"))
-    first = rows.select("doc_id", "path", F.xxhash64("text").alias("hash"))
+    first = rows.select("doc_id", "path", digest)
     mine = first.alias("a").join(own.alias("b"), one[0] & one[1] & one[2], "left").select("a.doc_id", "a.path", "b.license", "b.score", "b.margin")
     mine = mine.withColumn("place", folder(F.col("path"))).join(nearest, "place", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")

@@ -88,3 +88,24 @@ def test_names_headings_identifiers_and_whole_texts(spark):
     for doc, want in brute(made).items():
         if want and got[doc].score < 1:
             assert (got[doc].license, got[doc].origin) == (want[0], "own") and abs(got[doc].score - want[1]) < 1e-8, doc
+
+
+def test_every_wording_is_known_within_prose_and_unlike_ones_are_not(spark):
+    prose = "one may print and bind and sell or lend what one likes where nobody minds it much " * 3
+    rows = [
+        ("License: GPL v2 or later", "GPL-2.0"), ("Eclipse Public License - v1.0", "EPL-1.0"), ("Artistic License 2.0", "Artistic-2.0"), ("SIL Open Font License, Version 1.1", "OFL-1.1"), ("under the CDDL 1.1", "CDDL-1.1"),
+        ("this is under the WTFPL", "WTFPL"), ("Licensed under CC BY 3.0", "CC-BY-3.0"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"), ("GPLv3+ code", "GPL-3.0"), ("EPL-2.0", "EPL-2.0"),
+        ("SPDX-License-Identifier: (GPL-2.0-only OR MIT)", "GPL-2.0 OR MIT"), ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\nimport x", "Apache-2.0 WITH LLVM-exception"), ("SPDX-License-Identifier: MIT. Next", "MIT"),
+        ("all rights reserved to the teacher in this school", None), ("this code is not licensed under the MIT License", None), ("It is not released under the Apache License, Version 2.0 today", None), ("a simple story of a license to drive", None),
+        ("This License explicitly affirms your unlimited permission to run the unmodified Program. The output from running a covered work is covered by this License only if the output, given its content, constitutes a covered work.", "GPL-3.0"),
+    ] + [(w, n) for n, w in L.TEMPLATES]
+    assert len({n for n, _ in L.TEMPLATES}) > 60
+    made = [(i, f"d{i}/f", f"{prose}\n{t}\n{prose}") for i, (t, _) in enumerate(rows)] + [(10**6 + i, None, f"{prose} {i}") for i in range(200)]
+    got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame(made, "doc_id long, path string, text string")).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(rows) if got[i] != rows[i][1]} == {}
+
+
+def test_short_statement_speaks_for_no_folder(spark):
+    rows = [(1, "a/x", "Licensed under the MIT License."), (2, "a/y", "prose"), (3, "b/LICENSE", "Licensed under the MIT License."), (4, "b/y", "prose"), (5, "c/x", "this is not licensed under the MIT License at all"), (6, "c/y", "prose")]
+    got = {r.doc_id: (r.license, r.origin) for r in L.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: (None, None), 3: ("MIT", "own"), 4: ("MIT", "inherited"), 5: (None, None), 6: (None, None)}
