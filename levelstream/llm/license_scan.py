@@ -29,8 +29,11 @@ ANCHOR = (
     r"licen[cs]|^(spdx|copyright|copying|reserved|permission|permitted|redistribution|creative|commons|cc0|cc|l?gplv?[0-9.]*|agplv?[0-9.]*|gnu|apache|mozilla|warranty|warranties|unencumbered"
     r"|bsd|wtfpl|gfdl|mpl|epl|cddl|eupl|ofl|afl|osl|lppl|mulanpsl|cecill|qpl|zpl|odbl|upl|sspl|busl)$"
 )
-#: A text without a match holds no such term.
-ANCHORED = r"(?i)licen[cs]|copy|spdx|reserved|permi|redistribution|creative|commons|\bcc|gpl|gnu|apache|mozilla|warrant|unencumbered|bsd|wtfpl|sspl|gfdl|mpl|epl|cddl|ofl|afl|osl|lppl|mulanpsl|cecill|qpl|zpl|odbl|upl|busl"
+#: A lower-case text, a space before it, without "licen" and without a match holds no such term: only words that begin like one are compared.
+ANCHORED = (
+    r"[^a-z](?:spdx|copy|reserved|permi|redistribution|creative|commons|gnu|apache|mozilla|warrant|unencumbered"
+    r"|(?:cc0?|l?gplv?|agplv?|bsd|wtfpl|gfdl|mpl|epl|cddl|eupl|ofl|afl|osl|lppl|mulanpsl|cecill|qpl|zpl|odbl|upl|sspl|busl)(?![a-z]))"
+)
 SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+\-]*\)*)*)"
 #: What leads a name to be denied, within the BEFORE terms before a wording of at most SHORT terms or in it.
 DENIED = r"(^| )(not|never|t|no longer) ((yet|currently|being) )?(licen[cs]ed|released|distributed|available|covered|published|offered|under)( |$)"
@@ -54,6 +57,12 @@ def step_of(length: int) -> int:
     return max(1, length // 8)
 
 
+def anchored(text: Column) -> Column:
+    """Whether a text can hold a term of ANCHOR; some that cannot pass too."""
+    low = F.lower(text)
+    return F.contains(low, F.lit("licen")) | F.regexp_like(F.concat(F.lit(" "), low), F.lit(ANCHORED))
+
+
 def document_counts(rows: DataFrame) -> DataFrame:
     """(term, df): in how many of the rows (text) a term occurs; the empty term counts the rows."""
     distinct = F.array_distinct(F.concat(terms(F.col("text")), F.array(F.lit(""))))
@@ -126,13 +135,14 @@ def scan(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
     counts = materialize(document_counts(rows), "term-counts")
     # A text is known by its digest; one without a licence word has none and is compared with nothing.
-    digest = F.when(F.regexp_like("text", F.lit(ANCHORED)), F.sha2("text", 256)).alias("hash")
-    anchored = rows.select(digest, "text").where("hash is not null").dropDuplicates(["hash"])
+    digest = F.sha2("text", 256)
+    keys = materialize(rows.select("doc_id", "path", F.when(anchored(F.col("text")), digest).alias("hash")), "row-digests")
+    held = rows.where(anchored(F.col("text"))).select(digest.alias("hash"), "text").dropDuplicates(["hash"])
     plain = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(-only|-or-later|\+|[.\-]+)(?=[ )]|$)", "")
     spdx = F.regexp_replace(F.regexp_replace(plain, r"^\(([^()]*)\)$", "$1"), r"[ \t]+", " ")
-    anchored = anchored.select("hash", terms(F.col("text")).alias("terms"), spdx.alias("spdx"))
+    held = held.select("hash", terms(F.col("text")).alias("terms"), spdx.alias("spdx"))
     places = F.filter(F.transform("terms", lambda t, k: F.when(F.regexp_like(t, F.lit(ANCHOR)), k)), lambda k: k.isNotNull())
-    texts = materialize(anchored.withColumn("places", places).where(F.size("places") > 0), "licence-texts")
+    texts = materialize(held.withColumn("places", places).where(F.size("places") > 0), "licence-texts")
     found = materialize(passages(texts.select("hash", "terms", "places"), counts), "passages")
     named = texts.where("spdx <> ''").select("hash", F.lit(-1).alias("start"), F.lit(0).alias("size"), F.col("spdx").alias("license"), F.lit(-1).alias("template"), F.lit(1.0).alias("score"))
     each = found.union(named)
@@ -148,7 +158,7 @@ def scan(documents: DataFrame) -> DataFrame:
     covered = found.groupBy("hash", "license").agg(said.alias("covered"))
     sizes = texts.select("hash", F.size("terms").alias("words"))
     own = best.join(covered, ["hash", "license"], "left").join(sizes, "hash").select("hash", "license", "score", "margin", F.when(F.col("words") >= LEAST_FILE, F.col("covered") / F.col("words")).alias("share"))
-    own = rows.select("doc_id", "path", digest).join(own, "hash").distinct()
+    own = keys.join(own, "hash").distinct()
     own = materialize(own, "own-licenses")
     for table in (counts, texts, found):
         discard(table)
@@ -157,13 +167,12 @@ def scan(documents: DataFrame) -> DataFrame:
     folder = lambda path: F.regexp_replace(path, "(^|/)[^/]*$", "")
     speaks = own.where((F.col("path").isNotNull()) & (F.col("margin") >= MARGIN) & (F.coalesce(F.col("share") >= FILE_SHARE, F.lit(False)) | F.regexp_like("path", F.lit(_NAME))))
     folders = speaks.groupBy(folder(F.col("path")).alias("folder")).agg(F.max_by(F.struct("license", "score", "margin"), F.struct("score", (-F.xxhash64("path")).alias("h"))).alias("given"))
-    places = rows.where("path is not null").select(folder(F.col("path")).alias("place")).distinct()
+    places = keys.where("path is not null").select(folder(F.col("path")).alias("place")).distinct()
     names = F.split("place", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(names)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(names, F.lit(1), k), "/").alias("folder")))
     ways = places.select("place", F.explode(above).alias("up")).select("place", "up.depth", "up.folder")
     nearest = ways.join(folders, "folder").groupBy("place").agg(F.max_by("given", "depth").alias("given"))
-    first = rows.select("doc_id", "path", digest)
-    mine = first.alias("a").join(own.alias("b"), one[0] & one[1] & one[2], "left").select("a.doc_id", "a.path", "b.license", "b.score", "b.margin")
+    mine = keys.alias("a").join(own.alias("b"), one[0] & one[1] & one[2], "left").select("a.doc_id", "a.path", "b.license", "b.score", "b.margin")
     mine = mine.withColumn("place", folder(F.col("path"))).join(nearest, "place", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
     return mine.select("doc_id", "path", F.coalesce("license", "given.license").alias("license"), F.coalesce("score", "given.score").alias("score"), F.coalesce("margin", "given.margin").alias("margin"), origin.alias("origin"))
