@@ -90,8 +90,11 @@ def better(a: Column, b: Column, objectives: int, strategy: str) -> Column:
 def front(scored: DataFrame, by: list[str], objectives: list[str], strategy: str = "strict") -> DataFrame:
     """The candidates of each group to which no other is better: of a strict strategy the Pareto front.
 
-    Each candidate meets all others of its group, so their number is bounded as in ``scores``.
+    Each candidate meets all others of its group. Without groups every task holds them all, so more than
+    MOST_CANDIDATES are refused, as in ``scores``.
     """
+    if not by and scored.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates; compare them in groups")
     rows = scored.withColumn("goals", F.array(*[F.col(o).cast("double") for o in objectives]))
     a, b = rows.alias("a"), rows.select(*by, "candidate", "goals").alias("b")
     same = F.col("a.candidate") != F.col("b.candidate")

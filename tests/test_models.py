@@ -223,3 +223,12 @@ def test_plot_curve_bends_towards_the_middle_knot(spark):
     assert got[0] == 1 and got[1] is None and got[3] == 5 and got[5] == 1 and got[7] is None and got[8] is None and got[9] is None
     assert abs(got[2] - (0.7**2 + 2 * 0.3 * 0.7 * 5 + 0.3**2)) < 1e-12 and abs(got[4] - (0.25**2 + 2 * 0.75 * 0.25 * 5 + 0.75**2)) < 1e-12
     assert abs(got[6] - (1 * 0.75**2 + 2 * 0.25 * 0.75 * 7 + 2 * 0.25**2)) < 1e-12
+
+
+def test_front_without_groups_is_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, float(k), -float(k), k % 2) for k in range(6)], "candidate long, a double, b double, half int")
+    assert fitting.front(rows, [], ["a", "b"]).count() == 6
+    monkeypatch.setattr(fitting, "MOST_CANDIDATES", 5)
+    with pytest.raises(ValueError, match="candidates"):
+        fitting.front(rows, [], ["a", "b"])
+    assert fitting.front(rows, ["half"], ["a", "b"]).count() == 6
