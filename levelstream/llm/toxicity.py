@@ -29,8 +29,15 @@ WORDS, TRIGRAMS = 20_000, 20_000
 SIZE, HIDDEN = 8, 8
 #: Documents of the usual share of labels that a word or trigram counts as having besides its own.
 SHRINK = 5.0
+#: Documents that have a word or trigram which gets a vector, at least.
+LEAST_DOCUMENTS = 4
 #: Rounds at least, and steps at least (small samples get more rounds); of STUDY documents one only places the threshold.
-ROUNDS, STEPS, BATCH, RATE, STUDY = 6, 600, 64, 0.02, 5
+ROUNDS, STEPS, BATCH, RATE, STUDY = 6, 300, 64, 0.02, 5
+#: Vectors of words and trigrams learn at a share of the rate, as few documents speak for each; all is drawn to zero.
+VECTOR_RATE, DECAY, VECTOR_DECAY = 0.1, 1e-2, 1e-4
+#: False alarms that a missed document weighs as many as when the threshold is placed. Marks can be wrong, so it is not
+#: the share of the labels: a document marked without reason would then outweigh ten clean ones.
+MISSED = 3.0
 #: Words whose features a worker process remembers, from task to task.
 REMEMBERED = 100_000
 _MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„"
@@ -140,12 +147,12 @@ class Network:
 
 
 def _frequent(sets: Iterable[set[str]], labels: list[int], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Items of at least two documents, by falling frequency, from 1 on; and the shrunken log odds of the label given each."""
+    """Items of at least LEAST_DOCUMENTS, by falling frequency, from 1 on; and the shrunken log odds of the label given each."""
     counts: dict[str, list[int]] = {}
     for items, label in zip(sets, labels, strict=True):
         for item in items:
             counts.setdefault(item, [0, 0])[label] += 1
-    kept = sorted((i for i, c in counts.items() if sum(c) > 1), key=lambda i: (-sum(counts[i]), i))[:most]
+    kept = sorted((i for i, c in counts.items() if sum(c) >= LEAST_DOCUMENTS), key=lambda i: (-sum(counts[i]), i))[:most]
     share = (np.array([labels.count(0), labels.count(1)]) + 1.0) / (len(labels) + 2.0)
     have = np.array([counts[i] for i in kept], float).reshape(-1, 2) + SHRINK * share
     odds = np.log(have[:, 1] / share[1]) - np.log(have[:, 0] / share[0])
@@ -251,18 +258,19 @@ def train(sample: list[tuple[list[list[str]], int]], seed: int = 10) -> Network:
             g["words"][0] = g["grams"][0] = 0
             step += 1
             for name, value in net.p.items():
-                d = g[name] + 1e-4 * value
+                vector = name in ("words", "grams")
+                d = g[name] + (VECTOR_DECAY if vector else DECAY) * value
                 first[name] += 0.1 * (d - first[name])
                 second[name] += 0.01 * (d * d - second[name])
-                rate = RATE * (1 - round_ / rounds) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                rate = RATE * (VECTOR_RATE if vector else 1) * (1 - round_ / rounds) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 value -= (rate * first[name] / (np.sqrt(second[name]) + 1e-6)).astype(np.float32)
         score = logits(everything)
     # The middle of the gap that parts the labels best, among the documents kept apart, gets the score THRESHOLD.
     judged = np.flatnonzero(apart) if apart.any() else np.arange(len(labels))
     best, truth = score[worst(score)][judged], label_of[judged]
     order = np.argsort(best, kind="stable")
-    missed = np.concatenate([[0], np.cumsum(truth[order])]) * weight[1]
-    blamed = np.concatenate([np.cumsum((1 - truth[order])[::-1])[::-1], [0]]) * weight[0]
+    missed = np.concatenate([[0], np.cumsum(truth[order])]) * MISSED
+    blamed = np.concatenate([np.cumsum((1 - truth[order])[::-1])[::-1], [0]])
     edge = np.concatenate([[best.min() - 2], best[order], [best.max() + 2]])
     cuts = np.flatnonzero(missed + blamed == (missed + blamed).min())
     cut = cuts[np.argmax(edge[cuts + 1] - edge[cuts])]
