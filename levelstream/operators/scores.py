@@ -48,24 +48,26 @@ GRIDS = {"clarke": CLARKE, "parkes_1": PARKES_1, "parkes_2": PARKES_2}
 LOW, ELEVATED, HIGH = 3.8, 7.0, 10.8
 
 
-def stats(column: str, by: list[str], rows: DataFrame) -> DataFrame:
+def stats(column: str, by: list[str], rows: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Count, mean, population moments and percentiles of a column, for each group and, under nulls, for all rows.
 
+    ``kept`` columns part the total too.
+
     The moments combine before they shuffle. The percentiles are exact, by ranks over ranges of values, so neither a
     large group nor the total is held in one task.
     """
     x = F.col(column)
     out = {"n": F.count(x), "avg": F.avg(x), "sd": F.stddev_pop(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "least": F.min(x), "most": F.max(x)}
     all_ = 2 ** len(by) - 1
-    moments = rows.rollup(*by).agg(*[v.alias(k) for k, v in out.items()], F.grouping_id().cast("int").alias("g")).where(F.col("g").isin(0, all_))
-    kinds = F.array(*[F.struct(*[(F.col(c) if own else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in by], F.lit(0 if own else all_).alias("g")) for own in (True, False)])
+    moments = rows.rollup(*kept, *by).agg(*[v.alias(k) for k, v in out.items()], F.grouping_id().cast("int").alias("g")).where(F.col("g").isin(0, all_))
+    kinds = F.array(*[F.struct(*kept, *[(F.col(c) if own else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in by], F.lit(0 if own else all_).alias("g")) for own in (True, False)])
     both = rows.where(x.isNotNull()).select(F.explode(kinds).alias("k"), column).select("k.*", column)
     shares = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    ranked = percentiles(both, [*by, "g"], column, shares).drop("n")
+    ranked = percentiles(both, [*kept, *by, "g"], column, shares).drop("n")
     same = F.lit(True)
-    for c in [*by, "g"]:
+    for c in [*kept, *by, "g"]:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
-    names = [*by, "n", "avg", "sd", "skewness", "kurtosis", "least", *shares, "most"]
+    names = [*kept, *by, "n", "avg", "sd", "skewness", "kurtosis", "least", *shares, "most"]
     return moments.alias("m").join(ranked.alias("r"), same, "left").select(*[F.col(f"r.{c}" if c in shares else f"m.{c}").alias(c) for c in names])
 
 
@@ -86,8 +88,8 @@ def signal_error_stats(rows: DataFrame) -> DataFrame:
     """
     gap = F.abs(F.col("expected") - F.col("calculated"))
     relative = F.when(F.col("expected") != 0, gap / F.col("expected")).when(gap == 0, 0.0)
-    found = [stats("error", ["segment_id"], rows.select("segment_id", error.alias("error"))).withColumn("kind", F.lit(kind)) for kind, error in (("absolute", gap), ("relative", relative))]
-    return found[0].unionByName(found[1])
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), error.alias("error")) for kind, error in (("absolute", gap), ("relative", relative))])
+    return stats("error", ["segment_id"], rows.select("segment_id", F.inline(kinds)), ("kind",))
 
 
 def error_distribution(rows: DataFrame) -> DataFrame:
