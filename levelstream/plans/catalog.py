@@ -13,7 +13,7 @@ from levelstream.functions.units import convert
 from levelstream.operators import asof, averaged, calculated, dosing, fitting, matching, metrics, models, populations, routing, rumours, scores, segment_fits, windows
 from levelstream.operators import events as E
 from levelstream.plans import chain
-from levelstream.sources import device_files, logs, signals
+from levelstream.sources import device_files, log_source, logs, signals
 from levelstream.streaming import stateful
 
 FLAGSHIP = "signal_error"
@@ -1133,6 +1133,12 @@ def averaged_lines(spark, d):
     return averaged.averaged(_asked(spark, d), _click(spark, d), 2, "line").select("segment_id", "device_time", "seq", "value")
 
 
+@query(f"""select 'Level' as event_code, signal_id, segment_id, seq, date_trunc('milliseconds', device_time) as device_time, level from {EVENTS}""")
+def replayed_log_source(spark, d):
+    folder = log_source.written(E.read_events(spark, d))
+    return log_source.replay(spark, folder).select("event_code", "signal_id", "segment_id", "seq", "device_time", "level")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
