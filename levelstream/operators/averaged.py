@@ -5,12 +5,15 @@ of the point before it and its own say, where the curve of a point goes from it
 but one, the next). The curve is exponential, of levels lifted by OFFSET so that they are positive, or a line.
 
 A pass doubles the points, so they are never made for a whole signal: the value at a time depends on the four points
-on each side of it in every pass. Each asked time takes its eight knots along and halves only its own surroundings.
+on each side of it in every pass. Each asked time takes its eight knots along and halves only its own surroundings,
+in numpy for a batch of asked times at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import events as E
@@ -21,52 +24,75 @@ OFFSET = 10_000.0
 SIDE = 4
 
 
-def _rate(a: Column, b: Column, kind: str) -> Column:
-    """How the curve goes from a to b; 0 if they are at one time."""
-    gap = b["t"] - a["t"]
-    rate = F.log(b["y"] / a["y"]) / gap if kind == "exp" else (b["y"] - a["y"]) / gap
-    return F.when(gap == 0, 0.0).otherwise(rate)
-
-
-def _curve(points: Column, i: Column, end: Column, at: Column, kind: str) -> Column:
-    """What the curve of point i says at a time; ``end`` says that the last point is the last of the signal."""
-    own = F.get(points, i)
-    towards = F.when(end & (i == F.size(points) - 2), i + 1).otherwise(F.least(i + 2, F.size(points) - 1))
-    rate = _rate(own, F.get(points, towards), kind)
-    return own["y"] * F.exp(rate * (at - own["t"])) if kind == "exp" else own["y"] + rate * (at - own["t"])
-
-
-def _near(points: Column, end: Column, at: Column) -> Column:
-    """The points on both sides of a time, as far as there are SIDE, and whether the last of the signal is among them."""
-    before = F.greatest(F.size(F.filter(points, lambda p: p["t"] < at)) - 1, F.lit(0))
-    first = F.greatest(before - (SIDE - 1), F.lit(0))
-    count = F.least(before + SIDE, F.size(points) - 1) - first + 1
-    return F.struct(F.slice(points, first + 1, count).alias("points"), (end & (before + SIDE >= F.size(points) - 1)).alias("end"))
-
-
-def _halved(state: Column, at: Column, kind: str) -> Column:
-    """The points of the next pass around a time."""
-    points, end = state["points"], state["end"]
-    last = F.size(points) - 1
-
-    def own_and_middle(i: Column) -> Column:
-        p, n = F.get(points, i), F.get(points, i + 1)
-        t = (p["t"] + n["t"]) * 0.5
-        smooth = (_curve(points, i - 1, end, p["t"], kind) + p["y"]) * 0.5
-        own = F.when((i == 0) | (i == last) | (end & (i == last - 1)), p["y"]).otherwise(smooth)
-        alone = _curve(points, i, end, t, kind)
-        middle = F.when((i == 0) | (end & (i == last - 1)), alone).otherwise((_curve(points, i - 1, end, t, kind) + alone) * 0.5)
-        both = F.array(F.struct(p["t"].alias("t"), own.alias("y")), F.struct(t.alias("t"), middle.alias("y")))
-        return F.when(i == last, F.slice(both, 1, 1)).otherwise(both)
-
-    return _near(F.flatten(F.transform(F.sequence(F.lit(0), last), own_and_middle)), end, at)
-
-
-def _value(state: Column, at: Column, kind: str) -> Column:
-    points, end = state["points"], state["end"]
-    after = F.size(F.filter(points, lambda p: p["t"] < at))  # the first point at the time or later
-    before = _curve(points, after - 1, end, at, kind)
-    return F.when(after == 0, F.get(points, F.lit(0))["y"]).when(end & (after == F.size(points) - 1), before).otherwise((before + _curve(points, after, end, at, kind)) * 0.5)
+class _Points:
+    """The points (t, y) around each of many asked times, a row for each: ``count`` of them, and whether the last is the last of the signal."""
+
+    def __init__(self, t, y, count, end, at, kind: str):
+        self.t, self.y, self.count, self.end, self.at, self.kind = t, y, count, end, at, kind
+
+    def before(self):
+        """How many points are before the time."""
+        return ((self.t < self.at[:, None]) & (np.arange(self.t.shape[1]) < self.count[:, None])).sum(axis=1)
+
+    def pick(self, values, i):
+        return np.take_along_axis(values, np.clip(i, 0, self.count[:, None] - 1), axis=1)
+
+    def curve(self, i, at):
+        """What the curve of point i, which goes from it towards the second next, says at a time."""
+        last = self.count[:, None] - 1
+        towards = np.where(self.end[:, None] & (i == last - 1), i + 1, np.minimum(i + 2, last))
+        (t, y), (t2, y2) = ((self.pick(self.t, k), self.pick(self.y, k)) for k in (i, towards))
+        if self.kind == "exp":
+            share = y2 / y
+            rate = np.log(np.where(np.isfinite(share) & (share > 0), share, np.nan)) / (t2 - t)
+        else:
+            rate = (y2 - y) / (t2 - t)
+        rate = np.where(t2 == t, 0.0, rate)
+        return y * np.exp(rate * (at - t)) if self.kind == "exp" else y + rate * (at - t)
+
+    def near(self) -> _Points:
+        """The points on both sides of the time, as far as there are SIDE."""
+        before = np.maximum(self.before() - 1, 0)
+        first = np.maximum(before - (SIDE - 1), 0)
+        upto = np.minimum(before + SIDE, self.count - 1)
+        i = np.minimum(first[:, None] + np.arange(2 * SIDE), upto[:, None])
+        return _Points(self.pick(self.t, i), self.pick(self.y, i), upto - first + 1, self.end & (before + SIDE >= self.count - 1), self.at, self.kind)
+
+    def halved(self) -> _Points:
+        """The points of the next pass around the time."""
+        i, last = np.broadcast_to(np.arange(self.t.shape[1]), self.t.shape), self.count[:, None] - 1
+        middle = (self.t + self.pick(self.t, i + 1)) * 0.5
+        single = (i == 0) | (self.end[:, None] & (i == last - 1))
+        own = np.where(single | (i == last), self.y, (self.curve(i - 1, self.t) + self.y) * 0.5)
+        alone = self.curve(i, middle)
+        between = np.where(single, alone, (self.curve(i - 1, middle) + alone) * 0.5)
+        t, y = (np.stack(pair, axis=2).reshape(len(self.t), -1) for pair in ((self.t, middle), (own, between)))
+        return _Points(t, y, 2 * self.count - 1, self.end, self.at, self.kind).near()
+
+    def value(self):
+        after, at = self.before()[:, None], self.at[:, None]  # the first point at the time or later
+        before = self.curve(after - 1, at)
+        both = np.where(self.end[:, None] & (after == self.count[:, None] - 1), before, (before + self.curve(after, at)) * 0.5)
+        return np.where(after == 0, self.y[:, :1], both)[:, 0]
+
+
+def _smoothed(passes: int, kind: str):
+    """A function of asked times, the knots around each and whether the last of them is the last of the signal, to the values there."""
+
+    @F.pandas_udf("double")
+    def smoothed(at: pd.Series, times: pd.Series, levels: pd.Series, last: pd.Series) -> pd.Series:
+        count = np.array([len(x) for x in times], dtype=np.int64)
+        filled = np.arange(2 * SIDE) < count[:, None]
+        t, y = np.full(filled.shape, np.nan), np.full(filled.shape, np.nan)
+        if filled.any():
+            t[filled], y[filled] = np.concatenate(list(times)), np.concatenate(list(levels))
+        with np.errstate(all="ignore"):
+            points = _Points(t, y, np.maximum(count, 1), last.to_numpy(dtype=bool), at.to_numpy(), kind).near()
+            for _ in range(passes):
+                points = points.halved()
+            return pd.Series(points.value())
+
+    return smoothed
 
 
 def averaged(asked: DataFrame, knots: DataFrame, passes: int = 10, kind: str = "exp", name: str = "value") -> DataFrame:
@@ -86,7 +112,7 @@ def averaged(asked: DataFrame, knots: DataFrame, passes: int = 10, kind: str = "
     found = bracket(asked, marked, payload=F.struct(E.days().alias("t"), "around", "last", "lone"))
     at = E.days()
     inside = F.col("after").isNotNull() & ~F.col("before.lone")
-    start = _near(F.col("before.around"), F.col("before.last"), at)
-    value = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda s, _: _halved(s, at, kind), lambda s: _value(s, at, kind)) if passes else _value(start, at, kind)
+    none = F.array().cast("array<double>")
+    value = _smoothed(passes, kind)(at, *[F.coalesce(f"before.around.{c}", none) for c in "ty"], F.coalesce("before.last", F.lit(False)))
     value = value - OFFSET if kind == "exp" else value
     return found.withColumn(name, F.when(inside, F.nanvl(value, F.lit(None).cast("double")))).drop("before", "after")

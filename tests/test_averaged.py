@@ -69,3 +69,19 @@ def test_a_ramp_is_met_and_a_constant_stays(spark):
     assert A.averaged(a, k.limit(0), 2).where("value is not null").count() == 0 and A.averaged(a.limit(0), k, 2).count() == 0
     with pytest.raises(ValueError):
         A.averaged(a, k, 2, "spline")
+
+
+def test_batches_are_halved_together(spark):
+    """Asked times of segments of all lengths in one batch, and levels without a logarithm, meet no other row's points."""
+    rng = random.Random(9)
+    knots = [(g, m, rng.uniform(-5, 30)) for g in range(1, 11) for m in sorted(rng.sample(range(0, 300), g))] + [(50, m, -A.OFFSET - 1 if m == 20 else 5.0) for m in range(0, 100, 10)]
+    asked = [(g, m) for m in range(0, 300, 17) for g in [*range(1, 11), 50]]
+    a, k = tables(spark, knots, asked)
+    made = A.averaged(a.coalesce(1), k.coalesce(1), 3)
+    # Before, each row was halved by itself in nested lambdas of columns.
+    assert "ArrowEvalPython" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.segment_id, r.seq): r.value for r in made.collect()}
+    for g in range(1, 11):
+        alone = {(r.segment_id, r.seq): r.value for r in A.averaged(a.where(f"segment_id = {g}"), k.where(f"segment_id = {g}"), 3).collect()}
+        assert alone == {key: v for key, v in got.items() if key[0] == g}
+    assert got[50, asked.index((50, 17))] is None and math.isclose(got[50, asked.index((50, 85))], 5.0, abs_tol=1e-6)
